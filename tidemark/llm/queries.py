@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, sharding
+from tidemark.llm import bpe, chat, neardup, sharding
 from tidemark.session import table
 
 
@@ -41,6 +41,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=_bpe_digest, digest_schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES = {"op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+QUERIES = {"op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
 
 SQL: dict[str, str] = {}
