@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, embdup, neardup, sharding
+from tidemark.llm import bpe, chat, decontam, embdup, neardup, repeats, sharding
 from tidemark.session import table
 
 
@@ -46,6 +46,10 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op3_repeated_bytes": op3_repeated_bytes, "op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END"
