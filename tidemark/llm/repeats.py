@@ -121,7 +121,7 @@ def _first_pass(length: int):
 
 def _with_bytes(length: int):
     """Attach to each open run the bytes its windows cover."""
-    names = ["doc", "first", "last", "at", "low", "size", "bytes"]
+    names = ["doc", "first", "last", "at", "low", "size", "bytes", "decided"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,16 +130,16 @@ def _with_bytes(length: int):
                 cells = b.column("cells")[k].as_py()
                 for at in range(0, len(cells), 4096):
                     part = cells[at : at + 4096]
-                    f, n, a = ([c[x] for c in part] for x in ("first", "last", "at"))
+                    f, n, a, w = ([c[x] for c in part] for x in ("first", "last", "at", "decided"))
                     yield pa.record_batch(
                         [
                             pa.array([doc] * len(part), pa.binary()), pa.array(f, pa.int32()), pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array([-(length - GRAM)] * len(part), pa.int32()),
-                            pa.array([length - GRAM + 1] * len(part), pa.int32()), pa.array([data[x : y + length] for x, y in zip(f, n, strict=True)], pa.binary()),
+                            pa.array([length - GRAM + 1] * len(part), pa.int32()), pa.array([data[x : y + length] for x, y in zip(f, n, strict=True)], pa.binary()), pa.array(w, pa.bool_()),
                         ],
                         names=names,
                     )
 
-    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary"
+    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary, decided boolean"
 
 
 def _divide(length: int, size: int):
@@ -148,14 +148,14 @@ def _divide(length: int, size: int):
     ``low`` and ``size`` are a cell's place on the grid around the gram; ``first`` and ``last`` its window
     starts in the text; ``bytes`` begin at ``first``.
     """
-    names = ["doc", "first", "last", "at", "low", "size", "bytes", "narrow", "wide"]
-    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc", "first", "last", "at", "low", "size", "bytes", "decided", "narrow", "wide"]
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 cols: list[list] = [[] for _ in names]
-                for doc, first, last, at, low, old, data in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True):
+                for doc, first, last, at, low, old, data, decided in zip(*(b.slice(k, 256).column(c).to_pylist() for c in names[:8]), strict=True):
                     for cell in range(low, low + old, size):
                         f, n = max(first, at + cell), min(last, at + cell + size - 1, at + low + old - 1)
                         if f > n:
@@ -165,20 +165,36 @@ def _divide(length: int, size: int):
                         common = own[max(0, top - f) : at + cell + length - f]
                         wide = _key(own, at - f, at - n, size)
                         narrow = wide if size == 1 else _key(common, cell, 0, size)
-                        for c, v in zip(cols, (doc, f, n, at, cell, size, own, narrow, wide), strict=True):
+                        for c, v in zip(cols, (doc, f, n, at, cell, size, own, decided, narrow, wide), strict=True):
                             c.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary, narrow binary, wide binary"
+    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary, decided boolean, narrow binary, wide binary"
 
 
 def _judged(cells: DataFrame) -> DataFrame:
-    """Cells whose common bytes occur in another cell, and whether all their bytes do."""
-    both = cells.groupBy("narrow", "wide").agg(F.count(F.lit(1)).alias("n_wide"))
-    narrow = both.groupBy("narrow").agg(F.sum("n_wide").alias("n_narrow")).where("n_narrow > 1")
-    digits = both.join(narrow.select(F.col("narrow").alias("digit")), F.col("narrow") == F.col("digit"), "left_semi")
-    digits = digits.select(F.col("narrow").alias("digit"), F.col("wide").alias("next"), (F.col("n_wide") > 1).alias("repeated"))
-    return cells.join(digits, (cells.narrow == digits.digit) & (cells.wide == digits.next)).drop("digit", "next", "narrow", "wide")
+    """Cells whose common bytes occur in another cell, with ``repeated``: all their bytes do, and ``next``:
+    they go to the next pass.
+
+    Of the cells with one and the same digit pair one stays as a witness for cells that share only the common
+    bytes; ``decided`` marks witnesses, which report nothing more. Where no undecided cell is left, all go.
+    """
+    both = cells.groupBy("narrow", "wide").agg(F.count(F.lit(1)).alias("n_wide"), F.sum(F.when(F.col("decided"), 0).otherwise(1)).alias("n_fresh"), F.min(F.struct("doc", "first")).alias("witness"))
+    single = (F.col("n_wide") == 1) & (F.col("n_fresh") == 1)
+    narrow = both.groupBy(F.col("narrow").alias("digit")).agg(F.sum("n_wide").alias("n_narrow"), F.sum(F.when(single, 1).otherwise(0)).alias("n_open")).where("n_narrow > 1")
+    digits = both.join(narrow, F.col("narrow") == F.col("digit"))
+    digits = digits.select("digit", F.col("wide").alias("digit2"), (F.col("n_wide") > 1).alias("repeated"), (F.col("n_open") > 0).alias("open"), "witness")
+    found = cells.join(digits, (cells.narrow == digits.digit) & (cells.wide == digits.digit2))
+    chosen = (F.col("witness.doc") == F.col("doc")) & (F.col("witness.first") == F.col("first"))
+    return found.withColumn("next", F.col("open") & (~F.col("repeated") | chosen)).drop("digit", "digit2", "narrow", "wide", "witness", "open").where("next or (repeated and not decided)")
+
+
+def _done(judged: DataFrame) -> DataFrame:
+    return judged.where("repeated and not decided").select("doc", "first", "last")
+
+
+def _going_on(judged: DataFrame) -> DataFrame:
+    return judged.where("next").withColumn("decided", F.col("decided") | F.col("repeated")).drop("repeated", "next")
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -187,10 +203,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` has the columns doc (binary key of a row) and text.
     """
     work, schema = _first_pass(length)
-    cells = staged(texts.mapInArrow(work, schema), "runs")
+    cells = staged(texts.mapInArrow(work, schema).withColumn("decided", F.lit(False)), "runs")
     judged = staged(_judged(cells), "judged")
-    done = judged.where("repeated").select("doc", "first", "last")
-    lists = judged.where("not repeated").groupBy("doc").agg(F.collect_set(F.struct("first", "last", "at")).alias("cells"))  # a text's own runs
+    done = _done(judged)
+    lists = _going_on(judged).groupBy("doc").agg(F.collect_set(F.struct("first", "last", "at", "decided")).alias("cells"))  # a text's own runs
     work, schema = _with_bytes(length)
     cells = texts.join(lists, "doc").mapInArrow(work, schema)
     size = length - GRAM + 1
@@ -198,8 +214,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         size = -(-size // BRANCH)
         work, schema = _divide(length, size)
         judged = staged(_judged(staged(cells.mapInArrow(work, schema), "cells")), "judged")
-        done = done.union(judged.where("repeated").select("doc", "first", "last"))
-        cells = judged.where("not repeated").drop("repeated")
+        done = done.union(_done(judged))
+        cells = _going_on(judged)
         if size > 1 and cells.isEmpty():
             break
     return done
