@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -128,6 +129,28 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(stems, pa.string()), pa.array([toxic[s] for s in stems], pa.int64()), pa.array([clean[s] for s in stems], pa.int64())], names=["stem", "a", "b"])
 
 
+def _contexts(stems: set[str]):
+    """Occurrences of stems with a hash of both neighbours: copies of a text repeat a context, uses of a word don't."""
+    begins = {s[:SHORTEST] for s in stems}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = set()
+            for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+                words = ["", *TOKEN.findall((text.as_py() or "").lower()), ""]
+                for k, w in enumerate(words):
+                    if w[:SHORTEST] in begins:
+                        context = None
+                        for n in range(SHORTEST, min(len(w), LONGEST) + 1):
+                            if w[:n] in stems:
+                                context = context or zlib.crc32(f"{words[k - 1]} {words[k + 1]}".encode())
+                                rows.add((w[:n], context, y))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["stem", "context", "toxic"])
+
+    return work
+
+
 def _ratio(a: int, b: int, toxic: int, clean: int) -> float:
     """Log-likelihood ratio of a stem's document counts against the base rate."""
     base, n = toxic / (toxic + clean), a + b
@@ -162,7 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     counts = counts.where((F.col("a") > F.col("b")) & (odds > 2.5)).select("stem", "a", "b", odds.alias("odds"))
     best = counts.orderBy(F.col("a").desc(), "stem").limit(4 * STEMS).collect()
-    good = {r.stem: r.odds for r in best if _ratio(r.a, r.b, toxic, clean) >= EVIDENCE}
+    likely = {r.stem for r in best if _ratio(r.a, r.b, toxic, clean) >= EVIDENCE}
+    found = sample.select("text", (F.col("toxic") > 0).alias("toxic")).mapInArrow(_contexts(likely), "stem string, context long, toxic boolean")
+    found = found.groupBy("stem", "context").agg(F.max("toxic").alias("toxic")).groupBy("stem").agg(F.sum(F.col("toxic").cast("int")).alias("a"), F.sum((~F.col("toxic")).cast("int")).alias("b"))
+    good = {r.stem: math.log((r.a + 0.5) / (toxic + 1)) - math.log((r.b + 0.5) / (clean + 1)) for r in found.collect() if _ratio(r.a, r.b, toxic, clean) >= EVIDENCE}
+    good = {s: w for s, w in good.items() if w > 2.5}
     stems: dict[str, float] = {}
     for s in sorted(good, key=lambda s: (len(s), s)):  # the shortest stem stands for its continuations
         if len(stems) < STEMS and not any(s[:n] in stems for n in range(SHORTEST, len(s))):
