@@ -23,6 +23,8 @@ rows; extra columns are kept by ``encode`` unless they have its result's names,
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 
 MAX_STATES = 200_000
-MAX_MATCHES = 200_000
+MAX_MATCHES = 400_000
 SHORT = 32
 
 
@@ -45,9 +47,11 @@ class Ranks:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.extends = {token[:k] for token in ranks for k in range(1, len(token))}
+        extends = {token[:k] for token in ranks for k in range(1, len(token))}
+        #: Of every entry and beginning of one: its rank (-1: none), and whether an entry goes on from it.
+        self.known = {x: (ranks.get(x, -1), x in extends) for x in extends | ranks.keys()}
         self._seam: tuple[dict, dict] = ({}, {})
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
+        self._follows: dict[int, bool] = {}
 
     def merge(self, value: bytes, left: int = 1) -> list[bytes]:
         """Merge by rank until ``left`` parts remain or nothing merges."""
@@ -59,36 +63,37 @@ class Ranks:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def seam(self, token: bytes, side: int) -> list[tuple[bytes, int]] | None:
-        """The parts at one end (0: start, 1: end) of a token while it is merged, oldest last, and when each
+    def seam(self, rank: int, side: int) -> list[tuple[bytes, int]] | None:
+        """The parts at one end (0: start, 1: end) of an entry while it is merged, oldest last, and when each
         came to be (a byte: -1). None for an entry that merging never makes."""
         known = self._seam[side]
-        if token not in known:
-            at, out = token, []
+        if rank not in known:
+            at, out = self.tokens[rank], []
             while at is not None and len(at) > 1:
                 out.append((at, self.ranks[at]))
                 parts = self.merge(at, 2)
                 at = parts[-side] if len(parts) == 2 else None
-            known[token] = None if at is None else [*out, (at, -1)]
-        return known[token]
-
-    def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether merging ``left + right`` gives just these two: no two parts that meet at the border at
-        any time merge there before one of them is used up inside its own token."""
-        key = (left, right)
+            known[rank] = None if at is None else [*out, (at, -1)]
+        return known[rank]
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether merging the two entries' bytes gives just these two (``left`` -1: whether ``right`` alone does):
+        no two parts that meet at the border at any time merge there before one of them is used up inside its
+        own entry."""
+        key = left << 24 | right
         if (known := self._follows.get(key)) is None:
-            if len(self._follows) >= MAX_STATES:
+            if len(self._follows) >= 4 * MAX_STATES:
                 self._follows.clear()
-            known = self._follows[key] = self._apart(self.seam(left, 1) if left else (), self.seam(right, 0))
+            known = self._follows[key] = self._apart(self.seam(left, 1) if left >= 0 else (), self.seam(right, 0))
         return known
 
     def _apart(self, left: list[tuple[bytes, int]] | None, right: list[tuple[bytes, int]] | None) -> bool:
         if left is None or right is None:
             return False
-        i, j, until = 0, 0, 1 << 40  # backwards in time: the newer of the two parts is taken apart
+        i, j, until, ranks = 0, 0, 1 << 40, self.ranks  # backwards in time: the newer of the two parts is taken apart
         while i < len(left) and j < len(right):
             (a, made_a), (b, made_b) = left[i], right[j]
-            if self.ranks.get(a + b, 1 << 40) < until:
+            if ranks.get(a + b, 1 << 40) < until:
                 return False
             if made_a > made_b:
                 until, i = made_a, i + 1
@@ -98,52 +103,56 @@ class Ranks:
 
 
 class Transducer:
+    """States are numbered as they turn up. Beside its name a state keeps its live ends: the places in the
+    waiting bytes from where an entry may still go on past the last byte, with the ids up to there."""
+
     def __init__(self, ranks: Ranks):
         self.r = ranks
         self._reset()
 
     def _reset(self, start: tuple | None = None) -> int:
         """Empty tables but for the start state and, if given, the state to go on from; returns its number."""
-        self.key: list[tuple[bytes, bytes]] = []  # (last emitted token, bytes that wait)
-        self.chains: list[tuple] = []  # for every end in the waiting bytes its tokens; None: its last token began earlier
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.key: list[tuple[int, bytes]] = []  # (last emitted id, bytes that wait)
+        self.live: list[list[tuple[int, tuple[int, ...]]]] = []
+        self.number: dict[tuple[int, bytes], int] = {}
         self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((b"", b""), ((),))
+        self._state((-1, b""), [(0, ())])
         return self._state(*start) if start else 0
 
-    def _state(self, key: tuple[bytes, bytes], chains: tuple) -> int:
+    def _state(self, key: tuple[int, bytes], live: list) -> int:
         if (at := self.number.get(key)) is None:
             at = self.number[key] = len(self.key)
             self.key.append(key)
-            self.chains.append(chains)
+            self.live.append(live)
             self.next.append({})
         return at
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        r, (before, wait), chains = self.r, self.key[state], self.chains[state]
-        wait += bytes((byte,))
-        n, made = len(wait), None
-        low = max(0, n - r.longest)
-        live = []
-        for k in range(low, n):
-            if (chain := chains[k]) is None:
-                continue
-            token = wait[k:]
-            if token in r.extends:
-                live.append(chain)
-            if made is None and token in r.ranks and r.follows(chain[-1] if chain else before, token):
-                made = (*chain, token)
-        live.append(made)
-        chains = (*chains, made)
-        shared, short = 0, min(map(len, live))
-        while shared < short and all(c[shared] == made[shared] for c in live):
-            shared += 1
-        sure = made[:shared]
-        if sure:  # emitted; an end that was passed over, or lies before, can't matter again
-            n = sum(map(len, sure))
-            before, wait = sure[-1], wait[n:]
-            chains = tuple(c[shared:] if c is not None and c[:shared] == sure else None for c in chains[n:])
-        return self._state((before, wait), chains), tuple(r.ranks[t] for t in sure)
+    def _step(self, state: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
+        r, (before, wait) = self.r, self.key[state]
+        known = r.known
+        wait += byte
+        made, live = None, []
+        for end in self.live[state]:
+            k, chain = end
+            if (entry := known.get(wait[k:])) is not None:
+                rank, goes_on = entry
+                if goes_on:
+                    live.append(end)
+                if made is None and rank >= 0 and r.follows(chain[-1] if chain else before, rank):
+                    made = (*chain, rank)  # the one entry that may come last
+        live.append((len(wait), made))
+        first = live[0][1]  # emitted is what all chains begin with
+        shared = min(len(c) for _, c in live)
+        while any(c[:shared] != first[:shared] for _, c in live):
+            shared -= 1
+        if shared:
+            sure = first[:shared]
+            cut = sum(len(r.tokens[t]) for t in sure)
+            before, wait = sure[-1], wait[cut:]
+            live = [(k - cut, c[shared:]) for k, c in live]
+        else:
+            sure = ()
+        return self._state((before, wait), live), sure
 
     def run(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -151,20 +160,23 @@ class Transducer:
             self._reset()
         out: list[int] = []
         state, table = 0, self.next
-        for byte in piece:
+        for at, byte in enumerate(piece):
             found = table[state].get(byte)
             if found is None:
-                found = table[state][byte] = self._step(state, byte)
+                found = table[state][byte] = self._step(state, piece[at : at + 1])
                 if len(self.key) > 2 * MAX_STATES:  # a very long piece: go on from its state in empty tables
-                    found = (self._reset((self.key[found[0]], self.chains[found[0]])), found[1])
+                    found = (self._reset((self.key[found[0]], self.live[found[0]])), found[1])
                     table = self.next
             state, ids = found
             if ids:
                 out.extend(ids)
-        out.extend([self.r.ranks[t] for t in self.chains[state][-1]])
+        out.extend(self.live[state][-1][1])
         return out
 
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"  # noqa: S101
+
+
 class Codec:
     """Encode and decode whole texts; memory is bounded by the tables' limits and the text itself."""
 
@@ -173,14 +185,18 @@ class Codec:
         self.machine = Transducer(self.ranks)
         self.split = regex.compile(pattern)
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the table that ``seen`` followed: what is still in use moves over
 
     def _ids(self, match: str) -> bytes:
+        if (ids := self.before.get(match)) is not None:
+            self.seen[match] = ids
+            return ids
         piece = match.encode()
         whole = self.ranks.ranks.get(piece)  # an entry that is a whole match stands for itself
-        ids = np.array(self.machine.run(piece) if whole is None else [whole], "<u4").tobytes()
+        ids = array("I", self.machine.run(piece) if whole is None else [whole]).tobytes()
         if len(match) <= SHORT:
             if len(self.seen) >= MAX_MATCHES:
-                self.seen.clear()
+                self.before, self.seen = self.seen, {}
             self.seen[match] = ids
         return ids
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, embdup, neardup, repeats, sharding, toxicity
+from tidemark.llm import bpe, chat, decontam, embdup, linedup, neardup, repeats, sharding, toxicity
 from tidemark.session import table
 
 
@@ -60,12 +60,18 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, grammar).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.coalesce("text", F.lit(""))
+    return linedup.without_repeats(docs).select("doc_id", "n_lines", "n_repeats", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op10_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = embdup.near_vectors(table(spark, sf_dir, "embeddings"))
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-QUERIES = {"op8_toxicity_grammar": op8_toxicity_grammar, "op3_repeated_bytes": op3_repeated_bytes, "op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op9_line_edit_join": op9_line_edit_join, "op8_toxicity_grammar": op8_toxicity_grammar, "op3_repeated_bytes": op3_repeated_bytes, "op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END"
