@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, embdup, linedup, neardup, repeats, sharding, toxicity
+from tidemark.llm import bpe, chat, decontam, embdup, linedup, neardup, pii, repeats, sharding, toxicity
 from tidemark.session import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, key="tidemark-1")
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("__size"))
     placed = sharding.shard_records(docs, 16, ["doc_id", "text_crc32"], F.col("__size"))
@@ -71,7 +76,7 @@ def op10_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-QUERIES = {"op9_line_edit_join": op9_line_edit_join, "op8_toxicity_grammar": op8_toxicity_grammar, "op3_repeated_bytes": op3_repeated_bytes, "op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op1_pii_surrogates": op1_pii_surrogates, "op9_line_edit_join": op9_line_edit_join, "op8_toxicity_grammar": op8_toxicity_grammar, "op3_repeated_bytes": op3_repeated_bytes, "op4_decontamination": op4_decontamination, "op10_pstable_vectors": op10_pstable_vectors, "op5_hyperminhash": op5_hyperminhash, "op2_virtual_slots": op2_virtual_slots, "op6_chat_format": op6_chat_format, "op7_byte_bpe": op7_byte_bpe}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 _SHINGLES = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END"
