@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 
 MAX_STATES = 200_000
-MAX_MATCHES = 400_000
+MAX_MATCHES = 600_000
 SHORT = 32
 
 
@@ -141,17 +141,16 @@ class Transducer:
                 if made is None and rank >= 0 and r.follows(chain[-1] if chain else before, rank):
                     made = (*chain, rank)  # the one entry that may come last
         live.append((len(wait), made))
-        first = live[0][1]  # emitted is what all chains begin with
-        shared = min(len(c) for _, c in live)
-        while any(c[:shared] != first[:shared] for _, c in live):
-            shared -= 1
-        if shared:
-            sure = first[:shared]
+        sure = live[0][1]  # emitted is what all chains begin with
+        if sure:
+            for _, c in live:
+                while c[: len(sure)] != sure:
+                    sure = sure[:-1]
+        if sure:
+            shared = len(sure)
             cut = sum(len(r.tokens[t]) for t in sure)
             before, wait = sure[-1], wait[cut:]
             live = [(k - cut, c[shared:]) for k, c in live]
-        else:
-            sure = ()
         return self._state((before, wait), live), sure
 
     def run(self, piece: bytes) -> list[int]:
