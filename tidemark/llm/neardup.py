@@ -12,7 +12,8 @@ Every document with an equal set is one class first. Then, over class representa
    the others: one row a member, however large the bucket.
 2. Pairs are dropped by the estimate (five standard errors, corrected for accidental register collisions),
    then verified on the full sets. Links give components.
-3. What a pivot left apart is settled exactly. In small buckets members of different components are paired.
+3. What a pivot left apart is settled exactly. In small buckets members of different components are compared
+   where they meet; only hopeful pairs become rows.
    In large ones both members' differences from the pivot are compared: with D(x) the difference to the
    pivot, x and y are linked exactly if |D(x) ^ D(y)| <= 15/185 (|x| + |y|), which a member in another
    component than the pivot can only meet by sharing an added shingle or, within arithmetic bounds, a
@@ -134,6 +135,37 @@ def _hopeful(least: float):
     return work
 
 
+def _met(least: float):
+    """Pairs of a bucket's members in different components whose sizes and sketches allow a link.
+
+    Rows come sorted by key. Sketches are compared where they meet; a pair becomes a row only if it is hopeful.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, out = None, [], []
+
+        def compare() -> None:
+            for k, (x, cx, nx, sx) in enumerate(members):
+                for y, cy, ny, sy in members[:k]:
+                    if cx != cy and min(nx, ny) >= least * max(nx, ny) - 1e-9:
+                        got, on = estimate(sx, sy, (nx, ny))
+                        if got >= least - 5 * (least * (1 - least) / max(on, 1)) ** 0.5 - 0.02:
+                            out.append((min(x, y), max(x, y)))
+
+        for b in batches:
+            for key, id_, component, n, sketch_ in zip(*(b.column(c).to_pylist() for c in ("key", "id", "component", "n_shingles", "sketch")), strict=True):
+                if key != now:
+                    compare()
+                    now, members = key, []
+                members.append((id_, component, n, np.frombuffer(sketch_, np.uint16)))
+            yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+        compare()
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return work
+
+
 def _verified(percent: int, differences: bool):
     """Keep linked pairs, or say of each pair how it differs: what a adds to b, what it lacks."""
 
@@ -219,10 +251,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     labelled = staged(labelled.join(open_keys, "key"), "open")
     small = labelled.where(F.col("n") <= SMALL_BUCKET)
-    other = small.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    crossing = small.join(other, "key").where("id < b and component <> component_b").select(F.col("id").alias("a"), "b").distinct()
+    small = small.join(search.profiles, "id").select("key", "id", "component", "n_shingles", "sketch").repartition("key").sortWithinPartitions("key")
+    crossing = small.mapInArrow(_met(percent / 100), "a long, b long").distinct()
     crossing = crossing.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = staged(search.linked(search.hopeful(crossing)).union(_beside_pivots(search, labelled.where(F.col("n") > SMALL_BUCKET), percent)), "links")
+    more = staged(search.linked(crossing).union(_beside_pivots(search, labelled.where(F.col("n") > SMALL_BUCKET), percent)), "links")
     links = links.union(more)
     components = connected(links)
 
