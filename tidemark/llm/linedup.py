@@ -22,6 +22,7 @@ one document; an empty table: no rows; extra columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +61,27 @@ def _segments(n: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(line: str, edits: int = EDITS) -> set[int]:
-    """Index and probe keys of a line."""
-    n, out = len(line), set()
+@lru_cache(maxsize=1 << 14)
+def _places(n: int, edits: int) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, seed) of the substrings of a line of n characters that are indexed or probe."""
+    out = set()
     for other in range(max(n - edits, 1), n + 1):
         gap = n - other
         for k, (at, size) in enumerate(_segments(other, edits + 1)):
             after = edits - k
             for start in range(max(at - k, at + gap - after, 0), min(at + k, at + gap + after, n - size) + 1):
-                out.add(xxhash.xxh3_64_intdigest(line[start : start + size].encode("utf-8", "replace"), other * 16 + k) - (1 << 63))
-    return out
+                out.add((start, start + size, other * 16 + k))
+    return tuple(sorted(out))
+
+
+def keys_of(line: str, edits: int = EDITS) -> set[int]:
+    """Index and probe keys of a line, unsigned."""
+    data, hashed = line.encode("utf-8", "replace"), xxhash.xxh3_64_intdigest
+    if len(data) == len(line):
+        return {hashed(data[a:b], seed) for a, b, seed in _places(len(line), edits)}
+    at = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80).tolist()  # where characters begin
+    at.append(len(data))
+    return {hashed(data[at[a] : at[b]], seed) for a, b, seed in _places(len(line), edits)}
 
 
 def within(x: str, y: str, edits: int) -> bool:
@@ -141,7 +153,7 @@ def _keyed(edits: int):
                             own = keys_of(line, edits)
                             keys.extend(own)
                             codes.extend([_code(line)] * len(own))
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(codes, pa.int64())], names=["key", "code"])
+                yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(codes, pa.int64())], names=["key", "code"])
 
     return work
 
@@ -156,9 +168,9 @@ def _filtered(edits: int, bits: bytes):
                     for _, line in lines_of(text.as_py()):
                         if line not in seen:
                             seen.add(line)
-                            own = np.fromiter(keys_of(line, edits), np.int64)
-                            cell = own.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                            own = own[(filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                            own = np.fromiter(keys_of(line, edits), np.uint64)
+                            cell = own >> np.uint64(64 - FILTER_BITS)
+                            own = own.view(np.int64)[(filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                             keys.extend(own.tolist())
                             codes.extend([_code(line)] * len(own))
                             lines.extend([line] * len(own))
