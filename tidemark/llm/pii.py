@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from tidemark.session import staged
 
 # The patterns of the entity types (Java syntax), tried in this order at each place.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 CARD = r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?:(?=[a-f]*\d)[0-9a-f]{32,64}|(?=[A-F]*\d)[0-9A-F]{32,64})(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 MALE = r"(?:Mr|Herr|Herrn|Monsieur|Señor|Sr|Don)"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña)"
@@ -44,6 +44,17 @@ SYLLABLES = {"latin": "ba de fi go lu ma ne pi ro su ta ve wi zo la ke".split(),
 MOST_ATTEMPTS = 64
 
 
+TITLES = ("Mr", "Ms", "Miss", "Herr", "Monsieur", "Señor", "Sr", "Don", "Frau", "Madame", "Mme", "Mlle", "Doña")
+
+
+def _hint(t: Column) -> Column:
+    """Whether a text can hold an entity at all: each has a digit, an @ or a title. Spares most texts the patterns."""
+    out = F.regexp_like(t, F.lit("[0-9@]"))
+    for title in TITLES:
+        out = out | t.contains(title)
+    return out
+
+
 def _kind(e: Column) -> Column:
     whole = lambda p: F.regexp_like(e, F.lit(f"^(?:{p})$"))
     out = F.when(e.contains("@"), "email")
@@ -172,7 +183,7 @@ def with_surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "
     """The rows with ``text`` rewritten, and n_entities, n_distinct and the kinds found."""
     names = [c for c in docs.columns if c not in ("n_entities", "n_distinct", "kinds")]
     t = F.col(f"`{text}`")
-    found = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__found", F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    found = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__found", F.when(_hint(t), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     some = found.where(F.size("__found") > 0).withColumn("__hash", F.xxhash64(text)).withColumn("__crc", F.crc32(t))
 
     mentions = some.select(F.col(f"`{id}`").alias("id"), "__hash", "__crc", F.posexplode("__found").alias("k", "entity")).withColumn("kind", _kind(F.col("entity")))
