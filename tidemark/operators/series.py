@@ -80,7 +80,7 @@ def sample_interval(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     values = F.array_sort(F.collect_list(F.when(F.col("g") > 0, F.col("g").cast("long"))))
     got = gaps.groupBy(*keys).agg(values.alias("g"))
     middle = at(F.col("g"), F.floor(F.size("g") / 2))
-    return got.select(*keys, F.coalesce(F.greatest(F.lit(60), F.least(F.lit(900), middle)), F.lit(300)).cast("long").alias("step"))
+    return got.select(*keys, F.when(middle.isNull(), 300).otherwise(F.greatest(F.lit(60), F.least(F.lit(900), middle))).cast("long").alias("step"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], gap: float = 300, start: str = "ts", end: str | None = None) -> DataFrame:
