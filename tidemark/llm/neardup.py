@@ -23,7 +23,7 @@ Nothing is capped: small and large buckets differ in route only. Links between d
 from all buckets; copies stay rows of their class.
 
 Defined results: null or empty text: an empty set, a component of its own; ties and repeated rows: copies of
-one class; null id: a row without component (null ids cannot be told apart); empty table: no rows; extra
+one class; null id: not searched, it only takes the component of an equal text if there is one; empty table: no rows; extra
 columns are ignored. The text column is read once for sketches and once for the sets of candidates.
 """
 

@@ -82,6 +82,20 @@ _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 _SHINGLES = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] END"
 
 SQL: dict[str, str] = {
+    "op5_hyperminhash": f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON r.seen = p.a),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t LEFT JOIN n USING (doc_id) JOIN m ON m.id = t.doc_id""",
+    "op6_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+sum(CASE WHEN role = 'assistant' THEN 7 ELSE 13 END + 1 + length(role) + length(regexp_replace(text, '([<\\[])(\\\\*)(/?(?:s>|INST\\]))', '\\1\\2\\\\\\3', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op4_decontamination": f"""
 WITH d AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
 b AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
