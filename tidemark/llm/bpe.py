@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_MATCHES = 600_000
 SHORT = 32
 
