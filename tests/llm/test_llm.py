@@ -304,6 +304,19 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
     assert left == dict(enumerate(texts))
 
 
+def test_short_lines_repeat_where_equal(spark):
+    from tidemark.llm import queries
+
+    long = "a line of more than twenty-four characters"
+    texts = ["Fin.\nAll rights reserved.\n" + long, " Fin. \nAll rights preserved.\n\n" + long, "Fin\n}\n\n}\n", "All rights reserved.\r\nx", None]
+    d = docs_of(spark, texts)
+    got = {x.doc_id: (x.text, x.n_repeats) for x in linedup.without_repeats(d, short=True).collect()}
+    assert got == {0: (texts[0], 0), 1: ("All rights preserved.\n", 2), 2: ("Fin\n}\n\n", 1), 3: ("x", 1), 4: (None, 0)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "table", lambda *_: d)
+        assert {x.doc_id: x.n_repeats for x in queries.op9_line_edit_join(spark, "").collect()} == {k: n for k, (_, n) in got.items()}
+
+
 # vectors -------------------------------------------------------------------------------------------------
 
 def test_vectors_against_brute_force(spark, monkeypatch):

@@ -14,8 +14,11 @@ links within a block leave it. If the filter fills up, more lines move; results
 Classes are the components of the links; equal lines are in one class. The first line of a class by (id,
 number) stays, later ones repeat it.
 
-Defined results: lines are stripped of blanks at both ends; those under ``SHORTEST`` characters never repeat; null
-or empty text: no lines; null id: its lines neither repeat nor are repeated; rows with equal ids are treated as
+Lines under ``SHORTEST`` characters are too short for two edits to mean the same line. With ``short`` they repeat
+where they are equal; they have a code but no keys, so they stay out of the edit join.
+
+Defined results: lines are stripped of blanks at both ends; blank lines never repeat, and those under ``SHORTEST``
+characters only with ``short``; null or empty text: no lines; null id: its lines neither repeat nor are repeated; rows with equal ids are treated as
 one document; an empty table: no rows; extra columns pass through.
 """
 
@@ -39,11 +42,11 @@ CHUNK = 256
 FILTER_BITS = 25
 
 
-def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """(number, line) of the lines that can repeat."""
+def lines_of(text: str | None, least: int = SHORTEST) -> list[tuple[int, str]]:
+    """(number, line) of the lines of ``least`` characters or more; by default those of the edit join."""
     if not text:
         return []
-    return [(k, s) for k, x in enumerate(text.split("\n")) if len(s := x.strip(" \t\r")) >= SHORTEST]
+    return [(k, s) for k, x in enumerate(text.split("\n")) if len(s := x.strip(" \t\r")) >= least]
 
 
 def _code(line: str) -> int:
@@ -130,15 +133,18 @@ def within(x: str, y: str, edits: int) -> bool:
     return bool(rows[edits] >> (len(x) - len(y) + edits) & 1)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, numbers, codes = [], [], []
-        for id_, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-            for k, line in lines_of(text.as_py()):
-                ids.append(id_)
-                numbers.append(k)
-                codes.append(_code(line))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(codes, pa.int64())], names=["id", "line", "code"])
+def _occurrences(least: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, numbers, codes = [], [], []
+            for id_, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
+                for k, line in lines_of(text.as_py(), least):
+                    ids.append(id_)
+                    numbers.append(k)
+                    codes.append(_code(line))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(codes, pa.int64())], names=["id", "line", "code"])
+
+    return work
 
 
 def _keyed(edits: int):
@@ -163,18 +169,21 @@ def _filtered(edits: int, bits: bytes):
         filter_ = np.frombuffer(bits, np.uint8)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, codes, lines, seen = [], [], [], set()
+                keys, sizes, codes, lines, seen = [], [], [], [], set()
                 for text in b.slice(at, 256).column("text"):
                     for _, line in lines_of(text.as_py()):
                         if line not in seen:
                             seen.add(line)
-                            own = np.fromiter(keys_of(line, edits), np.uint64)
-                            cell = own >> np.uint64(64 - FILTER_BITS)
-                            own = own.view(np.int64)[(filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                            keys.extend(own.tolist())
-                            codes.extend([_code(line)] * len(own))
-                            lines.extend([line] * len(own))
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(codes, pa.int64()), pa.array(lines, pa.string())], names=["key", "code", "text"])
+                            own = keys_of(line, edits)
+                            keys.extend(own)
+                            sizes.append(len(own))
+                            codes.append(_code(line))
+                            lines.append(line)
+                keys = np.array(keys, np.uint64)
+                cell = keys >> np.uint64(64 - FILTER_BITS)
+                hit = (filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                of = pa.array(np.repeat(np.arange(len(sizes)), sizes)[hit])
+                yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(codes, pa.int64()).take(of), pa.array(lines, pa.string()).take(of)], names=["key", "code", "text"])
 
     return work
 
@@ -245,10 +254,10 @@ def _filter_of(keys: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, short: bool = False) -> DataFrame:
     """(id, line, repeats): every line that can repeat, and whether it repeats an earlier one."""
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    lines = staged(source.mapInArrow(_occurrences, "id long, line int, code long"), "lines")
+    lines = staged(source.mapInArrow(_occurrences(1 if short else SHORTEST), "id long, line int, code long"), "lines")
     firsts = lines.groupBy("code").agg(F.min(F.struct("id", "line")).alias("first"))
 
     keys = source.select("text").mapInArrow(_keyed(edits), "key long, code long")
@@ -268,13 +277,13 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
     return lines.join(known, "code").select("id", "line", (F.struct("id", "line") != F.col("top")).alias("repeats"))
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, leave: float = 1.0) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, leave: float = 1.0, short: bool = False) -> DataFrame:
     """The rows with repeated lines taken out of ``text``, and two columns more: n_lines and n_repeats.
 
     A text of which more than the share ``leave`` of characters would go is a copy as a whole and stays as
     it is, for a later step on whole documents.
     """
-    found = line_classes(docs, id, text, edits).where("repeats").groupBy("id").agg(F.collect_set("line").alias("gone"))  # a document's own lines
+    found = line_classes(docs, id, text, edits, short).where("repeats").groupBy("id").agg(F.collect_set("line").alias("gone"))  # a document's own lines
     found = found.select(F.col("id").alias("__id"), F.array_sort("gone").alias("__gone"))
     split = F.split(F.col(f"`{text}`"), "\n", -1)
     kept = F.filter(F.transform(F.col("__lines"), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col("__gone"), s.k))

@@ -68,7 +68,7 @@ def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.coalesce("text", F.lit(""))
-    return linedup.without_repeats(docs).select("doc_id", "n_lines", "n_repeats", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+    return linedup.without_repeats(docs, short=True).select("doc_id", "n_lines", "n_repeats", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op10_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
