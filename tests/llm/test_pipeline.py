@@ -73,3 +73,17 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for d in want:
         assert got[d].text == docs[d] and np.frombuffer(got[d].token_ids, "<u4").tolist() == plain.encode_ordinary(docs[d] or "")
+
+
+def test_line_stage_cuts_all_but_whole_copies(spark):
+    r = random.Random(4)
+    new = lambda n: [" ".join("".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(8)) for _ in range(n)]
+    first, block, others, tail = new(10), new(3), new(4), new(1)
+    texts = [first, first[:6] + others, first[:6] + others, block * 4, [*first, *tail], None]
+    texts = [t and "\n".join(t) for t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], schema)
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = {0: first, 1: others, 3: block, 5: None}  # 2 and 4 are copies of 1, itself cut, and of 0
+    want = {k: t and "\n".join(t) for k, t in want.items()}
+    assert got == {k: (t, len(t or "")) for k, t in want.items()}
