@@ -100,6 +100,31 @@ def test_span_guards():
     assert len(ev.compact(long, 480, 120)) == 1
 
 
+def test_ensemble_counts_votes(spark, monkeypatch):
+    made = {
+        "mad": [finding(1000, by=("MAD",), z=4.0), finding(2000, by=("MAD",)), finding(3000, by=("MAD",), z=5.0), finding(4000, by=("MAD",))],
+        "esd": [finding(1000, by=("ESD",), z=9.0), finding(3000, by=("ESD",), z=4.0), finding(4000, by=("ESD",))],
+        "forest": [finding(3000, by=("IsolationForest",), z=0.7), finding(4000, by=("IsolationForest",)), finding(5000, by=("IsolationForest",))],
+        "shesd": [finding(4000, by=("SHESD",)), finding(5060, by=("SHESD",))],
+    }
+    for module, name, key in ((d, "mad_anomalies", "mad"), (g, "esd", "esd"), (g, "isolation_forest", "forest"), (g, "shesd", "shesd")):
+        monkeypatch.setattr(module, name, lambda df, key=key: frame(spark, made[key]))
+    got = {int(r.ts.timestamp()): r for r in g.ensemble(rows(spark, noisy(30), step=60)).collect()}
+    assert {t: len(r.detected_by) for t, r in got.items()} == {1000: 2, 3000: 3, 4000: 4}
+    assert got[1000].z_score == 9.0 and got[3000].z_score == 5.0
+    assert got[3000].severity == "HIGH" and got[4000].severity == "CRITICAL"
+    assert got[1000].detail.endswith("(agreement: 2/4 methods)")
+
+
+def test_ensemble_finds_a_planted_point(spark):
+    v = noisy()
+    v[150] = 4000
+    got = g.ensemble(rows(spark, v, step=3600)).select(F.unix_seconds("ts").alias("t"), "severity").collect()
+    assert (1000 + 150 * 3600, "CRITICAL") in [(r.t, r.severity) for r in got]
+    assert g.ensemble(rows(spark, v[140:160], step=3600)).count() == 0
+    assert g.ensemble(rows(spark, noisy(), step=3600)).collect() == []  # no method finds anything
+
+
 def test_session_merge_and_votes(spark):
     df = frame(spark, [finding(1000, by=("MAD",)), finding(1120, "QPS_DROP", "HIGH", z=-9.0, by=("ESD",)), finding(99000, by=("MAD",))])
     got = ev.session_merge(df).orderBy("ts").collect()

@@ -7,6 +7,7 @@ against others: longer series are split into consecutive pieces of that size, so
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ def per_series(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sche
 def found(pdf: pd.DataFrame, at, detector: str, z, baseline, severity, kind=None) -> pd.DataFrame:
     at = np.asarray(at, int)
     v = pdf.value.to_numpy()[at]
+    severity = severity if isinstance(severity, str) else np.asarray(severity, object)  # an empty list would be a column of floats
     base = np.broadcast_to(np.asarray(baseline, float), len(at)) if np.ndim(baseline) == 0 else np.asarray(baseline)[at]
     return pd.DataFrame(
         {
@@ -183,6 +185,32 @@ def isolation_forest(df: DataFrame, least: float = 0.6) -> DataFrame:
     return per_series(df, work, SCHEMA)
 
 
+def ensemble(df: DataFrame, least: int = 2, least_points: int = 24) -> DataFrame:
+    """Points found by ``least`` or more of MAD, ESD, isolation forest and S-H-ESD, by exact time.
+
+    The first method in that order gives the finding; three votes make it HIGH, four CRITICAL; z is the largest.
+    """
+    from tidemark.operators.detectors import KEY, mad_anomalies
+
+    enough = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_points).select(*KEY)
+    df = df.join(enough, KEY, "left_semi")
+    methods = [mad_anomalies, esd, isolation_forest, shesd]
+    parts = [detect(df).withColumn("__k", F.lit(k)) for k, detect in enumerate(methods)]
+    found_ = reduce(DataFrame.unionByName, parts)
+    columns = [c for c in found_.columns if c != "__k"]
+    z = F.coalesce("z_score", F.lit(0.0))
+    first = F.min_by(F.struct(*columns), F.struct("__k", -z)).alias("f")
+    votes = found_.groupBy("series_id", "ts").agg(first, F.count_distinct("__k").alias("votes"), F.max("z_score").alias("z"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("detected_by")))).alias("by"))
+    votes = votes.where(F.col("votes") >= least)
+    made = {c: F.col(f"f.{c}") for c in columns} | {
+        "severity": F.when(F.col("votes") >= 4, "CRITICAL").when(F.col("votes") >= 3, "HIGH").otherwise(F.col("f.severity")),
+        "z_score": F.col("z"),
+        "detected_by": F.col("by"),
+        "detail": F.concat(F.col("f.detail"), F.lit(" (agreement: "), F.col("votes").cast("string"), F.lit(f"/{len(methods)} methods)")),
+    }
+    return votes.select(*[v.alias(k) for k, v in made.items()])
+
+
 class RandomCutTree:
     """Tree of random cuts over the last points; the score of a point is what its insertion displaces."""
 
