@@ -125,6 +125,25 @@ def test_ensemble_finds_a_planted_point(spark):
     assert g.ensemble(rows(spark, noisy(), step=3600)).collect() == []  # no method finds anything
 
 
+def test_abnormal_runs_every_detector(spark, monkeypatch):
+    from tidemark import catalog
+    from tidemark.plans import abnormal as ab
+
+    v = noisy()
+    v[100:130] = 100  # a sustained run
+    v[200] = 4000
+    got = ab.findings(rows(spark, v, step=3600)).groupBy(F.col("detected_by")[0].alias("by")).agg(F.collect_set("type").alias("types"))
+    got = {r.by: r.types for r in got.collect()}
+    assert "SUSTAINED_LOW_QPS" in got["Core"] and "QPS_SPIKE" in got["Ensemble"]
+    asked = []
+    monkeypatch.setattr(ab, "findings", lambda qps, latency=None, names=None: asked.append(names) or d.mad_anomalies(qps))
+    monkeypatch.setattr(catalog, "planted", lambda df: df)
+    monkeypatch.setattr(catalog.m, "hourly", lambda *_: rows(spark, v, step=3600))
+    monkeypatch.setattr(catalog.m, "latency", lambda *_: rows(spark, v, step=3600))
+    catalog.QUERIES["abnormal"](spark, "")
+    assert asked == [None]
+
+
 def test_session_merge_and_votes(spark):
     df = frame(spark, [finding(1000, by=("MAD",)), finding(1120, "QPS_DROP", "HIGH", z=-9.0, by=("ESD",)), finding(99000, by=("MAD",))])
     got = ev.session_merge(df).orderBy("ts").collect()

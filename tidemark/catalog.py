@@ -446,7 +446,7 @@ def _(spark, f):
 
 @query("abnormal")
 def _(spark, f):
-    return ab.abnormal(planted(m.hourly(spark, f)), m.latency(spark, f), step=3600, names=["MAD", "STL", "HourlyBaseline", "Contextual", "DynamicThreshold", "MultiScale", "EMA", "SHESD", "SpectralResidual"])
+    return ab.abnormal(planted(m.hourly(spark, f)), m.latency(spark, f), step=3600)
 
 
 # workload ----------------------------------------------------------------------------------------------------------

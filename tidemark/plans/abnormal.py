@@ -15,8 +15,9 @@ from tidemark.session import staged
 
 #: Detectors on a load series. Users register more under their own names.
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "MAD": d.mad_anomalies, "STL": d.decomposition_anomalies, "HourlyBaseline": d.hourly_baseline, "Contextual": d.contextual, "DynamicThreshold": d.dynamic_threshold, "Volatility": d.volatility,
+    "Core": d.core_all, "MAD": d.mad_anomalies, "STL": d.decomposition_anomalies, "HourlyBaseline": d.hourly_baseline, "Contextual": d.contextual, "DynamicThreshold": d.dynamic_threshold, "Volatility": d.volatility,
     "MultiScale": d.multi_scale, "EMA": g.ema_detector, "ESD": g.esd, "SHESD": g.shesd, "IsolationForest": g.isolation_forest, "SpectralResidual": g.spectral_residual, "DBSCAN": g.dbscan, "HoltWinters": g.holt_winters, "Peaks": g.peak_anomalies,
+    "Ensemble": g.ensemble,
 }
 
 
@@ -25,9 +26,12 @@ def register(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def findings(qps: DataFrame, latency: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """All detectors' findings, each tagged with its detector. The series is staged once and read by all."""
+    """All detectors' findings, each tagged with its detector. The series is staged once and read by all.
+
+    Findings are staged by detector: one plan of all detectors outgrows the driver.
+    """
     qps = staged(qps, "qps")
-    parts = [DETECTORS[n](qps).withColumn("detected_by", F.array(F.lit(n))) for n in names or DETECTORS]
+    parts = [staged(DETECTORS[n](qps).withColumn("detected_by", F.array(F.lit(n))), "findings") for n in names or DETECTORS]
     parts.append(d.raw_rolling(qps, detector="raw_qps"))
     if latency is not None:
         parts += [d.latency_anomalies(latency), d.raw_rolling(latency, "LATENCY_SPIKE", "raw_latency", latency=True), d.sustained_latency(latency)]
@@ -37,7 +41,8 @@ def findings(qps: DataFrame, latency: DataFrame | None = None, names: list[str]
 def abnormal(qps: DataFrame, latency: DataFrame | None = None, backend: DataFrame | None = None, statements: DataFrame | None = None, storage: DataFrame | None = None, step: int = 120, names: list[str] | None = None, least_points: int = 80) -> DataFrame:
     """Validated events of every series with enough points."""
     enough = qps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_points).select("series_id")
-    qps = qps.join(enough, "series_id", "left_semi")
+    qps = staged(qps.join(enough, "series_id", "left_semi"), "qps")
+    latency = latency if latency is None else staged(latency, "latency")
     found = staged(findings(qps, latency, names), "findings")
     merged = e.confident(e.session_merge(found))
     single = found.where(F.exists("detected_by", lambda x: x.startswith("raw_") | (x == "sustained_latency")))
