@@ -14,10 +14,10 @@ Every document with an equal set is one class first. Then, over class representa
    then verified on the full sets. Links give components.
 3. What a pivot left apart is settled exactly. In small buckets members of different components are compared
    where they meet; only hopeful pairs become rows.
-   In large ones both members' differences from the pivot are compared: with D(x) the difference to the
-   pivot, x and y are linked exactly if |D(x) ^ D(y)| <= 15/185 (|x| + |y|), which a member in another
-   component than the pivot can only meet by sharing an added shingle or, within arithmetic bounds, a
-   removed one. So candidates meet on rare keys and not on the bucket.
+   In large ones members are dealt into chunks and strays, the members in other components than the pivot, are
+   compared with each chunk through their differences from the pivot: with D(x) the difference of x and the
+   pivot, x ^ y = D(x) ^ D(y), so counting shared cells of these short sets decides a link exactly. Only links
+   leave a chunk.
 
 Nothing is capped: small and large buckets differ in route only. Links between different texts are found
 from all buckets; copies stay rows of their class.
@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shingles as sh
 from tidemark.llm.components import connected
+from tidemark.llm.memory import tidy
 from tidemark.session import staged
 
 REGISTERS = 256
 MANTISSA = 10
 BANDS, ROWS = 56, 8
 SMALL_BUCKET = 8
+CHUNK, CHUNK_CELLS = 256, 1 << 19
 
 _rng = np.random.default_rng(20240601)
 _BORROW = np.stack([_rng.permutation(REGISTERS) for _ in range(REGISTERS)]).astype(np.int16)
@@ -223,7 +225,7 @@ def _labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: id, n_shingles, component (smallest id reachable by links), class (smallest id with an equal set)."""
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    profiles = staged(source.mapInArrow(_profiles, "id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "profiles")
+    profiles = staged(source.mapInArrow(tidy(_profiles, sh.forget), "id long, n_shingles long, digest binary, sketch binary, bands array<long>"), "profiles")
     known = profiles.where("id is not null and digest is not null")
     classes = staged(known.groupBy("digest").agg(F.min("id").alias("class")), "classes")
     heads = known.join(classes, [known.id == classes["class"], known.digest == classes.digest], "left_semi")
@@ -239,7 +241,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 
     members = entries.select("id").distinct()
     wanted = source.where("id is not null").join(members, "id", "left_semi")
-    sets = staged(wanted.mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = staged(wanted.mapInArrow(tidy(_sets, sh.forget), "id long, shingles binary"), "sets")
     search = _Search(heads.join(members, "id", "left_semi").select("id", "n_shingles", "sketch"), sets, percent)
 
     pairs = staged(search.hopeful(entries.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs")
@@ -264,25 +266,79 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     return joined.select("id", "n_shingles", F.coalesce("component", "class", "id").alias("component"), F.coalesce("class", "id").alias("class"))
 
 
+def _beside(percent: int):
+    """Links of strays to members of other components in a chunk, exactly, by their differences from the pivot.
+
+    Rows come sorted by pivot and chunk. All members' differences are one sorted index of cells; a stray's overlaps
+    with every member are counts of owners in it. One link for each pair of components leaves a chunk.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+
+        def compare() -> None:
+            members = [r for r in rows if r["own"]]
+            asking = [r for r in rows if r["stray"]]
+            if not members or not asking:
+                return
+            ids = np.array([r["a"] for r in members])
+            component = np.array([r["component"] for r in members])
+            n, size = (np.array(x, np.int64) for x in ([r["n"] for r in members], [len(r["cells"]) for r in members]))
+            owner = np.repeat(np.arange(len(members)), size)
+            cells = np.concatenate([r["cells"] for r in members])
+            order = np.argsort(cells, kind="stable")
+            cells, owner = cells[order], owner[order]
+            root: dict[int, int] = {}
+
+            def top(k: int) -> int:
+                while root.get(k, k) != k:
+                    k = root[k]
+                return k
+
+            for x in asking:
+                low, high = np.searchsorted(cells, x["cells"]), np.searchsorted(cells, x["cells"], "right")
+                met = [owner[i:j] for i, j in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)]
+                both = np.bincount(np.concatenate(met), minlength=len(members)) if met else np.zeros(len(members), np.int64)
+                apart = len(x["cells"]) + size - 2 * both
+                linked = (100 * (x["n"] + n - apart) >= percent * (x["n"] + n + apart)) & (component != x["component"])
+                for k in np.flatnonzero(linked).tolist():
+                    i, j = top(x["component"]), top(int(component[k]))
+                    if i != j:
+                        root[i] = j
+                        out.append((x["a"], int(ids[k])))
+
+        for b in batches:
+            flat, ends = b.column("cells").flatten().to_numpy(zero_copy_only=False), b.column("cells").offsets.to_numpy()
+            ends = ends - ends[0]
+            for k, r in enumerate(b.drop_columns(["cells"]).to_pylist()):
+                if (r["pivot"], r["chunk"]) != now:
+                    compare()
+                    now, rows = (r["pivot"], r["chunk"]), []
+                rows.append(r | {"cells": flat[ends[k] : ends[k + 1]].copy()})
+            yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+        compare()
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return work
+
+
 def _beside_pivots(search: _Search, entries: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one large bucket that its pivot does not connect."""
+    """Links between members of one large bucket that its pivot does not connect.
+
+    A pivot's members are dealt into chunks; strays, the members in other components than the pivot, go to all of
+    its chunks. So rows are members plus strays times chunks, and comparing makes no rows but links.
+    """
     pairs = entries.select("id", "pivot", "component").distinct()
     head = pairs.where("id = pivot").select("pivot", F.col("component").alias("pivot_component"))
     pairs = pairs.join(head, "pivot")
-    far = staged(search.differences(pairs.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))), "differences")
+    far = search.differences(pairs.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     far = far.join(pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"), "component", "pivot_component"), ["a", "b"])
-    far = far.select("a", F.col("b").alias("pivot"), "n_a", "n_b", "component", (F.col("component") != F.col("pivot_component")).alias("stray"), "added", "removed", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
-    c = F.lit((100 - percent) / (100 + percent))
-
-    def meet(column: str, condition) -> DataFrame:
-        cells = far.select("a", "pivot", "n_a", "component", "stray", "n_added", "n_removed", F.explode(column).alias("cell"))
-        several = cells.groupBy("pivot", "cell").agg(F.count(F.lit(1)).alias("k"), F.max("stray").alias("any"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("k > 1 and any and lo <> hi").select("pivot", "cell")
-        cells = cells.join(several, ["pivot", "cell"])
-        x, y = cells.where("stray").alias("x"), cells.alias("y")
-        on = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.component") != F.col("y.component")) & (F.least("x.n_a", "y.n_a") * 100 >= F.greatest("x.n_a", "y.n_a") * percent) & condition
-        return x.join(y, on).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-
-    allowed = c * (F.col("x.n_a") + F.col("y.n_a")) + 1e-6
-    shares_added = meet("added", F.lit(True))
-    shares_removed = meet("removed", F.abs(F.col("x.n_removed") - F.col("y.n_removed")) + F.col("x.n_added") + F.col("y.n_added") <= allowed)
-    return search.linked(search.hopeful(shares_added.union(shares_removed).distinct()))
+    far = far.select("a", F.col("b").alias("pivot"), F.col("n_a").alias("n"), "component", (F.col("component") != F.col("pivot_component")).alias("stray"), F.concat("added", "removed").alias("cells"))
+    far = staged(far, "differences")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.size("cells")) / CHUNK_CELLS)).cast("int")
+    sizes = far.groupBy("pivot").agg(chunks.alias("chunks"), F.max("stray").alias("any")).where("any").drop("any")
+    dealt = far.join(sizes, "pivot").withColumn("home", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    every = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
+    dealt = dealt.withColumn("chunk", F.explode(every)).select("pivot", "chunk", "a", "n", "component", "stray", (F.col("chunk") == F.col("home")).alias("own"), "cells")
+    return dealt.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk").mapInArrow(_beside(percent), "a long, b long").distinct()

@@ -12,7 +12,7 @@ import xxhash
 K = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 
 
 class _Hashes(dict):
@@ -39,6 +39,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []  # bytes: ASCII case, ASCII white space
 
 
+def forget() -> None:
+    """Empty the table of word hashes, at a task's end."""
+    _hashes.clear()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     found = words(text)
     return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
