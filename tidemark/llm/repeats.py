@@ -13,7 +13,7 @@ cluster is that suffixes are handled in runs that share their digits:
   between the two is divided and goes to the next pass, down to single suffixes, where both digits are the
   window itself and the equal groups are exactly the repeated windows.
 
-Digits travel as 128-bit hashes of bytes, offset and cell; nothing is paired, keys are only counted (with
+Digits travel as hashes of bytes, offset and cell, of 64 bits where they only nominate and of 128 where they decide; nothing is paired, keys are only counted (with
 partial aggregates), so a string that occurs a million times is one key. Only cells that stay open carry
 bytes. Nothing is sampled or capped; all suffixes of all texts are covered, and every decision is on whole
 windows of the input.
@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import tidy
 from tidemark.session import staged
 
 LENGTH = 400
@@ -85,8 +86,16 @@ def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at[kept], first[kept], until[kept] - 1
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 63)
+
+
+def _keyed(parts: bytes, a: int, b: int, c: int) -> bytes:
+    return parts + a.to_bytes(4, "little", signed=True) + b.to_bytes(4, "little", signed=True) + c.to_bytes(4, "little")
+
+
 def _key(parts: bytes, a: int, b: int, c: int) -> bytes:
-    return xxhash.xxh3_128_digest(parts + a.to_bytes(4, "little", signed=True) + b.to_bytes(4, "little", signed=True) + c.to_bytes(4, "little"))
+    return xxhash.xxh3_128_digest(_keyed(parts, a, b, c))
 
 
 def _bytes_of(value) -> bytes:
@@ -112,11 +121,11 @@ def _first_pass(length: int):
                     cols[1] += first
                     cols[2] += last
                     cols[3] += at
-                    cols[4] += [xxhash.xxh3_128_digest(data[a : a + GRAM]) for a in at]
+                    cols[4] += [_signed(xxhash.xxh3_64_intdigest(data[a : a + GRAM])) for a in at]
                     cols[5] += [_key(data[f : n + length], a - f, a - n, 1) for a, f, n in zip(at, first, last, strict=True)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
-    return work, "doc binary, first int, last int, at int, narrow binary, wide binary"
+    return work, "doc binary, first int, last int, at int, narrow long, wide binary"
 
 
 def _with_bytes(length: int):
@@ -149,7 +158,7 @@ def _divide(length: int, size: int):
     starts in the text; ``bytes`` begin at ``first``.
     """
     names = ["doc", "first", "last", "at", "low", "size", "bytes", "decided", "narrow", "wide"]
-    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary())
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.binary())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,12 +173,12 @@ def _divide(length: int, size: int):
                         top = at + cell + size - 1  # the last window start the grid's cell could have
                         common = own[max(0, top - f) : at + cell + length - f]
                         wide = _key(own, at - f, at - n, size)
-                        narrow = wide if size == 1 else _key(common, cell, 0, size)
+                        narrow = int.from_bytes(wide[:8], "little", signed=True) if size == 1 else _signed(xxhash.xxh3_64_intdigest(_keyed(common, cell, 0, size)))
                         for c, v in zip(cols, (doc, f, n, at, cell, size, own, decided, narrow, wide), strict=True):
                             c.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary, decided boolean, narrow binary, wide binary"
+    return work, "doc binary, first int, last int, at int, low int, size int, bytes binary, decided boolean, narrow long, wide binary"
 
 
 def _judged(cells: DataFrame) -> DataFrame:
@@ -203,17 +212,17 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` has the columns doc (binary key of a row) and text.
     """
     work, schema = _first_pass(length)
-    cells = staged(texts.mapInArrow(work, schema).withColumn("decided", F.lit(False)), "runs")
+    cells = staged(texts.mapInArrow(tidy(work), schema).withColumn("decided", F.lit(False)), "runs")
     judged = staged(_judged(cells), "judged")
     done = _done(judged)
     lists = _going_on(judged).groupBy("doc").agg(F.collect_set(F.struct("first", "last", "at", "decided")).alias("cells"))  # a text's own runs
     work, schema = _with_bytes(length)
-    cells = texts.join(lists, "doc").mapInArrow(work, schema)
+    cells = texts.join(lists, "doc").mapInArrow(tidy(work), schema)
     size = length - GRAM + 1
     while size > 1:
         size = -(-size // BRANCH)
         work, schema = _divide(length, size)
-        judged = staged(_judged(staged(cells.mapInArrow(work, schema), "cells")), "judged")
+        judged = staged(_judged(staged(cells.mapInArrow(tidy(work), schema), "cells")), "judged")
         done = done.union(_done(judged))
         cells = _going_on(judged)
         if size > 1 and cells.isEmpty():
@@ -230,7 +239,7 @@ def spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _cut(length: int):
-    names = ["id", "n_bytes", "begins", "ends", "kept"]
+    names = ["id", "n_bytes", "begins", "ends", "kept", "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,27 +253,32 @@ def _cut(length: int):
                         kept.append(data[at:x])
                         at = y
                     kept.append(data[at:])
-                    for c, v in zip(cols, (id_, len(data), begin, end, b"".join(kept)), strict=True):
+                    kept = b"".join(kept)
+                    left = None if text.as_py() is None else kept.decode("utf-8", "replace")
+                    for c, v in zip(cols, (id_, len(data), begin, end, kept, left), strict=True):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return work, "id long, n_bytes long, begins array<long>, ends array<long>, kept binary"
+    return work, "id long, n_bytes long, begins array<long>, ends array<long>, kept binary, text string"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, the removed byte ranges (begins, ends) and the bytes kept."""
+    """Per row: id, n_bytes, the removed byte ranges (begins, ends), the bytes kept, and these as text.
+
+    A cut inside a character leaves a replacement character in ``text``; a null text stays null there.
+    """
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    # The key of a row: its id, or for null ids and repeated rows something that tells texts apart.
-    keyed = source.select("id", "text", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.crc32(F.coalesce("text", F.lit(""))).cast("string")))).alias("doc"))
+    # The key of a row: its id and a digest of its text, which tells rows with equal or null ids apart.
+    keyed = source.select("id", "text", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))).alias("doc"))
     found = repeated_windows(keyed.select("doc", "text"), length)
     lists = found.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("w")).select("doc", F.col("w.first").alias("firsts"), F.col("w.last").alias("lasts"))
     work, schema = _cut(length)
-    return keyed.join(lists, "doc", "left").select("id", "text", "firsts", "lasts").mapInArrow(work, schema)
+    return keyed.join(lists, "doc", "left").select("id", "text", "firsts", "lasts").mapInArrow(tidy(work), schema)
 
 
 def digest(removed: DataFrame) -> DataFrame:
     return removed.select(
-        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text"
     )
 
