@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import oracles
 from tidemark.operators import changepoints as cp
 from tidemark.operators import detectors as d
 from tidemark.operators import events as ev
 from tidemark.operators import grouped as g
+from tidemark.operators import insight
 from tidemark.operators import profile as p
 from tidemark.operators import series as s
 from tidemark.operators import workload as w
+from tidemark.oracles import BY_TYPE, C, GRADE, H, HOUR, K, KIND, L, P, ROBUST, SIDE, STATS
 from tidemark.plans import abnormal as ab
 from tidemark.plans import dimensions as dim
 from tidemark.plans import model as m
@@ -61,21 +64,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.mad_anomalies(planted(m.hourly(spark, sf_dir)))
 
 
-H = "h AS (SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
-BY_TYPE = "h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
-HOUR = "(floor(epoch(ts))::BIGINT // 3600)"
-P = H + f", p AS (SELECT series_id, ts, value * CASE WHEN {HOUR} % 97 = 5 THEN 6.0 WHEN {HOUR} % 97 = 50 THEN 0.02 WHEN {HOUR} % 211 < 9 THEN 4.0 ELSE 1.0 END AS value FROM h)"
-L = "l AS (SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, quantile_cont(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
-KIND = "CASE event_type WHEN 'view' THEN 'Select' WHEN 'click' THEN 'Update' WHEN 'purchase' THEN 'Insert' WHEN 'signup' THEN 'Begin' WHEN 'error' THEN 'Rollback' END"
-K = f"k AS (SELECT 'all' AS series_id, {KIND} AS key, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
-C = K + ", c AS (SELECT series_id, key, ts, sum(value) OVER (PARTITION BY key, floor(epoch(ts))::BIGINT // 604800 ORDER BY ts) AS value FROM k)"
 B = """e AS (SELECT date_trunc('hour', ts) AS ts, value FROM events), bounds AS (SELECT unnest([1, 5, 10, 25, 50, 100, 250, 500, 'inf'::DOUBLE]) AS le),
 n AS (SELECT ts, le, count(*) FILTER (WHERE value <= le)::DOUBLE AS c FROM e, bounds GROUP BY ALL),
 b AS (SELECT 'all' AS series_id, ts, le, sum(c) OVER (PARTITION BY le ORDER BY ts) AS cum FROM n)"""
-#: Median, deviations and median absolute deviation of a series in table {t}.
-STATS = "s AS (SELECT series_id, median(value) AS m, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM {t} GROUP BY ALL), a AS (SELECT {t}.series_id, median(abs(value - m)) AS mad FROM {t} JOIN s USING (series_id) GROUP BY ALL)"
-
-
 def hits(table_: str, where: str, detector: str, type_: str, severity: str, baseline: str, z: str, value: str = "value") -> str:
     """SELECT of findings with the columns of ``found``."""
     return f"SELECT series_id, {type_} AS type, {severity} AS severity, floor(epoch(ts))::BIGINT AS ts, round({value}, 6) AS value, round({baseline}, 6) AS baseline, round({z}, 6) AS z_score FROM {table_} WHERE {where}"
@@ -85,10 +76,6 @@ def found(df: DataFrame) -> DataFrame:
     return df.select("series_id", "type", "severity", "ts", "value", "baseline", "z_score")
 
 
-SIDE = "CASE WHEN value >= {b} THEN 'QPS_SPIKE' ELSE 'QPS_DROP' END"
-GRADE = "CASE WHEN {z} > {c} THEN 'CRITICAL' WHEN {z} > {h} THEN 'HIGH' ELSE 'MEDIUM' END"
-
-
 # series ------------------------------------------------------------------------------------------------------
 
 @query("hourly_qps", f"WITH {H} SELECT series_id, floor(epoch(ts))::BIGINT AS ts, round(value / 3600, 6) AS value FROM h")
@@ -304,9 +291,6 @@ for _name, _work in {
 
 # detectors ------------------------------------------------------------------------------------------------------
 
-ROBUST = "abs(value - m) / (CASE WHEN mad > 0 THEN 1.4826 * mad ELSE sd END)"
-
-
 @query("mad_anomalies", f"WITH {P}, {STATS.format(t='p')}, x AS (SELECT *, {ROBUST} AS z FROM p JOIN s USING (series_id) JOIN a USING (series_id)) " + hits("x", "z > 3.5", "MAD", SIDE.format(b="m"), GRADE.format(z="z", h=5.25, c=7.0), "m", "z"))
 def _(spark, f):
     return found(d.mad_anomalies(planted(m.hourly(spark, f))))
@@ -499,3 +483,38 @@ def _(spark, f):
     day = lambda t, c, v: table(spark, f, t).groupBy(F.date_trunc("day", F.col(c).cast("timestamp")).alias("ts")).agg(F.count(F.lit(1)).cast("double").alias(v))
     both = day("orders", "o_orderdate", "x").join(day("lineitem", "l_shipdate", "y"), "ts")
     return both.agg(F.lit("orders").alias("series_id"), F.corr("x", "y").alias("correlation"), F.count(F.lit(1)).alias("n"))
+
+
+
+# insight ---------------------------------------------------------------------------------------------------------
+
+def _instances(spark, f):
+    return w.instances(m.by_instance(spark, f), m.latency(spark, f, "instance"))
+
+
+def _nodes(spark, f):
+    cpu = m.events(spark, f).groupBy(F.lit("all").alias("series_id"), "instance", F.date_trunc("day", "ts").alias("ts")).agg((F.sum("value") / 1000).alias("value"))
+    return insight.node_report(insight.component(m.by_instance(spark, f), "sql"), m.latency(spark, f, "instance"), cpu)
+
+
+def _users(spark, f, kind):
+    return m.events(spark, f).where(F.col("event_type") == kind).select("user_id")
+
+
+def _fetch_order(spark, f):
+    wanted = table(spark, f, "customer").select("c_custkey", F.col("c_custkey").alias("place"))
+    ranked = insight.fetch_order(wanted, table(spark, f, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("has_cache", "place"))).drop("place")  # a list of what to fetch
+
+
+for _name, _work in {
+    "latency_dimension": lambda spark, f: insight.latency_dimension(m.latency(spark, f)), "lagged_correlations": lambda spark, f: insight.lagged_correlations(planted(m.hourly(spark, f)), m.latency(spark, f)),
+    "causality": lambda spark, f: insight.causality(planted(m.hourly(spark, f)), m.latency(spark, f), "qps", "latency"), "dimension_links": lambda spark, f: insight.dimension_links(_dimensions(spark, f)), "propagation": lambda spark, f: insight.propagation(_dimensions(spark, f)),
+    "sql_advice": lambda spark, f: insight.advice(w.fingerprints(m.counters(spark, f), m.latency(spark, f, "key"))), "instance_findings": lambda spark, f: insight.instance_findings(_instances(spark, f)), "node_report": _nodes, "node_balance": lambda spark, f: insight.node_balance(_nodes(spark, f)),
+    "fetch_order": _fetch_order, "resumed": lambda spark, f: insight.resumed(m.events(spark, f).select("user_id", "ts"), ["user_id"], 86400), "common_users": lambda spark, f: _users(spark, f, "purchase").intersect(_users(spark, f, "error")), "missing_users": lambda spark, f: _users(spark, f, "purchase").subtract(_users(spark, f, "error")),
+    "validation": lambda spark, f: insight.validation(m.hourly(spark, f, "event_type")), "class_distribution": lambda spark, f: insight.distribution(insight.validation(m.hourly(spark, f, "event_type"))), "synthetic_check": lambda spark, f: insight.distribution(insight.validation(insight.synthetic(spark))), "approximate_stats": lambda spark, f: insight.approximate_stats(m.events(spark, f).select(F.col("event_type").alias("series_id"), "value")).drop("q"),
+}.items():
+    query(_name)(_work)
+
+
+SQL.update({name: sql for name, sql in oracles.SQL.items() if name in QUERIES})

@@ -343,6 +343,6 @@ def votes(df: DataFrame) -> DataFrame:
 def first_per_bucket(df: DataFrame, seconds_: int = 1800) -> DataFrame:
     """The first finding of every bucket of time."""
     bucket = F.floor(seconds("ts") / seconds_)
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy("series_id", bucket).orderBy("ts"))).where("__k = 1").drop("__k")
+    return df.withColumn("__k", F.row_number().over(Window.partitionBy("series_id", bucket).orderBy("ts", "detected_by"))).where("__k = 1").drop("__k")
 
 

@@ -71,3 +71,35 @@ def delete_session(spark: SparkSession, path: str, cluster_id: str, session_ts:
 def query_key(*parts: str):
     """Key of a cached result."""
     return F.md5(F.concat_ws("|", *[F.lit(p) for p in parts]))
+
+
+MERGE_BYTES, MERGE_GAP = 500_000_000, 300
+
+
+def merge_groups(files: list[tuple[str, int, int, int]], most: int = MERGE_BYTES, gap: int = MERGE_GAP) -> list[list[str]]:
+    """Files (path, first second, last second, bytes) of one metric in groups of neighbours that fit together."""
+    groups: list[list[str]] = []
+    last = size = 0
+    for path, lo, hi, n in sorted(files, key=lambda f: (f[1], f[0])):
+        if groups and lo - last <= gap and size + n <= most:
+            groups[-1].append(path)
+            last, size = max(last, hi), size + n
+        else:
+            groups.append([path])
+            last, size = hi, n
+    return groups
+
+
+def compact_files(spark: SparkSession, folder: str, out: str, most: int = MERGE_BYTES, gap: int = MERGE_GAP) -> DataFrame:
+    """Rewrite a metric's Parquet samples so that small neighbouring files become one; (files, groups).
+
+    Only file names, ranges and sizes meet on the driver: one row a file.
+    """
+    rows = spark.read.parquet(folder)
+    at = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_size").alias("__size"))
+    found = at.groupBy("__file").agg(F.min(F.unix_seconds("ts")).alias("lo"), F.max(F.unix_seconds("ts")).alias("hi"), F.max("__size").alias("n"))
+    groups = merge_groups([tuple(r) for r in found.toLocalIterator()], most, gap)
+    names = spark.createDataFrame([(p, k) for k, own in enumerate(groups) for p in own], "__file string, part int")
+    whole = last_written(at.join(names, "__file").withColumn("key", series_key(F.col("labels"))), ["key", "ts"]).drop("__file", "__size", "key")
+    whole.repartition("part").sortWithinPartitions("part", "ts").write.mode("overwrite").partitionBy("part").parquet(out)
+    return spark.createDataFrame([(sum(map(len, groups)), len(groups))], "files long, groups long")
