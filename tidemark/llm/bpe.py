@@ -8,10 +8,11 @@ is bounded: a boundary stops mattering once no vocabulary entry continues over i
 entry's length at the latest.
 
 A state of the transducer is (last emitted token, bytes that wait). States and their transitions, and the
-flush at the end of a piece, are worked out the first time they are needed and then looked up, one lookup
-per byte; at ``MAX_STATES`` the machine starts again empty, which costs time but changes no result.
+flush at the end of a piece, are worked out when they are needed again and then looked up, one lookup per
+byte; at ``MAX_STATES`` the machine starts again empty, which costs time but changes no result.
 Each match of the pre-tokenising pattern is one run of the machine from its start state; a bounded table of
-short whole matches stands in front of it.
+short whole matches stands in front of it. Tables that grow with the texts last for a task and are emptied at its
+end, since reused workers would carry them into later stages.
 
 Decoding concatenates token bytes; ``Utf8Stream`` turns chunks into text with an incremental UTF-8 state
 machine that holds back at most three bytes.
@@ -33,9 +34,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 300_000
-MAX_MATCHES = 600_000
+from tidemark.llm.memory import tidy
+
+MAX_STATES = 100_000
+MAX_PAIRS = 400_000
+MAX_MATCHES = 150_000
 SHORT = 32
+BYTES = [bytes([k]) for k in range(256)]
 
 
 class Ranks:
@@ -47,11 +52,24 @@ class Ranks:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        extends = {token[:k] for token in ranks for k in range(1, len(token))}
-        #: Of every entry and beginning of one: its rank (-1: none), and whether an entry goes on from it.
-        self.known = {x: (ranks.get(x, -1), x in extends) for x in extends | ranks.keys()}
+        self.size = list(map(len, self.tokens))
+        #: The trie of the entries: node << 8 | byte to the node there, negative where no entry goes on from it.
+        self.trie, self.rank_at = self._trie(ranks)
         self._seam: tuple[dict, dict] = ({}, {})
-        self._follows: dict[int, bool] = {}
+        self.known_pairs: dict[int, bool] = {}
+
+    @staticmethod
+    def _trie(ranks: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
+        trie, rank_at, inner = {}, [-1], set()
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                inner.add(node)
+                node = trie.setdefault(node << 8 | byte, len(rank_at))
+                if node == len(rank_at):
+                    rank_at.append(-1)
+            rank_at[node] = rank
+        return {k: v if v in inner else -v for k, v in trie.items()}, rank_at
 
     def merge(self, value: bytes, left: int = 1) -> list[bytes]:
         """Merge by rank until ``left`` parts remain or nothing merges."""
@@ -81,10 +99,10 @@ class Ranks:
         no two parts that meet at the border at any time merge there before one of them is used up inside its
         own entry."""
         key = left << 24 | right
-        if (known := self._follows.get(key)) is None:
-            if len(self._follows) >= 4 * MAX_STATES:
-                self._follows.clear()
-            known = self._follows[key] = self._apart(self.seam(left, 1) if left >= 0 else (), self.seam(right, 0))
+        if (known := self.known_pairs.get(key)) is None:
+            if len(self.known_pairs) >= MAX_PAIRS:
+                self.known_pairs.clear()
+            known = self.known_pairs[key] = self._apart(self.seam(left, 1) if left >= 0 else (), self.seam(right, 0))
         return known
 
     def _apart(self, left: list[tuple[bytes, int]] | None, right: list[tuple[bytes, int]] | None) -> bool:
@@ -103,8 +121,12 @@ class Ranks:
 
 
 class Transducer:
-    """States are numbered as they turn up. Beside its name a state keeps its live ends: the places in the
-    waiting bytes from where an entry may still go on past the last byte, with the ids up to there."""
+    """States are numbered as they turn up. A state is named by the last emitted id and the bytes that wait, and
+    keeps its live ends: for every place from where an entry may still go on past the last byte, that entry's
+    node in the trie and the ids up to the place.
+
+    A transition becomes a state's arc the second time it is needed. The first time, the rest of the piece
+    runs through the same steps without naming states, so words that occur once leave no states behind."""
 
     def __init__(self, ranks: Ranks):
         self.r = ranks
@@ -115,7 +137,8 @@ class Transducer:
         self.key: list[tuple[int, bytes]] = []  # (last emitted id, bytes that wait)
         self.live: list[list[tuple[int, tuple[int, ...]]]] = []
         self.number: dict[tuple[int, bytes], int] = {}
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte: state, emitted ids
+        self.once: set[int] = set()
         self._state((-1, b""), [(0, ())])
         return self._state(*start) if start else 0
 
@@ -124,48 +147,75 @@ class Transducer:
             at = self.number[key] = len(self.key)
             self.key.append(key)
             self.live.append(live)
-            self.next.append({})
         return at
 
-    def _step(self, state: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
-        r, (before, wait) = self.r, self.key[state]
-        known = r.known
-        wait += byte
-        made, live = None, []
-        for end in self.live[state]:
-            k, chain = end
-            if (entry := known.get(wait[k:])) is not None:
-                rank, goes_on = entry
-                if goes_on:
-                    live.append(end)
-                if made is None and rank >= 0 and r.follows(chain[-1] if chain else before, rank):
-                    made = (*chain, rank)  # the one entry that may come last
-        live.append((len(wait), made))
-        sure = live[0][1]  # emitted is what all chains begin with
-        if sure:
-            for _, c in live:
-                while c[: len(sure)] != sure:
-                    sure = sure[:-1]
-        if sure:
-            shared = len(sure)
-            cut = sum(len(r.tokens[t]) for t in sure)
-            before, wait = sure[-1], wait[cut:]
-            live = [(k - cut, c[shared:]) for k, c in live]
+    def _ends(self, before: int, live: list[tuple[int, tuple[int, ...]]], byte: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The live ends one byte on; the last one is at the byte's end."""
+        trie, rank_at, known = self.r.trie, self.r.rank_at, self.r.known_pairs
+        made, out = None, []
+        for node, chain in live:
+            if (to := trie.get(node << 8 | byte)) is not None:
+                if to > 0:
+                    out.append((to, chain))
+                else:
+                    to = -to
+                if made is None and (rank := rank_at[to]) >= 0:
+                    left = chain[-1] if chain else before
+                    if (fits := known.get(left << 24 | rank)) is None:
+                        fits = self.r.follows(left, rank)
+                    if fits:
+                        made = (*chain, rank)  # the one entry that may come last
+        out.append((0, made))
+        return out
+
+    @staticmethod
+    def _sure(live: list[tuple[int, tuple[int, ...]]]) -> tuple[int, ...]:
+        """What all chains begin with: it is certain."""
+        sure = live[0][1]
+        for _, c in live:
+            if not sure:
+                break
+            while c[: len(sure)] != sure:
+                sure = sure[:-1]
+        return sure
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        before, wait = self.key[state]
+        live = self._ends(before, self.live[state], byte)
+        wait += BYTES[byte]
+        if sure := self._sure(live):
+            shared, size = len(sure), self.r.size
+            wait = wait[sum([size[t] for t in sure]) :]
+            before = sure[-1]
+            live = [(node, c[shared:]) for node, c in live]
         return self._state((before, wait), live), sure
 
+    def _unnamed(self, state: int, rest: bytes, out: list[int]) -> list[int]:
+        """The ids of the rest of a piece, without states; what is certain leaves the chains every few entries."""
+        before, live, ends = self.key[state][0], self.live[state], self._ends
+        for byte in rest:
+            live = ends(before, live, byte)
+            if len(live[-1][1]) > 8 and (sure := self._sure(live)):
+                out.extend(sure)
+                before, shared = sure[-1], len(sure)
+                live = [(node, c[shared:]) for node, c in live]
+        out.extend(live[-1][1])
+        return out
+
     def run(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        if len(self.key) > MAX_STATES:
+        if len(self.key) > MAX_STATES or len(self.once) > 4 * MAX_STATES:
             self._reset()
         out: list[int] = []
         state, table = 0, self.next
         for at, byte in enumerate(piece):
-            found = table[state].get(byte)
+            arc = state << 8 | byte
+            found = table.get(arc)
             if found is None:
-                found = table[state][byte] = self._step(state, piece[at : at + 1])
-                if len(self.key) > 2 * MAX_STATES:  # a very long piece: go on from its state in empty tables
-                    found = (self._reset((self.key[found[0]], self.live[found[0]])), found[1])
-                    table = self.next
+                if arc not in self.once:
+                    self.once.add(arc)
+                    return self._unnamed(state, piece[at:], out)
+                found = table[arc] = self._step(state, byte)
             state, ids = found
             if ids:
                 out.extend(ids)
@@ -199,6 +249,12 @@ class Codec:
             self.seen[match] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty all tables that grow with what was seen."""
+        self.machine._reset()
+        self.seen, self.before = {}, {}
+        self.ranks.known_pairs.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         seen, ids = self.seen, self._ids
@@ -285,4 +341,4 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
                 columns = [pa.array(list(x)) for x in zip(*rows, strict=True)]
                 yield pa.record_batch([*[part.column(f.name) for f in kept], *columns], names=[*[f.name for f in kept], *names])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work, lambda: codec(path, pattern).forget()), schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles as sh
+from tidemark.llm.memory import tidy
 
 HASHES = 64
 SLICE = 50_000
@@ -132,7 +133,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id: str
     out = None
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        got = source.mapInArrow(_work([tuple(r) for r in part.toLocalIterator()], least), OUT)
+        got = source.mapInArrow(tidy(_work([tuple(r) for r in part.toLocalIterator()], least), sh.forget), OUT)
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
+from tidemark.llm.memory import tidy
 from tidemark.session import staged
 
 EDITS = 2
@@ -257,12 +258,12 @@ def _filter_of(keys: DataFrame) -> bytes:
 def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, short: bool = False) -> DataFrame:
     """(id, line, repeats): every line that can repeat, and whether it repeats an earlier one."""
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    lines = staged(source.mapInArrow(_occurrences(1 if short else SHORTEST), "id long, line int, code long"), "lines")
+    lines = staged(source.mapInArrow(tidy(_occurrences(1 if short else SHORTEST)), "id long, line int, code long"), "lines")
     firsts = lines.groupBy("code").agg(F.min(F.struct("id", "line")).alias("first"))
 
-    keys = source.select("text").mapInArrow(_keyed(edits), "key long, code long")
+    keys = source.select("text").mapInArrow(tidy(_keyed(edits)), "key long, code long")
     shared = staged(keys.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo <> hi").select("key"), "keys")
-    met = source.select("text").mapInArrow(_filtered(edits, _filter_of(shared)), "key long, code long, text string")
+    met = source.select("text").mapInArrow(tidy(_filtered(edits, _filter_of(shared))), "key long, code long, text string")
     met = staged(met.join(shared, "key", "left_semi").dropDuplicates(["key", "code"]), "met")
     sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     met = met.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
