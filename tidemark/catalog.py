@@ -19,7 +19,7 @@ from tidemark.operators import insight
 from tidemark.operators import profile as p
 from tidemark.operators import series as s
 from tidemark.operators import workload as w
-from tidemark.oracles import BY_TYPE, C, GRADE, H, HOUR, K, KIND, L, P, ROBUST, SIDE, STATS
+from tidemark.oracles import BY_TYPE, C, GRADE, H, K, KIND, L, P, ROBUST, SIDE, STATS
 from tidemark.plans import abnormal as ab
 from tidemark.plans import dimensions as dim
 from tidemark.plans import model as m
@@ -325,41 +325,32 @@ def _(spark, f):
     return found(d.volatility(planted(m.hourly(spark, f))))
 
 
-@query("raw_rolling_mad", f"""WITH {P}, x AS (SELECT *, list_sort(list(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS f, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, median(value) OVER (PARTITION BY series_id) AS gm FROM p),
-y AS (SELECT *, f[(len(f) - 1) * 50 // 100 + 1] AS med FROM x WHERE i >= 60), z AS (SELECT *, list_sort([abs(v - med) FOR v IN f])[(len(f) - 1) * 50 // 100 + 1] AS dev FROM y), a AS (SELECT *, (value - med) / (1.4826 * dev + 1e-9) AS z FROM z),
-b AS (SELECT *, floor(epoch(ts))::BIGINT AS t FROM a WHERE abs(z) >= 6 AND abs(value - med) >= CASE WHEN gm < 1 THEN 5 ELSE greatest(0.2, 0.1 * gm) END), c AS (SELECT *, coalesce((t - lag(t) OVER (ORDER BY t) > 2700)::INT, 1) AS n FROM b), e AS (SELECT *, sum(n) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM c)
-SELECT series_id, min(t) AS ts, count(*) AS k, round(max(abs(z)), 4) AS z FROM e GROUP BY series_id, g""")
+@query("raw_rolling_mad")
 def _(spark, f):
-    # Runs of one point and more; a step of an hour never joins, as gaps above 45 minutes part runs.
-    rows = planted(m.hourly(spark, f))
-    w_ = d.by_time()
-    x = rows.withColumn("gm", F.percentile("value", F.lit(0.5)).over(d.whole())).withColumn("i", F.row_number().over(w_) - 1).withColumn("f", F.array_sort(F.collect_list("value").over(w_.rowsBetween(-60, -1))))
-    x = x.withColumn("med", d.floor_percentile(F.col("f"), 50)).withColumn("dev", d.floor_percentile(F.array_sort(F.transform("f", lambda v: F.abs(v - F.col("med")))), 50)).where("i >= 60").withColumn("z", (F.col("value") - F.col("med")) / (1.4826 * F.col("dev") + 1e-9))
-    x = x.where((F.abs("z") >= 6) & (F.abs(F.col("value") - F.col("med")) >= F.when(F.col("gm") < 1, 5.0).otherwise(F.greatest(F.lit(0.2), 0.1 * F.col("gm")))))
-    return s.islands(x.withColumn("az", F.abs("z")), KEY, 2700).join(x.select("series_id", F.col("ts").alias("start_ts"), F.round(F.abs("z"), 4).alias("z")), ["series_id", "start_ts"]).select("series_id", F.col("start_ts").alias("ts"), F.col("cnt").alias("k"), "z")
+    return d.raw_rolling(planted(m.hourly(spark, f)), run=1)
 
 
-@query("multi_scale_scores", f"""WITH {P}, x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, avg(value) OVER w AS mf, stddev_pop(value) OVER w AS sf, avg(value) OVER l AS ml, avg(value) OVER r AS mr, var_pop(value) OVER l AS vl, var_pop(value) OVER r AS vr FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), l AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
-SELECT series_id, floor(epoch(ts))::BIGINT AS ts, round(CASE WHEN sf > 0 THEN abs(value - mf) / sf + 0.5 * CASE WHEN vl + vr > 0 THEN abs(ml - mr) / sqrt(vl + vr) ELSE abs(ml - mr) END ELSE 0 END, 6) AS score FROM x WHERE i >= 3 AND i < n - 3""")
+@query("multi_scale_scores")
 def _(spark, f):
-    full, left, right = (d.by_time().rowsBetween(a, b) for a, b in ((-3, 3), (-3, -1), (1, 3)))
-    rows = planted(m.hourly(spark, f)).withColumn("i", F.row_number().over(d.by_time()) - 1).withColumn("n", F.count(F.lit(1)).over(d.whole()))
-    sd, both = F.stddev_pop("value").over(full), F.sqrt(F.var_pop("value").over(left) + F.var_pop("value").over(right))
-    gap = F.abs(F.avg("value").over(left) - F.avg("value").over(right))
-    score = F.when(sd > 0, F.abs(F.col("value") - F.avg("value").over(full)) / F.when(sd > 0, sd) + 0.5 * F.when(both > 0, gap / F.when(both > 0, both)).otherwise(gap)).otherwise(0.0)
-    return rows.withColumn("score", score).where("i >= 3 and i < n - 3").select("series_id", "ts", "score")
+    return d.scale_scores(planted(m.hourly(spark, f)), (6,)).where("i >= 3 and i < n - 3").select("series_id", "ts", F.col("z6").alias("score"))
 
 
 _DETECTORS = {
     "core_all": lambda q: d.core_all(q.withColumn("value", F.col("value") * 50)), "contextual": d.contextual, "dynamic_threshold": d.dynamic_threshold, "dynamic_threshold_states": d.dynamic_threshold_states, "multi_scale": d.multi_scale, "stl_parts": d.decompose, "stl_mad": d.decomposition_anomalies,
     "sustained_residual": lambda q: d.sustained_residual(q, least=0.8), "esd": g.esd, "shesd": g.shesd, "ensemble": g.ensemble, "ema_detector": g.ema_detector, "isolation_forest": g.isolation_forest, "random_cut_forest": g.random_cut_forest, "spectral_residual": g.spectral_residual, "dbscan": g.dbscan,
-    "holt_winters": g.holt_winters, "peaks": g.peaks, "peak_anomalies": g.peak_anomalies, "robust_stl": g.robust_stl, "cusum": cp.cusum, "pelt": cp.pelt, "sliding_window": cp.sliding_window, "e_divisive": cp.e_divisive, "all_change_points": cp.all_change_points,
+    "holt_winters": g.holt_winters, "peaks": g.peaks, "peak_anomalies": g.peak_anomalies, "robust_stl": g.robust_stl, "cusum": cp.cusum, "pelt": cp.pelt, "sliding_window": cp.sliding_window, "all_change_points": cp.all_change_points,
     "forecast_holt": lambda q: cp.exponential(q, beta=0.1), "forecast_ses": cp.exponential, "forecast_auto": cp.auto, "volatility_metrics": w.volatility, "spectrum": w.spectrum, "modes": w.modes, "regimes": w.regimes,
 }
 for _name, _work in _DETECTORS.items():
     query(_name)(lambda spark, f, work=_work: work(planted(m.hourly(spark, f))))
 
 
+@query("e_divisive")
+def _(spark, f):
+    day = F.dayofmonth("ts")  # a level that rises twice
+    return cp.e_divisive(m.hourly(spark, f).withColumn("value", F.col("value") + F.when(day >= 21, 160).when(day >= 11, 60).otherwise(0)))
+
+
 @query("latency_anomalies")
 def _(spark, f):
     return d.latency_anomalies(planted(m.latency(spark, f)))

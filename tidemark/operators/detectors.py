@@ -268,10 +268,10 @@ def dynamic_threshold(df: DataFrame) -> DataFrame:
     return anomalies(rows, "DynamicThreshold", None, F.when(F.col("z") > 3 * 3, "CRITICAL").when(F.col("z") > 2 * 3, "HIGH").otherwise("MEDIUM"), "base", F.col("z"))
 
 
-def multi_scale(df: DataFrame, scales: tuple[int, ...] = (6, 12, 24, 48), least: float = 3.0) -> DataFrame:
-    """Points off at two scales at least: distance from the full window plus half the left-right contrast."""
-    rows = df.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("baseline", F.percentile("value", F.lit(0.5)).over(whole())).where("n >= 96").withColumn("i", F.row_number().over(by_time()) - 1)
-    names = []
+def scale_scores(df: DataFrame, scales: tuple[int, ...]) -> DataFrame:
+    """Add to each row its place i, the number of rows n, and for every scale z<scale>: the distance from the full window
+    plus half the left-right contrast, 0 where the window is not whole."""
+    rows = df.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("i", F.row_number().over(by_time()) - 1)
     for s in scales:
         h = s // 2
         full, left, right = by_time().rowsBetween(-h, h), by_time().rowsBetween(-h, -1), by_time().rowsBetween(1, h)
@@ -280,7 +280,13 @@ def multi_scale(df: DataFrame, scales: tuple[int, ...] = (6, 12, 24, 48), least:
         both = F.sqrt(F.var_pop("value").over(left) + F.var_pop("value").over(right))
         score = F.when(sd > 0, F.abs(F.col("value") - F.avg("value").over(full)) / F.when(sd > 0, sd) + 0.5 * F.when(both > 0, contrast / F.when(both > 0, both)).otherwise(contrast)).otherwise(0.0)
         rows = rows.withColumn(f"z{s}", F.when((F.col("i") >= h) & (F.col("i") < F.col("n") - h), score).otherwise(0.0))
-        names.append(f"z{s}")
+    return rows
+
+
+def multi_scale(df: DataFrame, scales: tuple[int, ...] = (6, 12, 24, 48), least: float = 3.0) -> DataFrame:
+    """Points off at two scales at least: distance from the full window plus half the left-right contrast."""
+    rows = scale_scores(df, scales).withColumn("baseline", F.percentile("value", F.lit(0.5)).over(whole())).where("n >= 96")
+    names = [f"z{s}" for s in scales]
     hits = reduce(Column.__add__, [(F.col(x) > least).cast("int") for x in names])
     total = reduce(Column.__add__, [F.when(F.col(x) > least, F.col(x)).otherwise(0.0) for x in names])
     rows = rows.withColumn("hits", hits).where("hits >= 2").withColumn("z", total / F.col("hits"))
@@ -289,14 +295,14 @@ def multi_scale(df: DataFrame, scales: tuple[int, ...] = (6, 12, 24, 48), least:
 
 # raw sources -----------------------------------------------------------------------------------------------
 
-def raw_rolling(df: DataFrame, type_: str | None = None, detector: str = "RawRolling", latency: bool = False, window: int = 60) -> DataFrame:
-    """Runs of three points at least that lie six robust deviations off the previous ``window`` rows."""
+def raw_rolling(df: DataFrame, type_: str | None = None, detector: str = "RawRolling", latency: bool = False, window: int = 60, run: int = 3) -> DataFrame:
+    """Runs of ``run`` points at least that lie six robust deviations off the previous ``window`` rows."""
     rows = df.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("gm", F.percentile("value", F.lit(0.5)).over(whole())).withColumn("i", F.row_number().over(by_time()) - 1).where("n >= 80")
     rows = rows.withColumn("f", F.array_sort(F.collect_list("value").over(by_time().rowsBetween(-window, -1)))).withColumn("med", floor_percentile(F.col("f"), 50))
     rows = rows.withColumn("dev", floor_percentile(F.array_sort(F.transform("f", lambda v: F.abs(v - F.col("med")))), 50))
     least = F.greatest(F.lit(0.02), 0.5 * F.col("gm")) if latency else F.when(F.col("gm") < 1, 5.0).otherwise(F.greatest(F.lit(0.2), 0.1 * F.col("gm")))
     rows = rows.where(F.col("i") >= window).withColumn("z", (F.col("value") - F.col("med")) / (1.4826 * F.col("dev") + 1e-9)).where((F.abs("z") >= 6) & (F.abs(F.col("value") - F.col("med")) >= least))
-    return _grouped(rows, df, 3, detector, type_, F.abs("z"), F.col("med"), F.col("z"), lambda z: clamp(0.55 + F.least(F.lit(0.35), z / 30), 0, 0.95), lambda z: graded(z, 9 - 1e-12, 12 - 1e-12))
+    return _grouped(rows, df, run, detector, type_, F.abs("z"), F.col("med"), F.col("z"), lambda z: clamp(0.55 + F.least(F.lit(0.35), z / 30), 0, 0.95), lambda z: graded(z, 9 - 1e-12, 12 - 1e-12))
 
 
 def _grouped(rows: DataFrame, df: DataFrame, least: int, detector: str, type_: str | None, rank: Column, base: Column, z: Column, confidence, sev) -> DataFrame:

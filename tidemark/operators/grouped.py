@@ -1,7 +1,8 @@
 """Path-dependent detectors: grouped maps over one series at a time.
 
-A group is one series, which its sampling bounds (weeks of points at a step of minutes); ``MAX_POINTS`` guards
-against others: longer series are split into consecutive pieces of that size, so no task ever holds more.
+A group is one whole series: a state that runs along the series, or a statistic of all of it, decides here. A
+series is bounded by its sampling (a year at two minutes is 262,800 points, 6 MB); a task holds one at a time. Only
+finite values count.
 """
 
 from __future__ import annotations
@@ -11,23 +12,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_POINTS = 100_000
 SCHEMA = "series_id string, type string, severity string, ts timestamp, end_ts timestamp, duration_sec int, value double, baseline double, z_score double, confidence double, detected_by array<string>, instance string, detail string"
 
 
 def per_series(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``work`` to every series, sorted by time, in pieces of MAX_POINTS at most."""
-    w = Window.partitionBy("series_id").orderBy("ts")
-    rows = df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
-    rows = rows.withColumn("__piece", F.floor((F.row_number().over(w) - 1) / MAX_POINTS))
+    """Apply ``work`` to every series, sorted by time."""
+    rows = df.select("series_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")).where("abs(value) < double('infinity')")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(pdf.sort_values("ts").drop(columns="__piece").reset_index(drop=True))
+        return work(pdf.sort_values("ts").reset_index(drop=True))
 
-    return rows.groupBy("series_id", "__piece").applyInPandas(run, schema)
+    return rows.groupBy("series_id").applyInPandas(run, schema)
 
 
 def found(pdf: pd.DataFrame, at, detector: str, z, baseline, severity, kind=None) -> pd.DataFrame:
@@ -221,7 +219,7 @@ class RandomCutTree:
         """Walk down random cuts of the bounding box; the size of the sibling left behind over depth."""
         data = np.array(self.points) if self.points else np.zeros((0, len(p)))
         best, depth = 0.0, 0
-        while len(data) > 1 and depth < 24:
+        while len(data) > 1:
             lo, hi = np.minimum(data.min(0), p), np.maximum(data.max(0), p)
             span = hi - lo
             if span.sum() == 0:

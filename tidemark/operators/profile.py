@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import clamp, cv, ema, kurtosis0, label, pearson, ratio, skewness0
 from tidemark.operators.detectors import by_time, NIGHT, whole
+from tidemark.session import staged_all
 
 BUCKETS_MS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)
 
@@ -214,13 +215,15 @@ def change_point_count(df: DataFrame) -> DataFrame:
 
 
 def load_profile(qps: DataFrame, latency: DataFrame | None = None) -> DataFrame:
-    """Everything above in one row per series, with labels and scores."""
+    """Everything above in one row per series, with labels and scores. The series are staged once; the parts are small
+    and made at the same time."""
+    qps, *more = staged_all([x for x in (qps, latency) if x is not None], "series")
+    latency = more[0] if more else None
     prefix = lambda df, p: df.select("series_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "series_id"])
-    parts = [prefix(qps_profile(qps), "qps"), prefix(daily_pattern(qps), "daily"), prefix(weekly_pattern(qps), "weekly"), burstiness(qps), seasonality(qps), noise_level(qps), autocorrelation(qps), prefix(trend_slope(qps), "trend"), change_point_count(qps), prefix(trend(qps), "outlook")]
-    out = reduce(lambda a, b: a.join(b, "series_id", "left"), parts)
-    out = out.join(prefix(monthly_pattern(qps), "monthly"), "series_id", "left")
+    parts = [prefix(qps_profile(qps), "qps"), prefix(daily_pattern(qps), "daily"), prefix(weekly_pattern(qps), "weekly"), burstiness(qps), seasonality(qps), noise_level(qps), autocorrelation(qps), prefix(trend_slope(qps), "trend"), change_point_count(qps), prefix(trend(qps), "outlook"), prefix(monthly_pattern(qps), "monthly")]
     if latency is not None:
-        out = out.join(prefix(latency_profile(latency), "latency"), "series_id", "left").join(prefix(correlation(qps, latency), "cross"), "series_id", "left")
+        parts += [prefix(latency_profile(latency), "latency"), prefix(correlation(qps, latency), "cross")]
+    out = reduce(lambda a, b: a.join(b, "series_id", "left"), staged_all(parts, "profile"))
     r = {"ratio": F.col("daily_peak_to_off_peak"), "weekend": F.col("weekly_weekend_drop"), "business": F.col("daily_business_ratio"), "weekly": F.col("weekly_strength") > 0.15, "cv": F.col("qps_cv"), "peak": F.col("qps_peak_to_avg"), "burst": F.col("burstiness"), "season": F.col("seasonality"), "strength": F.col("daily_strength")}
     strength = 0.5 * F.col("daily_strength") + 0.3 * F.col("weekly_strength") + 0.2 * F.coalesce("monthly_strength", F.lit(0.0))
     top = F.greatest("daily_strength", "weekly_strength", F.coalesce("monthly_strength", F.lit(0.0)))

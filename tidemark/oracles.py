@@ -11,7 +11,7 @@ BY_TYPE = "h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, c
 HOUR = "(floor(epoch(ts))::BIGINT // 3600)"
 FACTOR = f"CASE WHEN {HOUR} % 97 = 5 THEN 6.0 WHEN {HOUR} % 97 = 50 THEN 0.02 WHEN {HOUR} % 211 < 9 THEN 4.0 ELSE 1.0 END"
 P = H + f", p AS (SELECT series_id, ts, value * {FACTOR} AS value FROM h)"
-L = "l AS (SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, quantile_cont(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
+L = "l AS (SELECT 'all' AS series_id, date_trunc('hour', ts) AS ts, quantile_disc(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
 KIND = "CASE event_type WHEN 'view' THEN 'Select' WHEN 'click' THEN 'Update' WHEN 'purchase' THEN 'Insert' WHEN 'signup' THEN 'Begin' WHEN 'error' THEN 'Rollback' END"
 K = f"k AS (SELECT 'all' AS series_id, {KIND} AS key, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
 C = K + ", c AS (SELECT series_id, key, ts, sum(value) OVER (PARTITION BY key, floor(epoch(ts))::BIGINT // 604800 ORDER BY ts) AS value FROM k)"
@@ -22,8 +22,8 @@ SIDE = "CASE WHEN value >= {b} THEN 'QPS_SPIKE' ELSE 'QPS_DROP' END"
 GRADE = "CASE WHEN {z} > {c} THEN 'CRITICAL' WHEN {z} > {h} THEN 'HIGH' ELSE 'MEDIUM' END"
 INSTANCE = "CASE WHEN user_id % 9 < 6 THEN 'sql-' ELSE 'kv-' END || (user_id % 9)"
 I = f"i AS (SELECT 'all' AS series_id, {INSTANCE} AS instance, date_trunc('day', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
-IL = f"il AS (SELECT 'all' AS series_id, {INSTANCE} AS instance, date_trunc('day', ts) AS ts, quantile_cont(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
-KL = f"kl AS (SELECT 'all' AS series_id, {KIND} AS key, date_trunc('hour', ts) AS ts, quantile_cont(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
+IL = f"il AS (SELECT 'all' AS series_id, {INSTANCE} AS instance, date_trunc('day', ts) AS ts, quantile_disc(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
+KL = f"kl AS (SELECT 'all' AS series_id, {KIND} AS key, date_trunc('hour', ts) AS ts, quantile_disc(value, 0.99) / 1000 AS value FROM events GROUP BY ALL)"
 #: A gauge every ten minutes with planted rises.
 TEN = """t0 AS (SELECT to_timestamp(floor(epoch(ts) / 600) * 600)::TIMESTAMP AS ts, avg(value) / 100 AS value FROM events GROUP BY ALL),
 t AS (SELECT 'all' AS series_id, ts, value * CASE WHEN day(ts) % 4 = 0 AND hour(ts) BETWEEN 9 AND 10 THEN 100 ELSE 1 END AS value FROM t0)"""
@@ -212,6 +212,57 @@ SELECT 'all' AS series_id, '{'holt' if beta is not None else 'ses'}' AS method,
 
 SQL["forecast_ses"], SQL["forecast_holt"] = _forecast(None), _forecast(0.1)
 
+PEAKS = f"""{N}, pe AS (SELECT i, value, n FROM (SELECT *, lag(value) OVER (ORDER BY i) AS a, lead(value) OVER (ORDER BY i) AS b FROM n) WHERE value > a AND value > b), st AS (SELECT pe.i, pe.value AS v, pe.n, coalesce(max(y.i) FILTER (WHERE y.i < pe.i), 0) AS lo, coalesce(min(y.i) FILTER (WHERE y.i > pe.i), pe.n - 1) AS hi FROM pe LEFT JOIN n y ON y.value > pe.value GROUP BY pe.i, pe.value, pe.n),
+ba AS (SELECT st.i, v, st.n, arg_min(y.i, (y.value, -y.i)) FILTER (WHERE y.i <= st.i) AS lb, arg_min(y.i, (y.value, y.i)) FILTER (WHERE y.i >= st.i) AS rb, v - greatest(min(y.value) FILTER (WHERE y.i <= st.i), min(y.value) FILTER (WHERE y.i >= st.i)) AS pm FROM st JOIN n y ON y.i BETWEEN lo AND hi GROUP BY st.i, v, st.n),
+wd AS (SELECT ba.i, v, lb, rb, pm, 1 + ba.i - coalesce(max(y.i) FILTER (WHERE y.i < ba.i), 0) + coalesce(min(y.i) FILTER (WHERE y.i > ba.i), ba.n - 1) - ba.i AS width FROM ba LEFT JOIN n y ON y.value < v - pm / 2 GROUP BY ba.i, v, lb, rb, pm, ba.n),
+pl(i, xs) AS (SELECT -9::BIGINT, (SELECT list(i ORDER BY pm DESC, i) FROM wd) UNION ALL SELECT xs[1], list_filter(xs, lambda x: abs(x - xs[1]) >= 5) FROM pl WHERE len(xs) > 0), pk AS (SELECT n.series_id, n.ts, wd.* FROM pl JOIN wd USING (i) JOIN n USING (i))"""
+SQL["peaks"] = f"WITH RECURSIVE {PEAKS} SELECT series_id, i::INT AS idx, {SEC.format(x='ts')} AS ts, v AS value, round(pm, 6) AS prominence, width::INT AS width, lb::INT AS left_base, rb::INT AS right_base FROM pk"
+SQL["peak_anomalies"] = f"WITH RECURSIVE {PEAKS}, sd AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM n), x AS (SELECT * FROM pk, sd WHERE sd > 0) " + rows("x", "true", "Peaks", "'QPS_SPIKE'", "CASE WHEN pm > 5 * sd THEN 'CRITICAL' WHEN pm > 3 * sd THEN 'HIGH' ELSE 'MEDIUM' END", "mu", "(v - mu) / sd", "v")
+
+
+def _lines(out: str, source: str, phase: bool) -> str:
+    """Local lines with Gaussian weights through the seven rows (of a phase) around each row of source (i, x)."""
+    on = "a.i % 24 = b.i % 24 AND abs(a.i - b.i) <= 72" if phase else "abs(a.i - b.i) <= 3"
+    d = "((b.i - a.i) // 24)" if phase else "(b.i - a.i)"
+    return f"{out}s AS (SELECT a.i, {d} AS d, exp(-({d} * {d}) / 9.0) AS w, b.x FROM {source} a JOIN {source} b ON {on}), {out}t AS (SELECT i, sum(w) AS sw, sum(w * d) AS sx, sum(w * d * d) AS sxx, sum(w * x) AS sy, sum(w * d * x) AS sxy FROM {out}s GROUP BY i), {out} AS (SELECT i, CASE WHEN abs(sw * sxx - sx * sx) > 1e-12 THEN (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) ELSE sy / sw END AS x FROM {out}t)"
+
+
+def _pass(k: int, trend: str) -> str:
+    return f"v{k} AS (SELECT n.i, value - {trend} AS x FROM n{'' if k == 1 else f' JOIN tr{k - 1} t USING (i)'}), {_lines(f'cy{k}', f'v{k}', True)}, sea{k} AS (SELECT i, x - avg(x) OVER (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS x FROM cy{k}), u{k} AS (SELECT n.i, value - x AS x FROM n JOIN sea{k} USING (i)), {_lines(f'tr{k}', f'u{k}', False)}"
+
+
+SQL["robust_stl"] = f"WITH {N}, {_pass(1, '0')}, {_pass(2, 't.x')} SELECT series_id, {SEC.format(x='ts')} AS ts, value, round(t.x, 6) AS trend, round(s.x, 6) AS seasonal, round(value - t.x - s.x, 6) AS residual FROM n JOIN tr2 t USING (i) JOIN sea2 s USING (i)"
+
+SQL["modes"] = f"""WITH {N}, q AS (SELECT min(value) AS lo, max(value) AS hi, 1.06 * stddev_pop(value) * count(*) ** -0.2 AS width, count(*) AS n FROM p), g AS (SELECT k, lo + k * ((hi - lo) / 999) AS x FROM q, range(0, 1000) t(k)), de AS (SELECT k, any_value(x) AS x, sum(exp(-0.5 * ((x - value) / width) ** 2)) AS d FROM g, p, q GROUP BY k),
+mo AS (SELECT x FROM (SELECT x, d, lag(d) OVER (ORDER BY k) AS a, lead(d) OVER (ORDER BY k) AS b FROM de) WHERE d > a AND d > b), di AS (SELECT max(abs(r / n - (value - lo) / (hi - lo))) AS dip FROM (SELECT value, row_number() OVER (ORDER BY value) AS r FROM p), q)
+SELECT 'all' AS series_id, round(x, 6) AS mode, round((SELECT avg((abs(value - x) <= (hi - lo) / 20)::INT) FROM p), 6) AS weight, round(dip, 6) AS dip, (SELECT count(*) FROM mo)::INT AS n_modes FROM mo, q, di"""
+
+SQL["regimes"] = f"""WITH RECURSIVE {N}, rl AS (SELECT i, CASE WHEN i >= 9 THEN avg(value) OVER f END AS a, CASE WHEN i >= 9 THEN stddev_pop(value) OVER f END AS b FROM n WINDOW f AS (ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), w AS (SELECT i, avg(a) OVER l AS al, avg(a) OVER r AS ar, var_pop(a) OVER l + var_pop(a) OVER r AS av, avg(b) OVER l AS bl, avg(b) OVER r AS br, var_pop(b) OVER l + var_pop(b) OVER r AS bv FROM rl WINDOW l AS (ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), r AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+hx AS (SELECT list(i ORDER BY i) AS xs FROM w WHERE i >= 14 AND i < (SELECT count(*) FROM n) - 5 AND ((av > 0 AND abs(ar - al) / sqrt(av / 5) > 2.5) OR (bv > 0 AND abs(br - bl) / sqrt(bv / 5) > 2.5))), r(i, xs) AS (SELECT 0::BIGINT, coalesce(xs, []) FROM hx UNION ALL SELECT xs[1], list_filter(xs, lambda x: x >= xs[1] + 6) FROM r WHERE len(xs) > 0),
+c AS (SELECT i AS a, lead(i, 1, (SELECT count(*) FROM n)) OVER (ORDER BY i) AS b, row_number() OVER (ORDER BY i) - 1 AS k FROM r)
+SELECT series_id, k::INT AS regime, {SEC.format(x='min(ts)')} AS start_ts, {SEC.format(x='max(ts)')} AS end_ts, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*)::INT AS n FROM c JOIN n ON n.i >= a AND n.i < b GROUP BY series_id, k"""
+
+#: Recursive best splits, a queue of segments: table ed (i, confidence).
+DIVIDED = """pr AS (SELECT list_prepend(0.0::DOUBLE, list(a ORDER BY i)) AS s1, list_prepend(0.0::DOUBLE, list(b ORDER BY i)) AS s2, max(i) + 1 AS n, var_pop(value) AS va FROM (SELECT i, value, sum(value) OVER (ORDER BY i) AS a, sum(value * value) OVER (ORDER BY i) AS b FROM n)),
+dv(todo, got) AS (SELECT [{'a': 0::BIGINT, 'b': n}], [{'i': -1::BIGINT, 'c': 0.0::DOUBLE}] FROM pr UNION ALL SELECT CASE WHEN hit THEN list_concat(todo[2:], [{'a': a, 'b': a + k}, {'a': a + k, 'b': b}]) ELSE todo[2:] END, CASE WHEN hit THEN list_append(got, {'i': a + k, 'c': stat / lim}) ELSE got END FROM
+(SELECT *, best['k'] AS k, best['s'] AS stat, b - a >= 20 AND best['s'] > lim AS hit FROM (SELECT todo, got, a, b, 1.645 * sqrt(b - a) * 0.5 * va AS lim, CASE WHEN b - a >= 20 THEN list_reduce([{'k': k, 's': ((b - a - k) * (s2[a + k + 1] - s2[a + 1]) + k * (s2[b + 1] - s2[a + k + 1]) - 2 * (s1[a + k + 1] - s1[a + 1]) * (s1[b + 1] - s1[a + k + 1])) / (b - a)
+- (s2[a + k + 1] - s2[a + 1] - (s1[a + k + 1] - s1[a + 1]) ** 2 / k + s2[b + 1] - s2[a + k + 1] - (s1[b + 1] - s1[a + k + 1]) ** 2 / (b - a - k))} FOR k IN range(5, b - a - 4)], lambda x, y: CASE WHEN y['s'] > x['s'] THEN y ELSE x END) END AS best FROM (SELECT *, todo[1]['a'] AS a, todo[1]['b'] AS b FROM dv, pr WHERE len(todo) > 0 AND len(got) <= 10)))),
+ed AS (SELECT x['i'] AS i, x['c'] AS c FROM (SELECT unnest(got) AS x FROM (SELECT got FROM dv ORDER BY len(got) DESC, len(todo) LIMIT 1)) WHERE x['i'] >= 0)"""
+#: The hourly series with a level that rises twice.
+SHIFTED = H + ", p AS (SELECT series_id, ts, value + CASE WHEN day(ts) >= 21 THEN 160 WHEN day(ts) >= 11 THEN 60 ELSE 0 END AS value FROM h), n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM p)"
+SQL["e_divisive"] = f"WITH RECURSIVE {SHIFTED}, {NEAR}, {DIVIDED} " + _points("ed", "c", "e_divisive")
+
+
+def _tables(sql: str) -> str:
+    """The tables of a statement on N and NEAR, without these."""
+    return sql.split(NEAR + ", ", 1)[1].rsplit(" SELECT series_id", 1)[0]
+
+
+SQL["all_change_points"] = (
+    f"WITH RECURSIVE {N}, {NEAR}, {_tables(SQL['cusum']).replace('r(i', 'cr(i').replace('FROM r ', 'FROM cr ').replace(' r.i', ' cr.i').replace('c AS (SELECT i', 'cc AS (SELECT i')}, {_tables(SQL['sliding_window']).replace('r(i', 'sr(i').replace('FROM r ', 'FROM sr ').replace('c AS (SELECT r.i, t FROM sr JOIN', 'sc AS (SELECT sr.i, t FROM sr JOIN')}, {PELT.split(NEAR + ', ', 1)[1].replace('c AS (SELECT DISTINCT', 'pc AS (SELECT DISTINCT')}, {DIVIDED}, "
+    f"au AS ({_points('cc', 'abs(mean_after - mean_before) / sd', 'cusum')} UNION ALL {_points('sc', 't / 2', 'window')} UNION ALL {_points('pc', 'abs(mean_after - mean_before) / sd', 'pelt')} UNION ALL {_points('ed', 'c', 'e_divisive')}), ab AS (SELECT *, row_number() OVER (PARTITION BY series_id, idx // 10 ORDER BY confidence DESC, method) AS k FROM au), ac AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY series_id ORDER BY confidence DESC, idx) AS k FROM ab WHERE k = 1) SELECT * EXCLUDE (k) FROM ac WHERE k <= 10"
+)
+
 # raw gauges ------------------------------------------------------------------------------------------------------
 
 STEP = "gp AS (SELECT (epoch(ts) - lag(epoch(ts)) OVER (ORDER BY ts))::BIGINT AS g FROM t), sp AS (SELECT greatest(60, least(900, list_sort(list(g))[len(list(g)) // 2 + 1])) AS step FROM gp WHERE g > 0)"
@@ -234,6 +285,13 @@ fl AS (SELECT series_id, ts, value, b, value / lim AS z, value / lim AS rank FRO
     + rows("x", "true", "sustained_latency", "'LATENCY_DEGRADED'", "'HIGH'", "b", "z", end="last", duration="epoch(last) - epoch(ts) + step", confidence="CASE WHEN rank >= 1.8 THEN 0.85 ELSE 0.72 END")
 )
 
+SQL["raw_rolling_mad"] = (
+    f"""WITH {P}, t AS (SELECT * FROM p), v AS (SELECT *, list_sort(list(value) OVER (ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS f, row_number() OVER (ORDER BY ts) - 1 AS i, median(value) OVER () AS gm, count(*) OVER () AS n FROM t), y AS (SELECT *, f[(len(f) - 1) * 50 // 100 + 1] AS b FROM v WHERE i >= 60 AND n >= 80),
+d AS (SELECT *, (value - b) / (1.4826 * list_sort([abs(q - b) FOR q IN f])[(len(f) - 1) * 50 // 100 + 1] + 1e-9) AS z FROM y), fl AS (SELECT series_id, ts, value, b, z, abs(z) AS rank FROM d WHERE abs(z) >= 6 AND abs(value - b) >= CASE WHEN gm < 1 THEN 5 ELSE greatest(0.2, 0.1 * gm) END), {_runs('fl', 1)} """
+    + rows("x", "true", "RawRolling", SIDE.format(b="b"), "CASE WHEN rank >= 12 THEN 'CRITICAL' WHEN rank >= 9 THEN 'HIGH' ELSE 'MEDIUM' END", "b", "z", end="last", duration="epoch(last) - epoch(ts) + step", confidence="least(0.95, 0.55 + least(0.35, rank / 30))")
+)
+SQL["multi_scale_scores"] = f"WITH {N}, x AS (SELECT *, avg(value) OVER w AS mf, stddev_pop(value) OVER w AS sf, avg(value) OVER l AS ml, avg(value) OVER r AS mr, var_pop(value) OVER l AS vl, var_pop(value) OVER r AS vr FROM n WINDOW w AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), l AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) SELECT series_id, {SEC.format(x='ts')} AS ts, round(CASE WHEN sf > 0 THEN abs(value - mf) / sf + 0.5 * CASE WHEN vl + vr > 0 THEN abs(ml - mr) / sqrt(vl + vr) ELSE abs(ml - mr) END ELSE 0 END, 6) AS score FROM x WHERE i >= 3 AND i < n - 3"
+
 # events ----------------------------------------------------------------------------------------------------------
 
 FOUND = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detectors as d
 from tidemark.operators import events as e
 from tidemark.operators import grouped as g
-from tidemark.session import staged
+from tidemark.session import staged, staged_all
 
 #: Detectors on a load series. Users register more under their own names.
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -26,24 +26,27 @@ def register(name: str, detector: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def findings(qps: DataFrame, latency: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
-    """All detectors' findings, each tagged with its detector. The series is staged once and read by all.
+    """All detectors' findings, each tagged with its detector.
 
-    Findings are staged by detector: one plan of all detectors outgrows the driver.
+    Findings are staged by detector, several at a time: one plan of all detectors outgrows the driver, and the jobs of
+    one detector seldom fill a cluster.
     """
-    qps = staged(qps, "qps")
-    parts = [staged(DETECTORS[n](qps).withColumn("detected_by", F.array(F.lit(n))), "findings") for n in names or DETECTORS]
-    parts.append(d.raw_rolling(qps, detector="raw_qps"))
+
+    def tagged(name: str) -> Callable[[], DataFrame]:
+        return lambda: DETECTORS[name](qps).withColumn("detected_by", F.array(F.lit(name)))
+
+    parts = [tagged(n) for n in names or DETECTORS] + [lambda: d.raw_rolling(qps, detector="raw_qps")]
     if latency is not None:
-        parts += [d.latency_anomalies(latency), d.raw_rolling(latency, "LATENCY_SPIKE", "raw_latency", latency=True), d.sustained_latency(latency)]
-    return reduce(DataFrame.unionByName, parts)
+        parts += [lambda: d.latency_anomalies(latency), lambda: d.raw_rolling(latency, "LATENCY_SPIKE", "raw_latency", latency=True), lambda: d.sustained_latency(latency)]
+    return reduce(DataFrame.unionByName, staged_all(parts, "findings"))
 
 
 def abnormal(qps: DataFrame, latency: DataFrame | None = None, backend: DataFrame | None = None, statements: DataFrame | None = None, storage: DataFrame | None = None, step: int = 120, names: list[str] | None = None, least_points: int = 80) -> DataFrame:
     """Validated events of every series with enough points."""
-    enough = qps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_points).select("series_id")
-    qps = staged(qps.join(enough, "series_id", "left_semi"), "qps")
-    latency = latency if latency is None else staged(latency, "latency")
-    found = staged(findings(qps, latency, names), "findings")
+    qps = qps.withColumn("__n", F.count(F.lit(1)).over(d.whole())).where(F.col("__n") >= least_points).drop("__n")
+    given = {k: v for k, v in {"qps": qps, "latency": latency, "backend": backend, "statements": statements, "storage": storage}.items() if v is not None}
+    qps, latency, backend, statements, storage = map(dict(zip(given, staged_all(list(given.values()), "series"), strict=True)).get, ("qps", "latency", "backend", "statements", "storage"))
+    found = findings(qps, latency, names)
     merged = e.confident(e.session_merge(found))
     single = found.where(F.exists("detected_by", lambda x: x.startswith("raw_") | (x == "sustained_latency")))
     joined = staged(e.stitched(merged.unionByName(single), step), "events")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,17 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Small tables that are made at the same time.
+AT_ONCE = 8
+
+
+def staged_all(parts: Sequence[Callable[[], DataFrame] | DataFrame], name: str) -> list[DataFrame]:
+    """``staged`` for several tables at once: jobs of small tables seldom fill a cluster, and a plan of all of them
+    together can outgrow the driver. A part is a table or a function that makes it."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda part: staged(part() if callable(part) else part, name), parts))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read table ``name`` of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -100,6 +100,6 @@ def compact_files(spark: SparkSession, folder: str, out: str, most: int = MERGE_
     found = at.groupBy("__file").agg(F.min(F.unix_seconds("ts")).alias("lo"), F.max(F.unix_seconds("ts")).alias("hi"), F.max("__size").alias("n"))
     groups = merge_groups([tuple(r) for r in found.toLocalIterator()], most, gap)
     names = spark.createDataFrame([(p, k) for k, own in enumerate(groups) for p in own], "__file string, part int")
-    whole = last_written(at.join(names, "__file").withColumn("key", series_key(F.col("labels"))), ["key", "ts"]).drop("__file", "__size", "key")
+    whole = last_written(at.join(names, "__file").withColumn("key", series_key(F.col("labels"))), ["key", "ts"], "__file").drop("__file", "__size", "key")
     whole.repartition("part").sortWithinPartitions("part", "ts").write.mode("overwrite").partitionBy("part").parquet(out)
     return spark.createDataFrame([(sum(map(len, groups)), len(groups))], "files long, groups long")

@@ -31,13 +31,29 @@ def deduplicated(stream: DataFrame, keys: tuple[str, ...] = ("series_id", "ts"),
 EMA_OUT = "series_id string, ts timestamp, value double, baseline double, z_score double, flagged boolean"
 
 
-def ema_states(stream: DataFrame, alpha: float = 0.2, limit: float = 3.0, warm: int = 10) -> DataFrame:
-    """Exponential mean and deviation per series, kept as state; rows of a batch are taken in order of time."""
+def _kept(state: GroupState, values: tuple, last: float, idle: int) -> None:
+    """Keep a state until ``idle`` seconds of event time have passed since its last row."""
+    state.update(values)
+    state.setTimeoutTimestamp(int(max(1000 * last, state.getCurrentWatermarkMs()) + 1000 * idle))
+
+
+def ema_states(stream: DataFrame, alpha: float = 0.2, limit: float = 3.0, warm: int = 10, late: str = "1 hour", idle: int = 7 * 86400) -> DataFrame:
+    """Exponential mean and deviation per series, kept as state; rows of a batch are taken in order of time.
+
+    A row not later than the state's last one can't change it any more and is left out. A series that is silent
+    for ``idle`` seconds loses its state and starts anew.
+    """
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, dev, n = state.get if state.exists else (None, 0.0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mean, dev, n, last = state.get if state.exists else (None, 0.0, 0, float("-inf"))
         rows = []
         for r in pd.concat(list(parts)).sort_values("ts").itertuples():
+            if r.ts.timestamp() <= last:
+                continue
+            last = r.ts.timestamp()
             if mean is None:
                 mean = r.value
             z = abs(r.value - mean) / dev if dev > 0 else 0.0
@@ -45,16 +61,20 @@ def ema_states(stream: DataFrame, alpha: float = 0.2, limit: float = 3.0, warm:
             dev = float(np.sqrt(alpha * (r.value - mean) ** 2 + (1 - alpha) * dev**2))
             mean = float(alpha * r.value + (1 - alpha) * mean)
             n += 1
-        state.update((mean, dev, n))
+        if mean is not None:
+            _kept(state, (mean, dev, n, last), last, idle)
         yield pd.DataFrame(rows, columns=["series_id", "ts", "value", "baseline", "z_score", "flagged"])
 
-    return stream.groupBy("series_id").applyInPandasWithState(work, EMA_OUT, "mean double, dev double, n long", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("series_id").applyInPandasWithState(work, EMA_OUT, "mean double, dev double, n long, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def with_cooldown(stream: DataFrame, seconds: int = 1800) -> DataFrame:
-    """The first finding of a series, and none again until ``seconds`` have passed."""
+def with_cooldown(stream: DataFrame, seconds: int = 1800, late: str = "1 hour") -> DataFrame:
+    """The first finding of a series, and none again until ``seconds`` have passed; then its state goes."""
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (last,) = state.get if state.exists else (-(1 << 60),)
         rows = []
         for r in pd.concat(list(parts)).sort_values("ts").itertuples():
@@ -62,7 +82,8 @@ def with_cooldown(stream: DataFrame, seconds: int = 1800) -> DataFrame:
             if t - last >= seconds:
                 rows.append((key[0], r.ts, r.value))
                 last = t
-        state.update((last,))
+        _kept(state, (last,), last, seconds)
         yield pd.DataFrame(rows, columns=["series_id", "ts", "value"])
 
-    return stream.select("series_id", "ts", "value").groupBy("series_id").applyInPandasWithState(work, "series_id string, ts timestamp, value double", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("series_id", "ts", "value").withWatermark("ts", late)
+    return rows.groupBy("series_id").applyInPandasWithState(work, "series_id string, ts timestamp, value double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
