@@ -11,8 +11,8 @@ A state of the transducer is (last emitted token, bytes that wait). States and t
 flush at the end of a piece, are worked out when they are needed again and then looked up, one lookup per
 byte; at ``MAX_STATES`` the machine starts again empty, which costs time but changes no result.
 Each match of the pre-tokenising pattern is one run of the machine from its start state; a bounded table of
-short whole matches stands in front of it. Tables that grow with the texts last for a task and are emptied at its
-end, since reused workers would carry them into later stages.
+short whole matches stands in front of it. Unless ``keep`` is set, tables that grow with the texts last for a task
+and are emptied at its end, since reused workers would carry them into later stages.
 
 Decoding concatenates token bytes; ``Utf8Stream`` turns chunks into text with an incremental UTF-8 state
 machine that holds back at most three bytes.
@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.memory import tidy
 
-MAX_STATES = 100_000
+MAX_STATES = 200_000
 MAX_PAIRS = 400_000
-MAX_MATCHES = 150_000
+MAX_MATCHES = 400_000
 SHORT = 32
 BYTES = [bytes([k]) for k in range(256)]
+End = tuple[dict, int, tuple[int, ...]]
 
 
 class Ranks:
@@ -53,23 +54,24 @@ class Ranks:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.size = list(map(len, self.tokens))
-        #: The trie of the entries: node << 8 | byte to the node there, negative where no entry goes on from it.
-        self.trie, self.rank_at = self._trie(ranks)
+        #: The trie of the entries. A node has for each byte the rank of the entry that ends there (-1: none) and the
+        #: next node, None where no entry goes on.
+        self.trie = self._trie(ranks)
         self._seam: tuple[dict, dict] = ({}, {})
         self.known_pairs: dict[int, bool] = {}
 
     @staticmethod
-    def _trie(ranks: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
-        trie, rank_at, inner = {}, [-1], set()
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                inner.add(node)
-                node = trie.setdefault(node << 8 | byte, len(rank_at))
-                if node == len(rank_at):
-                    rank_at.append(-1)
-            rank_at[node] = rank
-        return {k: v if v in inner else -v for k, v in trie.items()}, rank_at
+    def _trie(ranks: dict[bytes, int]) -> dict[int, tuple[int, dict | None]]:
+        root: dict[int, tuple[int, dict | None]] = {}
+        for token in sorted(ranks, key=len):
+            node = root
+            for byte in token[:-1]:
+                rank, more = node.get(byte, (-1, None))
+                if more is None:
+                    node[byte] = (rank, more := {})
+                node = more
+            node[token[-1]] = (ranks[token], node.get(token[-1], (-1, None))[1])
+        return root
 
     def merge(self, value: bytes, left: int = 1) -> list[bytes]:
         """Merge by rank until ``left`` parts remain or nothing merges."""
@@ -123,7 +125,7 @@ class Ranks:
 class Transducer:
     """States are numbered as they turn up. A state is named by the last emitted id and the bytes that wait, and
     keeps its live ends: for every place from where an entry may still go on past the last byte, that entry's
-    node in the trie and the ids up to the place.
+    node in the trie, the id that ends at the place, and the ids up to there that are not emitted.
 
     A transition becomes a state's arc the second time it is needed. The first time, the rest of the piece
     runs through the same steps without naming states, so words that occur once leave no states behind."""
@@ -135,11 +137,11 @@ class Transducer:
     def _reset(self, start: tuple | None = None) -> int:
         """Empty tables but for the start state and, if given, the state to go on from; returns its number."""
         self.key: list[tuple[int, bytes]] = []  # (last emitted id, bytes that wait)
-        self.live: list[list[tuple[int, tuple[int, ...]]]] = []
+        self.live: list[list[End]] = []
         self.number: dict[tuple[int, bytes], int] = {}
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte: state, emitted ids
         self.once: set[int] = set()
-        self._state((-1, b""), [(0, ())])
+        self._state((-1, b""), [(self.r.trie, -1, ())])
         return self._state(*start) if start else 0
 
     def _state(self, key: tuple[int, bytes], live: list) -> int:
@@ -149,30 +151,27 @@ class Transducer:
             self.live.append(live)
         return at
 
-    def _ends(self, before: int, live: list[tuple[int, tuple[int, ...]]], byte: int) -> list[tuple[int, tuple[int, ...]]]:
+    def _ends(self, live: list[End], byte: int) -> list[End]:
         """The live ends one byte on; the last one is at the byte's end."""
-        trie, rank_at, known = self.r.trie, self.r.rank_at, self.r.known_pairs
-        made, out = None, []
-        for node, chain in live:
-            if (to := trie.get(node << 8 | byte)) is not None:
-                if to > 0:
-                    out.append((to, chain))
-                else:
-                    to = -to
-                if made is None and (rank := rank_at[to]) >= 0:
-                    left = chain[-1] if chain else before
-                    if (fits := known.get(left << 24 | rank)) is None:
-                        fits = self.r.follows(left, rank)
+        known, made, out = self.r.known_pairs, None, []
+        for node, last, chain in live:
+            if (to := node.get(byte)) is not None:
+                rank, more = to
+                if more is not None:
+                    out.append((more, last, chain))
+                if made is None and rank >= 0:
+                    if (fits := known.get(last << 24 | rank)) is None:
+                        fits = self.r.follows(last, rank)
                     if fits:
-                        made = (*chain, rank)  # the one entry that may come last
-        out.append((0, made))
+                        made = (self.r.trie, rank, (*chain, rank))  # the one entry that may come last
+        out.append(made)
         return out
 
     @staticmethod
-    def _sure(live: list[tuple[int, tuple[int, ...]]]) -> tuple[int, ...]:
+    def _sure(live: list[End]) -> tuple[int, ...]:
         """What all chains begin with: it is certain."""
-        sure = live[0][1]
-        for _, c in live:
+        sure = live[0][2]
+        for _, _, c in live:
             if not sure:
                 break
             while c[: len(sure)] != sure:
@@ -181,25 +180,36 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, wait = self.key[state]
-        live = self._ends(before, self.live[state], byte)
+        live = self._ends(self.live[state], byte)
         wait += BYTES[byte]
         if sure := self._sure(live):
             shared, size = len(sure), self.r.size
             wait = wait[sum([size[t] for t in sure]) :]
             before = sure[-1]
-            live = [(node, c[shared:]) for node, c in live]
+            live = [(node, last, c[shared:]) for node, last, c in live]
         return self._state((before, wait), live), sure
 
     def _unnamed(self, state: int, rest: bytes, out: list[int]) -> list[int]:
         """The ids of the rest of a piece, without states; what is certain leaves the chains every few entries."""
-        before, live, ends = self.key[state][0], self.live[state], self._ends
+        live, trie, known, follows = self.live[state], self.r.trie, self.r.known_pairs, self.r.follows
         for byte in rest:
-            live = ends(before, live, byte)
-            if len(live[-1][1]) > 8 and (sure := self._sure(live)):
+            out_, made = [], None
+            for node, last, chain in live:  # as in _ends
+                if byte in node:
+                    rank, more = node[byte]
+                    if more is not None:
+                        out_.append((more, last, chain))
+                    if rank >= 0 and made is None:
+                        fits = known.get(last << 24 | rank)
+                        if fits or fits is None and follows(last, rank):
+                            made = (trie, rank, (*chain, rank))
+            out_.append(made)
+            live = out_
+            if len(made[2]) > 8 and (sure := self._sure(live)):
                 out.extend(sure)
-                before, shared = sure[-1], len(sure)
-                live = [(node, c[shared:]) for node, c in live]
-        out.extend(live[-1][1])
+                shared = len(sure)
+                live = [(node, last, c[shared:]) for node, last, c in live]
+        out.extend(live[-1][2])
         return out
 
     def run(self, piece: bytes) -> list[int]:
@@ -219,7 +229,7 @@ class Transducer:
             state, ids = found
             if ids:
                 out.extend(ids)
-        out.extend(self.live[state][-1][1])
+        out.extend(self.live[state][-1][2])
         return out
 
 
@@ -250,10 +260,9 @@ class Codec:
         return ids
 
     def forget(self) -> None:
-        """Empty all tables that grow with what was seen."""
+        """Empty the tables of states and matches; what is known of pairs of entries stays, it is small and bounded."""
         self.machine._reset()
         self.seen, self.before = {}, {}
-        self.ranks.known_pairs.clear()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -263,6 +272,12 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decoded(self, ids: bytes) -> str:
+        """Text of ids, through the incremental decoder, some thousands of them at a time."""
+        stream = Utf8Stream()
+        parts = [stream.feed(self.decode(ids[at : at + 16_384])) for at in range(0, len(ids), 16_384)]
+        return "".join([*parts, stream.close()])
+
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes certain, id by id."""
         stream = Utf8Stream()
@@ -318,10 +333,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest: Callable[[Codec, bytes], list] | None = None, digest_schema: str = "") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest: Callable[[Codec, bytes], list] | None = None, digest_schema: str = "", keep: bool = False, check: bool = False) -> DataFrame:
     """Add ``n_tokens`` and ``token_ids`` (little-endian uint32 bytes) to every row, or a digest of them.
 
-    One narrow pass: no shuffle, rows stream through Arrow batches.
+    One narrow pass: no shuffle, rows stream through Arrow batches. With ``keep`` a worker's tables serve its next tasks
+    too: quicker where nothing but encoding follows, but their memory (bounded, some 300 MB) stays with the worker. With ``check`` every text is decoded again and must be the same.
     """
     made = digest_schema or "n_tokens long, token_ids binary"
     names = [x.split()[0] for x in made.split(",")]
@@ -336,9 +352,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
                 part = b.slice(at, 512)
                 rows = []
                 for value in part.column(text):
-                    ids = machine.encode(value.as_py() or "")
+                    said = value.as_py() or ""
+                    ids = machine.encode(said)
+                    if check and machine.decoded(ids) != said:
+                        raise ValueError("token ids do not decode to their text")
                     rows.append(digest(machine, ids) if digest else [len(ids) // 4, ids])
                 columns = [pa.array(list(x)) for x in zip(*rows, strict=True)]
                 yield pa.record_batch([*[part.column(f.name) for f in kept], *columns], names=[*[f.name for f in kept], *names])
 
-    return docs.mapInArrow(tidy(work, lambda: codec(path, pattern).forget()), schema)
+    return docs.mapInArrow(tidy(work, None if keep else lambda: codec(path, pattern).forget()), schema)
