@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, id s
 
 
 def docs_of(spark, texts):
-    """Documents with clashing extra columns; ids in order, the last one null and twice."""
+    """Documents with clashing extra columns and ids in order (null ids and repeated rows: test_edges.py)."""
     rows = [(k, t, "en", "s", len(t or ""), "x", 1) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
@@ -252,6 +252,37 @@ def test_grammar_arcs():
     assert s[1] > s[0] > s[2] > s[4] and s[0] > s[3]
 
 
+def test_composition_like_its_parts():
+    r = random.Random(1)
+    for _ in range(4000):
+        symbols = [r.choice([0, 0, 0, 1, 2, 3, 4, 5]) for _ in range(r.randrange(9))]
+        states, state = [0] * len(toxicity.PARTS), 0
+        for symbol in symbols:
+            x = symbol
+            for k, part in enumerate(toxicity.PARTS):
+                states[k], x = part[states[k], x]
+            state = toxicity.CLAUSE[state << 3 | symbol]
+        assert toxicity.FINAL[state] == toxicity.arc_of(tuple(states))
+        # by the definition: the strongest reading of the clause's insults
+        hits = [k for k, x in enumerate(symbols) if x == toxicity.INSULT]
+        denied = lambda k: any(x == toxicity.NEGATION for x in symbols[max(0, k - toxicity.SCOPE) : k])
+        if not hits:
+            assert toxicity.FINAL[state][0] == 0
+        elif all(denied(k) for k in hits):
+            assert toxicity.FINAL[state][0] == 3
+        elif any(not denied(k) and toxicity.NEGATION not in symbols[k:] for k in hits):
+            assert toxicity.FINAL[state][0] == (4 if toxicity.REPORT in symbols else 2 if toxicity.TARGET in symbols else 1)
+
+
+def test_grammar_words_and_sums():
+    g = toxicity.Grammar({"idio": 5.0, "zor": 4.0})
+    assert g.emit("idiotic") == (toxicity.INSULT, 5.0) and g.emit("zor")[0] == toxicity.INSULT and g.emit("zorro")[0] == toxicity.OTHER
+    assert g.emit("killed")[0] == g.emit("kills")[0] == toxicity.THREAT and g.emit("skill")[0] == toxicity.OTHER
+    once, often = (g.features("you idiot. " * n)[2] for n in (1, 9))
+    assert abs(np.expm1(often) - 9 * np.expm1(once)) < 1e-9  # every clause counts
+    assert g.features("you idiot, she said")[4] > 0 and g.features("an idiot, not")[3] > 0
+
+
 # line dedup ----------------------------------------------------------------------------------------------
 
 def levenshtein(a, b):
@@ -368,6 +399,27 @@ def test_surrogates(spark):
     assert pii.with_surrogates(docs_of(spark, texts).limit(0), "k").count() == 0
 
 
+def test_surrogates_of_people_and_numbers(spark):
+    texts = ["John Smith called. Mr John Smith and Mr Smith met Smith's wife.", "Dr Jane Doe, Prof. Dr. Jane Doe and г-н Иванов", "call 555-123-4567 or +1 555 123 4567", "IBAN DE89370400440532013000 and DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, DE00370400440532013000", "Κυρία Παπαδοπούλου", "Mr Smith"]
+    got = {x.doc_id: x.text for x in pii.with_surrogates(docs_of(spark, texts), "k").collect()}
+    a = re.fullmatch(r"(\S+) (\S+) called. Mr (\S+) (\S+) and Mr (\S+) met (\S+)'s wife.", got[0])
+    assert a and a[1] == a[3] in pii.GIVEN["m", "latin"] and a[2] == a[4] == a[5] == a[6] != "Smith" and got[5] == f"Mr {a[2]}"
+    b = re.fullmatch(r"Dr (\S+) (\S+), Prof. Dr. (\S+) (\S+) and г-н ([А-Яа-я]+)", got[1])
+    assert b and b[1] == b[3] in pii.GIVEN["n", "latin"] and b[2] == b[4] and b[5] != "Иванов"
+    c = re.fullmatch(r"call (\d{3}-\d{3}-\d{4}) or \+1 (\d{3} \d{3} \d{4})", got[2])
+    assert c and re.sub(r"\D", "", c[1]) == re.sub(r"\D", "", c[2]) != "5551234567"
+    d = re.fullmatch(r"IBAN (\S+) and (\S+ \S+ \S+ \S+ \S+ \S+), (\S+), (\S+)", got[3])
+    right = lambda x: int("".join(str(int(ch, 36)) for ch in x[4:] + x[:4])) % 97 == 1
+    assert d and d[1] == d[2].replace(" ", "") and right(d[1]) and right(d[3]) and d[3].startswith("GB") and not right(d[4])
+    assert re.fullmatch(r"Κυρία [Α-Ωα-ωά-ώ]+", got[4]) and "Παπαδοπούλου" not in got[4]
+
+
+def test_surrogates_never_run_out(spark):
+    n = 100_000
+    made = pii.assign(spark.range(n).select(F.lit("family").alias("kind"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("canonical")), "k")
+    assert made.count() == n == made.select("surrogate").distinct().count()
+
+
 def test_shingle_sets():
     assert len(shingles.shingle_set(None)) == 0 == len(shingles.shingle_set(" \n"))
     assert (shingles.shingle_set("A b\tc d e f") == shingles.shingle_set("a B c D e F")).all()

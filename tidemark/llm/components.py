@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,11 +17,14 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = staged(links.select(F.col(a).alias("a"), F.col(b).alias("b")).union(links.select(F.col(b), F.col(a))).where("a <> b").distinct(), "edges")
     labels = staged(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    made = labels
     while True:
         seen = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(seen, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("jumped"))
         lower = staged(lower.join(jump, "next").select("id", "old", F.least("next", "jumped").alias("component")), "labels")
-        labels = lower.select("id", "component")
+        discard(made)
+        made, labels = lower, lower.select("id", "component")
         if lower.where("old <> component").isEmpty():
+            discard(edges)
             return labels

@@ -7,7 +7,7 @@ are bounded by the segments before it, from the right by those after it. Lines t
 compared by character counts and then by a bit-parallel edit distance in the band of ``2 EDITS + 1`` diagonals.
 
 Shape at scale: keys are first only counted, with partial aggregates. Keys with several different lines set
-bits in a filter of fixed size, which is broadcast; only lines with such a key move, once, with their text. A
+bits in a filter of 256 bits for each of them, 32 MB at most, which is broadcast; only lines with such a key move, once, with their text. A
 key with many lines is split into chunks compared chunk against chunk, so a task holds two chunks and only
 links within a block leave it. If the filter fills up, more lines move; results stay the same.
 
@@ -40,7 +40,7 @@ from tidemark.session import staged
 EDITS = 2
 SHORTEST = 24
 CHUNK = 256
-FILTER_BITS = 25
+LEAST_BITS, MOST_BITS = 16, 28
 
 
 def lines_of(text: str | None, least: int = SHORTEST) -> list[tuple[int, str]]:
@@ -168,6 +168,7 @@ def _keyed(edits: int):
 def _filtered(edits: int, bits: bytes):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(bits, np.uint8)
+        shift = np.uint64(64 - 3 - (len(filter_).bit_length() - 1))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 keys, sizes, codes, lines, seen = [], [], [], [], set()
@@ -181,7 +182,7 @@ def _filtered(edits: int, bits: bytes):
                             codes.append(_code(line))
                             lines.append(line)
                 keys = np.array(keys, np.uint64)
-                cell = keys >> np.uint64(64 - FILTER_BITS)
+                cell = keys >> shift
                 hit = (filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 of = pa.array(np.repeat(np.arange(len(sizes)), sizes)[hit])
                 yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(codes, pa.int64()).take(of), pa.array(lines, pa.string()).take(of)], names=["key", "code", "text"])
@@ -246,11 +247,12 @@ def _blocks(edits: int):
 
 
 def _filter_of(keys: DataFrame) -> bytes:
-    """Bits of the keys; at most 2^FILTER_BITS / 64 words come to the driver, whatever the input."""
-    cell = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    """Bits of the keys; at most 2^MOST_BITS / 64 words come to the driver, whatever the input."""
+    width = min(MOST_BITS, max(LEAST_BITS, (256 * keys.count()).bit_length()))
+    cell = F.shiftrightunsigned("key", 64 - width)
     words = keys.withColumn("c", cell).select(F.shiftright("c", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(c & 63 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (width - 6), np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.tobytes()
 
@@ -285,14 +287,14 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", edi
     it is, for a later step on whole documents.
     """
     found = line_classes(docs, id, text, edits, short).where("repeats").groupBy("id").agg(F.collect_set("line").alias("gone"))  # a document's own lines
-    found = found.select(F.col("id").alias("__id"), F.array_sort("gone").alias("__gone"))
+    found = found.select(F.col("id").alias("__tm_id"), F.array_sort("gone").alias("__tm_gone"))
     split = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.filter(F.transform(F.col("__lines"), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col("__gone"), s.k))
+    kept = F.filter(F.transform(F.col("__tm_lines"), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col("__tm_gone"), s.k))
     names = [c for c in docs.columns if c not in ("n_lines", "n_repeats")]
-    out = docs.select(*[F.col(f"`{c}`") for c in names]).join(found, F.col(f"`{id}`") == F.col("__id"), "left")
-    out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), split)).withColumn("__new", F.array_join(kept.x, "\n"))
-    cut = F.col("__gone").isNotNull() & (F.length(F.col(f"`{text}`")) - F.length("__new") <= leave * F.length(F.col(f"`{text}`")))
-    made = {c: F.col(f"`{c}`") for c in names} | {text: F.when(cut, F.col("__new")).otherwise(F.col(f"`{text}`"))}
+    out = docs.select(*[F.col(f"`{c}`") for c in names]).join(found, F.col(f"`{id}`") == F.col("__tm_id"), "left")
+    out = out.withColumn("__tm_lines", F.when(F.col("__tm_gone").isNotNull(), split)).withColumn("__tm_new", F.array_join(kept.x, "\n"))
+    cut = F.col("__tm_gone").isNotNull() & (F.length(F.col(f"`{text}`")) - F.length("__tm_new") <= leave * F.length(F.col(f"`{text}`")))
+    made = {c: F.col(f"`{c}`") for c in names} | {text: F.when(cut, F.col("__tm_new")).otherwise(F.col(f"`{text}`"))}
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    n_repeats = F.when(cut, F.size("__gone")).otherwise(0).cast("long")
+    n_repeats = F.when(cut, F.size("__tm_gone")).otherwise(0).cast("long")
     return out.select(*[v.alias(k) for k, v in made.items()], F.when(F.col(f"`{text}`").isNull(), 0).otherwise(n_lines).alias("n_lines"), n_repeats.alias("n_repeats"))

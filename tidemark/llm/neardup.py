@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import shingles as sh
 from tidemark.llm.components import connected
 from tidemark.llm.memory import tidy
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 REGISTERS = 256
 MANTISSA = 10
@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     company = entries.groupBy("id").agg(F.sum("n").alias("company"))
     ranked = entries.join(company, "id")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("less"))).alias("top")).select("key", (-F.col("top.less")).alias("pivot"))
-    entries = staged(entries.join(pivots, "key"), "buckets")
+    first, entries = entries, staged(entries.join(pivots, "key"), "buckets")
+    discard(first)
 
     members = entries.select("id").distinct()
     wanted = source.where("id is not null").join(members, "id", "left_semi")
@@ -259,6 +260,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     more = staged(search.linked(crossing).union(_beside_pivots(search, labelled.where(F.col("n") > SMALL_BUCKET), percent)), "links")
     links = links.union(more)
     components = connected(links)
+    discard(entries, labelled, pairs, sets)
 
     joined = profiles.join(classes, "digest", "left")
     lookup = components.select(F.col("id").alias("class"), "component")

@@ -23,8 +23,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("__size"))
-    placed = sharding.shard_records(docs, 16, ["doc_id", "text_crc32"], F.col("__size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("__tm_size"))
+    placed = sharding.shard_records(docs, 16, ["doc_id", "text_crc32"], F.col("__tm_size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
@@ -43,7 +43,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=_bpe_digest, digest_schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe.encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=_bpe_digest, digest_schema="n_tokens long, ids_sha256 string, decoded_sha256 string", keep=True)
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.memory import tidy
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 LENGTH = 400
 GRAM = 32
@@ -212,8 +212,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` has the columns doc (binary key of a row) and text.
     """
     work, schema = _first_pass(length)
-    cells = staged(texts.mapInArrow(tidy(work), schema).withColumn("decided", F.lit(False)), "runs")
-    judged = staged(_judged(cells), "judged")
+    runs_ = staged(texts.mapInArrow(tidy(work), schema).withColumn("decided", F.lit(False)), "runs")
+    judged = staged(_judged(runs_), "judged")
+    discard(runs_)
     done = _done(judged)
     lists = _going_on(judged).groupBy("doc").agg(F.collect_set(F.struct("first", "last", "at", "decided")).alias("cells"))  # a text's own runs
     work, schema = _with_bytes(length)
@@ -222,7 +223,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     while size > 1:
         size = -(-size // BRANCH)
         work, schema = _divide(length, size)
-        judged = staged(_judged(staged(cells.mapInArrow(tidy(work), schema), "cells")), "judged")
+        divided = staged(cells.mapInArrow(tidy(work), schema), "cells")
+        judged = staged(_judged(divided), "judged")
+        discard(divided)
         done = done.union(_done(judged))
         cells = _going_on(judged)
         if size > 1 and cells.isEmpty():

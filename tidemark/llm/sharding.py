@@ -12,6 +12,7 @@ result; rows equal in every key share a slot; extra columns pass through.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -86,20 +87,30 @@ def _placed(full: pd.DataFrame) -> pd.DataFrame:
     return full[MAP_SCHEMA.names]
 
 
-def store_map(spark: SparkSession, slot_map: pd.DataFrame, path: str | None = None) -> DataFrame:
-    """Append one version of the map to the map table and return that version."""
-    path = path or f"{shared_folder(spark)}/slot-map"
-    made = spark.createDataFrame(slot_map.astype({"version": "int32", "vslot": "int32", "shard": "int32"}), MAP_SCHEMA)
-    made.coalesce(1).write.mode("append").parquet(path)
-    return made
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the map table at ``path``, none if there is no table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted(int(x.getPath().getName().partition("=")[2]) for x in files.listStatus(folder) if x.getPath().getName().startswith("version="))
+
+
+def store_map(spark: SparkSession, slot_map: pd.DataFrame, path: str) -> int:
+    """Add the map to the map table as its next version, which is returned.
+
+    A version is a folder written once: a second writer of the same version fails and none is stored twice.
+    """
+    version = max(versions(spark, path), default=0) + 1
+    made = spark.createDataFrame(slot_map.assign(version=version).astype({"version": "int32", "vslot": "int32", "shard": "int32"})[MAP_SCHEMA.names], MAP_SCHEMA)
+    made.drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    return version
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the map, the latest unless one is named."""
-    maps = spark.read.schema(MAP_SCHEMA).parquet(path)
-    if version is None:
-        version = maps.agg(F.max("version")).first()[0]
-    return maps.where(F.col("version") == version)
+    version = max(versions(spark, path)) if version is None else version
+    return spark.read.schema(T.StructType(MAP_SCHEMA.fields[1:])).parquet(f"{path}/version={version}").withColumn("version", F.lit(version)).select(*MAP_SCHEMA.names)
 
 
 def place(slotted: DataFrame, slot_map: DataFrame, order: Sequence[str], slot: str = "vslot") -> DataFrame:
@@ -110,18 +121,24 @@ def place(slotted: DataFrame, slot_map: DataFrame, order: Sequence[str], slot: s
     virtual slot, which bounds the broadcast.
     """
     window = Window.partitionBy(slot).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = slotted.withColumn("__nth", F.row_number().over(window).cast("long") - 1)
-    m = slot_map.select(F.col("vslot").alias("__vslot"), F.col("shard"), F.col("first_place").alias("__first"))
-    return numbered.join(F.broadcast(m), F.col(slot) == F.col("__vslot")).withColumn("slot", F.col("__first") + F.col("__nth")).drop("__nth", "__first", "__vslot")
+    numbered = slotted.withColumn("__tm_nth", F.row_number().over(window).cast("long") - 1)
+    m = slot_map.select(F.col("vslot").alias("__tm_vslot"), F.col("shard"), F.col("first_place").alias("__tm_first"))
+    return numbered.join(F.broadcast(m), F.col(slot) == F.col("__tm_vslot")).withColumn("slot", F.col("__tm_first") + F.col("__tm_nth")).drop("__tm_nth", "__tm_first", "__tm_vslot")
 
 
 def shard_records(df: DataFrame, n_shards: int, keys: Sequence[str], size: Column, n_slots: int = N_SLOTS, keep: Sequence[str] = (), map_path: str | None = None) -> DataFrame:
-    """Assign every row to a shard by bytes; with ``map_path`` the map is also stored there."""
-    slotted = df.select(*dict.fromkeys([*keep, *keys]), size.cast("long").alias("size"), slot_of([F.col(k) for k in keys], n_slots).alias("vslot"))
-    slot_map = build_map(slot_stats(slotted, "size"), n_shards, n_slots)
+    """Assign every row to a shard by bytes, with the map that is stored at ``map_path``.
+
+    Without a map there the first version is built; otherwise the latest one is edited for the rows' present sizes
+    and stored as the next. Rows are placed by what is read back.
+    """
     spark = df.sparkSession
-    stored = store_map(spark, slot_map, map_path) if map_path else spark.createDataFrame(slot_map.astype({"version": "int32", "vslot": "int32", "shard": "int32"}), MAP_SCHEMA)
-    return place(slotted, stored, [*keys, "size"])
+    slotted = df.select(*dict.fromkeys([*keep, *keys]), size.cast("long").alias("size"), slot_of([F.col(k) for k in keys], n_slots).alias("vslot"))
+    stats = slot_stats(slotted, "size")
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    known = versions(spark, path)
+    slot_map = rebalance(load_map(spark, path).toPandas(), stats, n_shards) if known else build_map(stats, n_shards, n_slots)
+    return place(slotted, load_map(spark, path, store_map(spark, slot_map, path)), [*keys, "size"])
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
