@@ -50,7 +50,16 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``staged`` made, once all that was made of them is a table itself."""
+    for df in frames:
+        if path := getattr(df, "staged_at", None):
+            _delete(df.sparkSession, path)
 
 
 #: Small tables that are made at the same time.
