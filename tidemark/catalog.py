@@ -337,7 +337,7 @@ def _(spark, f):
 
 _DETECTORS = {
     "core_all": lambda q: d.core_all(q.withColumn("value", F.col("value") * 50)), "contextual": d.contextual, "dynamic_threshold": d.dynamic_threshold, "dynamic_threshold_states": d.dynamic_threshold_states, "multi_scale": d.multi_scale, "stl_parts": d.decompose, "stl_mad": d.decomposition_anomalies,
-    "sustained_residual": lambda q: d.sustained_residual(q, least=0.8), "esd": g.esd, "shesd": g.shesd, "ensemble": g.ensemble, "ema_detector": g.ema_detector, "isolation_forest": g.isolation_forest, "random_cut_forest": g.random_cut_forest, "spectral_residual": g.spectral_residual, "dbscan": g.dbscan,
+    "sustained_residual": lambda q: d.sustained_residual(q, least=0.8), "esd": g.esd, "shesd": g.shesd, "ensemble": g.ensemble, "ema_detector": g.ema_detector, "isolation_forest": g.isolation_forest, "random_cut_forest": g.random_cut_forest, "dbscan": g.dbscan,
     "holt_winters": g.holt_winters, "peaks": g.peaks, "peak_anomalies": g.peak_anomalies, "robust_stl": g.robust_stl, "cusum": cp.cusum, "pelt": cp.pelt, "sliding_window": cp.sliding_window, "all_change_points": cp.all_change_points,
     "forecast_holt": lambda q: cp.exponential(q, beta=0.1), "forecast_ses": cp.exponential, "forecast_auto": cp.auto, "volatility_metrics": w.volatility, "spectrum": w.spectrum, "modes": w.modes, "regimes": w.regimes,
 }
@@ -351,6 +351,12 @@ def _(spark, f):
     return cp.e_divisive(m.hourly(spark, f).withColumn("value", F.col("value") + F.when(day >= 21, 160).when(day >= 11, 60).otherwise(0)))
 
 
+@query("spectral_residual")
+def _(spark, f):
+    h = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)  # lone peaks on a floor
+    return g.spectral_residual(m.hourly(spark, f).withColumn("value", F.when(h % 331 == 5, 900.0).otherwise(F.col("value") + 100)))
+
+
 @query("latency_anomalies")
 def _(spark, f):
     return d.latency_anomalies(planted(m.latency(spark, f)))

@@ -263,6 +263,34 @@ SQL["all_change_points"] = (
     f"au AS ({_points('cc', 'abs(mean_after - mean_before) / sd', 'cusum')} UNION ALL {_points('sc', 't / 2', 'window')} UNION ALL {_points('pc', 'abs(mean_after - mean_before) / sd', 'pelt')} UNION ALL {_points('ed', 'c', 'e_divisive')}), ab AS (SELECT *, row_number() OVER (PARTITION BY series_id, idx // 10 ORDER BY confidence DESC, method) AS k FROM au), ac AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY series_id ORDER BY confidence DESC, idx) AS k FROM ab WHERE k = 1) SELECT * EXCLUDE (k) FROM ac WHERE k <= 10"
 )
 
+#: S-H-ESD in pieces of 48 to 99 points, where one point may go.
+SQL["shesd"] = (
+    f"""WITH {N}, sz AS (SELECT CASE WHEN count(*) > 240 THEN greatest(count(*) // 10, 48) ELSE count(*) END AS size FROM n), pc AS (SELECT n.*, i // size AS piece, i % size AS j, count(*) OVER (PARTITION BY i // size) AS m FROM n, sz), pp AS (SELECT * FROM pc WHERE m >= 48),
+tr AS (SELECT a.piece, a.j, sum(b.value * exp(-((a.j - b.j) ** 2) / 144.0)) / sum(exp(-((a.j - b.j) ** 2) / 144.0)) AS trend FROM pp a JOIN pp b ON a.piece = b.piece AND abs(a.j - b.j) <= 12 GROUP BY ALL), ph AS (SELECT piece, j % 24 AS ph, avg(value - trend) AS mean FROM pp JOIN tr USING (piece, j) GROUP BY ALL),
+re AS (SELECT pp.*, trend + mean - avg_mean AS base, value - trend - (mean - avg_mean) AS r FROM pp JOIN tr USING (piece, j) JOIN ph ON ph.piece = pp.piece AND ph.ph = pp.j % 24 JOIN (SELECT piece, avg(mean) AS avg_mean FROM ph GROUP BY ALL) am ON am.piece = pp.piece), q AS (SELECT piece, median(r) AS med FROM re GROUP BY ALL), q2 AS (SELECT piece, any_value(med) AS med, 1.4826 * median(abs(r - med)) AS dev, count(*) AS m FROM re JOIN q USING (piece) GROUP BY ALL),
+x AS (SELECT * FROM (SELECT re.*, abs(r - med) / dev AS d, (q2.m - 1) / sqrt(q2.m) * sqrt(25.0 / (q2.m + 23)) AS c, row_number() OVER (PARTITION BY re.piece ORDER BY abs(r - med) DESC, j) AS rk FROM re JOIN q2 USING (piece) WHERE dev > 0) WHERE rk = 1 AND d > c) """
+    + rows("x", "true", "SHESD", SIDE.format(b="base"), "CASE WHEN d > 2 * c THEN 'CRITICAL' WHEN d > 1.5 * c THEN 'HIGH' ELSE 'MEDIUM' END", "base", "d")
+)
+_ERRORS = "avg(abs(value - {p})) AS mae, sqrt(avg((value - {p}) ** 2)) AS rmse, coalesce(avg(abs(value - {p}) / abs(value)) FILTER (WHERE value <> 0), 0) * 100 AS mape"
+_STEPS = "round(pr, 6) AS prediction, round(pr - hf, 6) AS lower, round(pr + hf, 6) AS upper, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape"
+SQL["forecast_auto"] = f"""WITH RECURSIVE {N}, pd AS (SELECT coalesce(max(a), 0) AS a FROM (SELECT k, sum(x.d * y.d) / (SELECT sum((value - mu) ** 2) FROM n, (SELECT avg(value) AS mu FROM n)) AS a FROM (SELECT i, value - avg(value) OVER () AS d, n FROM n) x JOIN range(6, 168) t(k) ON k < least(x.n // 2, 168) JOIN (SELECT i, value - avg(value) OVER () AS d FROM n) y ON y.i = x.i + k GROUP BY k)),
+st AS (SELECT stddev_pop(value) / avg(value) AS cv, avg(value) FILTER (WHERE third = 1) AS a, avg(value) FILTER (WHERE third = 3) AS b, count(*) AS n FROM (SELECT *, ntile(3) OVER (ORDER BY i) AS third FROM n)), ch AS (SELECT CASE WHEN cv < 0.1 THEN 'sma' WHEN cv < 0.3 THEN 'ses' WHEN st.n >= 48 AND pd.a > 0.3 THEN 'seasonal_naive' WHEN abs((b - st.a) / st.a) > 0.5 THEN 'linear' ELSE 'holt' END AS method FROM st, pd),
+ma AS (SELECT 'sma' AS method, p, s, {_ERRORS.format(p='p')} FROM n, (SELECT avg(value) FILTER (WHERE i >= n - 5) AS p, stddev_pop(value) AS s FROM n) GROUP BY p, s), sl AS (SELECT list(value ORDER BY i) FILTER (WHERE i >= n - 24) AS v, stddev_pop(value) FILTER (WHERE i >= n - 24) AS s FROM n), se AS (SELECT v, s, {_ERRORS.format(p='v[24]')} FROM n, sl GROUP BY v, s),
+lf AS (SELECT regr_slope(value, i) AS b, regr_intercept(value, i) AS a, count(*) AS n, avg(i) AS mx, regr_sxx(value, i) AS sxx FROM n), li AS (SELECT a, b, lf.n, mx, sxx, sqrt(sum((value - a - b * i) ** 2) / (lf.n - 2)) AS e, {_ERRORS.format(p='(a + b * i)')} FROM n, lf GROUP BY a, b, lf.n, mx, sxx),
+al AS (SELECT 'sma' AS method, st::INT AS step, p AS pr, 1.96 * s * sqrt(1 + (st - 1) / 5) AS hf, mae, rmse, mape FROM ma, range(1, 25) t(st) UNION ALL SELECT 'seasonal_naive', st::INT, v[st], 1.96 * s, mae, rmse, mape FROM se, range(1, 25) t(st) UNION ALL SELECT 'linear', st::INT, a + b * (n + st - 1), 1.96 * e * sqrt(1 + 1 / n + (n + st - 1 - mx) ** 2 / sxx), mae, rmse, mape FROM li, range(1, 25) t(st)),
+sx AS ({SQL['forecast_ses'].replace('WITH RECURSIVE ' + N + ', r(', 'WITH RECURSIVE r(')}), hx AS ({SQL['forecast_holt'].replace('WITH RECURSIVE ' + N + ', r(', 'WITH RECURSIVE r(')})
+SELECT 'all' AS series_id, method, step, {_STEPS} FROM al JOIN ch USING (method) UNION ALL SELECT series_id, method, step, prediction, lower, upper, mae, rmse, mape FROM sx JOIN ch USING (method) UNION ALL SELECT series_id, method, step, prediction, lower, upper, mae, rmse, mape FROM hx JOIN ch USING (method)"""
+
+#: The hourly series on a floor, with lone peaks.
+LONE = H + f", p AS (SELECT series_id, ts, CASE WHEN {HOUR} % 331 = 5 THEN 900 ELSE 100 + value END AS value FROM h), n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM p)"
+SQL["spectral_residual"] = (
+    f"""WITH {LONE}, m AS (SELECT (2 ** ceil(log2(count(*))))::BIGINT AS n2 FROM n), f AS (SELECT k, any_value(n2) AS n2, sum(value * cos(2 * pi() * ((k * i) % n2) / n2)) AS re, -sum(value * sin(2 * pi() * ((k * i) % n2) / n2)) AS im FROM n, m, range(0, 65536) t(k) WHERE k < n2 GROUP BY k),
+am AS (SELECT *, ln(sqrt(re * re + im * im) + 1e-10) AS a FROM f), sm AS (SELECT *, exp(a - (lag(a, 1, a) OVER (ORDER BY k) + a + lead(a, 1, a) OVER (ORDER BY k)) / 3) AS g, atan2(im, re) AS ph FROM am), sa AS (SELECT i, abs(sum(g * cos(ph) * cos(2 * pi() * ((k * i) % n2) / n2) - g * sin(ph) * sin(2 * pi() * ((k * i) % n2) / n2)) / any_value(n2)) AS s FROM n, sm GROUP BY i),
+z0 AS (SELECT i, s, avg(s) OVER w AS mean, stddev_pop(s) OVER w AS dev FROM sa WINDOW w AS (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)), z1 AS (SELECT i, CASE WHEN dev > 0 THEN (s - mean) / dev ELSE 0 END AS z FROM z0), z2 AS (SELECT i, z, list_sort(list_filter(list(z) OVER (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), lambda x: x > 0)) AS near FROM z1),
+z3 AS (SELECT i, z, CASE WHEN len(near) > 0 THEN near[(len(near) * 3) // 4 + 1] * 3 ELSE 3 END AS lim FROM z2), x AS (SELECT n.*, z, lim, (SELECT median(value) FROM n) AS b FROM n JOIN z3 USING (i) WHERE i >= 21 AND i < n - 21 AND z > lim) """
+    + rows("x", "true", "SpectralResidual", SIDE.format(b="b"), GRADE.format(z="z / lim", h=2, c=3), "b", "z")
+)
+
 # raw gauges ------------------------------------------------------------------------------------------------------
 
 STEP = "gp AS (SELECT (epoch(ts) - lag(epoch(ts)) OVER (ORDER BY ts))::BIGINT AS g FROM t), sp AS (SELECT greatest(60, least(900, list_sort(list(g))[len(list(g)) // 2 + 1])) AS step FROM gp WHERE g > 0)"
@@ -317,6 +345,37 @@ SQL["anchored_merge"] = f"WITH {FOUND} " + _anchored("f")
 SQL["dynamic_gap"] = f"WITH {FOUND}, gg AS (SELECT series_id, ts - lag(ts) OVER ({TIME}) AS g FROM f), v AS (SELECT series_id, list_sort(list(g)) AS v FROM gg WHERE g > 0 GROUP BY ALL) SELECT series_id, greatest(120, least(1800, greatest(240, least(1200, (v[(len(v) - 1) * 50 // 100 + 1] + v[(len(v) - 1) * 75 // 100 + 1]) // 2))))::BIGINT AS gap FROM v"
 SQL["first_per_bucket"] = f"WITH {FOUND}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts // 7200 ORDER BY ts, detected_by) AS k FROM f) SELECT series_id, type, severity, ts, end_ts, duration_sec, round(value, 6) AS value, round(baseline, 6) AS baseline, round(z_score, 6) AS z_score, confidence, detected_by, instance, detail FROM b WHERE k = 1"
 
+#: Events of hourly findings, table st: findings of one time are one, and events up to two steps apart that share a
+#: detector and a family of types go on (wider windows never come to bear at this step).
+STITCHED = f"""{FOUND}, mg AS (SELECT series_id, ts AS a, max(coalesce(end_ts, ts)) AS b, arg_max(f, abs(z_score)) AS top, list(DISTINCT type) AS types, list(DISTINCT detected_by[2:-2]) AS dets, max({RANKED}) AS rank, count(*) AS k FROM f GROUP BY series_id, ts), mi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY a) AS i FROM mg),
+fd(series_id, i, b, types, dets, g) AS (SELECT series_id, i, b, types, dets, 1 FROM mi WHERE i = 1 UNION ALL SELECT series_id, i, CASE WHEN go THEN greatest(b0, b) ELSE b END, CASE WHEN go THEN list_distinct(list_concat(t0, types)) ELSE types END, CASE WHEN go THEN list_distinct(list_concat(d0, dets)) ELSE dets END, g + (NOT go)::INT
+FROM (SELECT m.series_id, m.i, m.b, m.types, m.dets, fd.b AS b0, fd.types AS t0, fd.dets AS d0, g, m.a - fd.b BETWEEN 0 AND 7200 AND len(list_intersect(fd.dets, m.dets)) > 0 AND len(list_intersect([CASE WHEN x LIKE '%QPS%' THEN 'LOAD' ELSE x END FOR x IN fd.types], [CASE WHEN x LIKE '%QPS%' THEN 'LOAD' ELSE x END FOR x IN m.types])) > 0 AS go FROM fd JOIN mi m ON m.series_id = fd.series_id AND m.i = fd.i + 1)),
+sg AS (SELECT mi.series_id, g, min(a) AS ts, max(mi.b) AS end_ts, arg_max(top, abs(top.z_score)) AS top, list_sort(list_distinct(flatten(list(mi.types)))) AS types, list_sort(list_distinct(flatten(list(mi.dets)))) AS dets, max(rank) AS rank, sum(k) AS k FROM fd JOIN mi USING (series_id, i) GROUP BY mi.series_id, g),
+st AS (SELECT series_id, CASE WHEN len(types) > 1 THEN 'QPS_SPIKE' ELSE top.type END AS type, {UNRANKED.format(r='rank')} AS severity, ts, end_ts, end_ts - ts + 3600 AS d, top.value AS value, top.baseline AS baseline, top.z_score AS z_score, dets, CASE WHEN k > 1 THEN 'Merged anomaly event (' || k || ' signals, ' || (end_ts - ts + 3600) || ' s)' ELSE top.detail END AS detail FROM sg)"""
+SQL["stitched_events"] = f"WITH RECURSIVE {STITCHED} SELECT series_id, type, severity, ts, end_ts, d::INT AS duration_sec, round(value, 6) AS value, round(baseline, 6) AS baseline, round(z_score, 6) AS z_score, NULL::DOUBLE AS confidence, {text('dets')} AS detected_by, NULL::VARCHAR AS instance, detail FROM st"
+
+
+def _window(name: str, points: str, a: str, b: str) -> str:
+    """Statistics of the points in the window from a to b of each event."""
+    floor = lambda p: f"v[(len(v) - 1) * {p} // 100 + 1]"
+    return f"{name} AS (SELECT series_id, t0, len(v) AS n, {floor(50)} AS med, {floor(90)} AS p90, {floor(95)} AS p95, {floor(99)} AS p99, len(list_filter(v, lambda x: x = 0)) / len(v) AS zr FROM (SELECT e.series_id, t0, list_sort(list(x.value)) AS v FROM e JOIN {points} x ON x.series_id = e.series_id AND epoch(x.ts) BETWEEN {a} AND {b} GROUP BY e.series_id, t0))"
+
+
+_z = lambda w, f: f"coalesce({w}.{f}, 0)"
+EVIDENCE = (
+    f"{STITCHED}, {L}, e AS (SELECT *, ts AS t0, end_ts AS t1, CASE WHEN end_ts > ts AND end_ts - ts < 21600 THEN greatest(3600, 3 * (end_ts - ts)) ELSE 21600 END AS len FROM st), "
+    + ", ".join(_window(*x) for x in (("qb", "p", "t0 - 3600 - len", "t0 - 3600"), ("qe", "p", "t0", "t1"), ("gb", "p", "greatest(t0 - 3600 - len, t0 - 1800)", "t0 - 3600"), ("ge", "p", "t0", "least(t1, t0 + 1800)"), ("qp", "p", "t0 - 86400", "t1 - 86400"), ("lb", "l", "t0 - 3600 - len", "t0 - 3600"), ("le", "l", "t0", "t1"), ("lv", "l", "t0 - 86400", "t1 - 86400")))
+    + f""", ev0 AS (SELECT e.series_id, e.t0, t1, d, {_z('qb', 'med')} < 1 AS quiet, CASE WHEN {_z('qb', 'med')} < 1 THEN {_z('qe', 'p95')} >= greatest(5, 3 * {_z('qb', 'p95')}) ELSE {_z('qe', 'p90')} > 1.25 * {_z('qb', 'p95')} AND {_z('qe', 'med')} - {_z('qb', 'med')} > greatest(0.2, 0.15 * {_z('qb', 'med')}) END AS q,
+{_z('lb', 'n')} >= 3 AND {_z('le', 'n')} >= 3 AND {_z('le', 'p99')} > greatest(1, 2.5 * {_z('lb', 'p99')}) AND {_z('le', 'p90')} > greatest(0.2, 1.8 * {_z('lb', 'p90')}) AS l, {_z('le', 'n')} >= 6 AND {_z('le', 'p95')} > 1 AND {_z('le', 'p95')} > greatest(1, 1.3 * {_z('lb', 'p95')}) AS k,
+({_z('qe', 'p95')} + 1e-9) / ({_z('qb', 'p95')} + 1e-9) AS amp, {_z('ge', 'n')} >= 3 AND {_z('gb', 'n')} >= 3 AND (({_z('ge', 'med')} + 1e-9) / ({_z('gb', 'med')} + 1e-9) >= 1.2 OR {_z('ge', 'med')} - {_z('gb', 'med')} > greatest(5, 0.2 * {_z('qb', 'med')})) AS ed,
+{_z('qe', 'n')} AS nq, {_z('qe', 'zr')} AS zr, {_z('qe', 'p95')} AS e95, {_z('qb', 'p95')} AS b95, {_z('qe', 'med')} AS em, {_z('qb', 'med')} AS bm, {_z('qp', 'n')} AS np, CASE WHEN {_z('qp', 'p90')} <> 0 THEN {_z('qe', 'p90')} / {_z('qp', 'p90')} ELSE 0 END AS rq, CASE WHEN {_z('lv', 'p95')} <> 0 THEN {_z('le', 'p95')} / {_z('lv', 'p95')} ELSE 1 END AS rl
+FROM e {' '.join(f'LEFT JOIN {w} ON {w}.series_id = e.series_id AND {w}.t0 = e.t0' for w in ('qb', 'qe', 'gb', 'ge', 'qp', 'lb', 'le', 'lv'))}),
+ev1 AS (SELECT *, nq < 3 OR NOT (q OR l OR k) OR (d >= 10800 AND q AND NOT l AND NOT ed) OR (d >= 7200 AND q AND NOT l AND zr >= 0.6) OR (d >= 7200 AND q AND l) AS dropped FROM ev0),
+ev2 AS (SELECT *, CASE WHEN dropped THEN NULL WHEN quiet AND e95 >= 5 THEN 'LOW_BASELINE_BURST' WHEN (k OR l) AND NOT q THEN 'LATENCY_ONLY_DEGRADATION' WHEN q AND l THEN 'LOAD_AND_LATENCY_COUPLED' WHEN q AND d <= 7200 AND e95 > 1.8 * b95 AND em > greatest(1.8 * bm, bm + 10) THEN 'SHORT_INTENSE_BURST' WHEN q AND amp >= 1.8 THEN 'MIXED_OR_UNCERTAIN' END AS reason FROM ev1),
+ev3 AS (SELECT *, CASE reason WHEN 'LOW_BASELINE_BURST' THEN 0.55 WHEN 'LATENCY_ONLY_DEGRADATION' THEN CASE WHEN k THEN 0.68 ELSE 0.72 END WHEN 'LOAD_AND_LATENCY_COUPLED' THEN 0.74 WHEN 'SHORT_INTENSE_BURST' THEN 0.7 WHEN 'MIXED_OR_UNCERTAIN' THEN 0.56 END AS conf, reason = 'LOAD_AND_LATENCY_COUPLED' AND d >= 7200 AND np >= 3 AND rq BETWEEN 0.75 AND 1.35 AND rl BETWEEN 0.7 AND 1.5 AS again FROM ev2)"""
+)
+SQL["evidence"] = f"WITH RECURSIVE {EVIDENCE} SELECT series_id, t0 AS ts, t1 AS end_ts, q AS \"Q\", l AS \"L\", k AS \"K\", ed AS \"E\", reason, round(conf::DOUBLE, 6) AS confidence, reason IS NOT NULL AND NOT coalesce(again, false) AS keep FROM ev3"
+
 # workload --------------------------------------------------------------------------------------------------------
 
 CLASS = "CASE WHEN key IN ('Insert', 'Update') THEN 'DML' WHEN key = 'Select' THEN 'DQL' WHEN key IN ('Begin', 'Rollback') THEN 'TCL' ELSE 'Other' END"
