@@ -425,9 +425,17 @@ def _(spark, f):
     return ev.judged(ev.evidence(e, q, lat, step=3600)).select("series_id", "ts", "end_ts", "Q", "L", "K", "E", "reason", "confidence", "keep")
 
 
+def _tenths(hourly: DataFrame, seed: int = 1) -> DataFrame:
+    """An hourly series every ten minutes, a tenth up or down: events need some points in each half hour."""
+    rows = hourly.select("series_id", "value", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    noise = F.pmod(F.xxhash64("t", "k", F.lit(seed)), F.lit(1000)) / 1000
+    return rows.select("series_id", F.timestamp_seconds(F.col("t") + 600 * F.col("k")).alias("ts"), (F.col("value") * (0.9 + 0.2 * noise)).alias("value"))
+
+
 @query("abnormal")
 def _(spark, f):
-    return ab.abnormal(planted(m.hourly(spark, f)), m.latency(spark, f), step=3600)
+    load = _tenths(planted(m.hourly(spark, f)))
+    return ab.abnormal(load, _tenths(planted(m.latency(spark, f))), backend=_tenths(m.latency(spark, f)), statements=_tenths(planted(m.hourly(spark, f)), 2), storage=_tenths(m.hourly(spark, f), 3), step=600)
 
 
 # workload ----------------------------------------------------------------------------------------------------------

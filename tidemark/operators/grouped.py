@@ -384,10 +384,11 @@ def peaks_of(x: np.ndarray, distance: int = 5) -> list[tuple[int, float, int, in
                 if x[j] < half:
                     break
         got.append((int(k), prominence, width, *bases))
-    kept: list = []
+    kept, taken = [], np.zeros(len(x) + distance, bool)
     for p in sorted(got, key=lambda p: (-p[1], p[0])):
-        if all(abs(p[0] - q[0]) >= distance for q in kept):
+        if not taken[p[0]]:
             kept.append(p)
+            taken[max(0, p[0] - distance + 1) : p[0] + distance] = True
     return sorted(kept)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
 from tidemark.sources.prom import last_written, series_key
 
 
@@ -27,12 +28,12 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, data: str, labels: str, bucket: bool = False) -> None:
-    """Samples by a dense series id, and the labels of each id beside them."""
-    key = series_key(F.col("labels"))
-    ids = rows.select(key.alias("labels")).distinct()
-    ids = ids.withColumn("id", F.xxhash64("labels"))
+    """Samples by a dense series id, and the labels of each id beside them. Series are numbered in the order of their
+    labels, which takes one task over one row a series."""
+    keyed = rows.withColumn("labels", series_key(F.col("labels")))
+    ids = staged(keyed.select("labels").distinct().withColumn("id", F.row_number().over(Window.orderBy("labels")).cast("long")), "series")
     kept = ["id", *(["le"] if bucket else []), F.unix_seconds("ts").alias("ts"), "value"]
-    rows.withColumn("id", F.xxhash64(key)).select(*kept).write.mode("overwrite").option("header", True).csv(data)
+    keyed.join(ids, "labels").select(*kept).write.mode("overwrite").option("header", True).csv(data)
     ids.select("id", "labels").write.mode("overwrite").option("header", True).option("escape", '"').csv(labels)
 
 
