@@ -5,12 +5,14 @@ Times come out as epoch seconds and doubles rounded to six places, so that both
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import oracles
+from tidemark.functions import stats as st
 from tidemark.operators import changepoints as cp
 from tidemark.operators import detectors as d
 from tidemark.operators import events as ev
@@ -23,7 +25,9 @@ from tidemark.oracles import BY_TYPE, C, GRADE, H, K, KIND, L, P, ROBUST, SIDE,
 from tidemark.plans import abnormal as ab
 from tidemark.plans import dimensions as dim
 from tidemark.plans import model as m
-from tidemark.session import table
+from tidemark.session import shared_folder, table
+from tidemark.sources import prom, sinks
+from tidemark.streaming import ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -522,4 +526,121 @@ for _name, _work in {
     query(_name)(_work)
 
 
+
+# sources, sinks and streams ------------------------------------------------------------------------------------------
+
+def _samples(spark, f, by="hour", metric="requests_total"):
+    """Hourly counts by kind as samples with labels."""
+    rows = m.events(spark, f).groupBy("key", F.date_trunc(by, "ts").alias("ts")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return rows.select(F.lit(metric).alias("metric"), F.create_map(F.lit("kind"), F.col("key"), F.lit("note"), F.lit('a"b,c')).alias("labels"), "ts", "value")
+
+
+def _folder(spark):
+    return f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+
+
+def _lines(rows):
+    """Samples as lines of text; quotes in labels are escaped."""
+    key = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], '"', r'\\"'), F.lit('"'))), ",")
+    return rows.select(F.format_string("%s{%s} %s %d", "metric", key, F.col("value").cast("string"), F.unix_millis("ts")).alias("value"))
+
+
+def _written(spark, lines):
+    at = _folder(spark)
+    lines.coalesce(1).write.text(at)
+    return at
+
+
+@query("text_round_trip")
+def _(spark, f):
+    got = prom.read_text(spark, _written(spark, _lines(_samples(spark, f))), 1704153600, 1705276800)
+    return got.select("metric", F.col("labels")["kind"].alias("kind"), F.col("labels")["note"].alias("note"), "ts", "value")
+
+
+@query("summed_text")
+def _(spark, f):
+    return prom.sum_labels(prom.read_text(spark, _written(spark, _lines(_samples(spark, f)))))
+
+
+@query("csv_round_trip")
+def _(spark, f):
+    at = _folder(spark)
+    rows = _samples(spark, f).withColumn("labels", F.map_filter("labels", lambda k, _: k == "kind"))
+    sinks.write_csv(rows, f"{at}/d", f"{at}/l")
+    return prom.read_csv(spark, f"{at}/d", f"{at}/l").select("id", F.col("labels")["kind"].alias("kind"), "ts", "value")
+
+
+@query("histogram_text")
+def _(spark, f):
+    day = m.events(spark, f).groupBy(F.date_trunc("day", "ts").alias("ts"))
+    wide = day.agg(F.sum((F.col("value") <= 10).cast("double")).alias("10"), F.sum((F.col("value") <= 100).cast("double")).alias("100"), F.count(F.lit(1)).cast("double").alias("+Inf"))
+    rows = wide.unpivot("ts", ["10", "100", "+Inf"], "le", "value").select(F.lit("latency_bucket").alias("metric"), F.create_map(F.lit("le"), F.col("le")).alias("labels"), "ts", "value")
+    return prom.histogram_rows(prom.read_text(spark, _written(spark, _lines(rows)))).where(F.col("le") < float("inf"))
+
+
+@query("response_rows")
+def _(spark, f):
+    rows = _samples(spark, f, "day").groupBy(F.col("labels")["kind"].alias("kind")).agg(F.collect_list(F.array(F.unix_seconds("ts").cast("string"), F.col("value").cast("string"))).alias("values"))
+    series = rows.agg(F.collect_list(F.struct(F.create_map(F.lit("__name__"), F.lit("up"), F.lit("kind"), F.col("kind")).alias("metric"), "values")).alias("result"))  # one response of a few series
+    got = prom.read_response(spark, _written(spark, series.select(F.to_json(F.struct(F.struct("result").alias("data"))).alias("value"))))
+    return got.select("metric", F.col("labels")["kind"].alias("kind"), "ts", "value")
+
+
+@query("last_written")
+def _(spark, f):
+    return prom.last_written(m.events(spark, f).select("user_id", "ts", "value", "event_type"), ["user_id"], "ts")
+
+
+@query("file_ranges")
+def _(spark, f):
+    names = spark.createDataFrame([(x,) for x in ("2026-02-20_12-15-00_2026-02-22_12-15-00.prom", "2026-02-21_00-00-00_2026-02-24_00-00-00.prom", "other.prom")], "file string")
+    return prom.latest_range(prom.file_ranges(names))
+
+
+@query("metric_types")
+def _(spark, f):
+    names = spark.createDataFrame([(x,) for x in ("a_bucket", "a_total", "a_count", "a_sum", "queue", "Latency_ms", "duration")], "name string")
+    return names.select("name", st.metric_type("name").alias("kind"), st.is_bucket_metric("name").alias("bucket"))
+
+
+def _stream(spark, f):
+    """The event table; the stream operators work on tables too, where no row is late."""
+    return m.events(spark, f).select(F.col("event_type").alias("series_id"), "ts", "value")
+
+
+for _name, _work in {
+    "tumbling_windows": lambda spark, f: ops.windowed(_stream(spark, f), "30 minutes"), "sliding_windows": lambda spark, f: ops.windowed(_stream(spark, f), "2 hours", "1 hour"), "session_windows": lambda spark, f: ops.sessions(_stream(spark, f), "30 minutes"),
+    "counter_rate_gap": lambda spark, f: s.counter_rate(m.counters(spark, f), ["series_id", "key"], max_gap=3600), "seasonal_period": lambda spark, f: g.seasonal_periods(planted(m.hourly(spark, f))),
+}.items():
+    query(_name)(_work)
+
+
+def _days(spark, length):
+    a = F.lit(1704067200) + F.col("id") * 86400
+    return spark.range(29).select(F.lit("all").alias("series_id"), "id", a.alias("a"), (a + length).alias("b"))
+
+
+@query("window_correlation")
+def _(spark, f):
+    windows = _days(spark, 90_000).select("series_id", "id", F.timestamp_seconds("a").alias("start_ts"), F.timestamp_seconds("b").alias("end_ts"))
+    return s.window_correlation(planted(m.hourly(spark, f)), m.latency(spark, f), windows, KEY)
+
+
+@query("high_coverage")
+def _(spark, f):
+    points = m.latency(spark, f)
+    limit = points.groupBy("series_id").agg((1.2 * F.median("value")).alias("limit"))
+    return ev.high_points(_days(spark, 43_200).withColumnRenamed("id", "event_id").join(limit, "series_id"), points).select(F.lit("all").alias("series_id"), F.col("event_id").alias("id"), "covered", "first_high", "last_high")
+
+
+def _categories(spark, f, value):
+    category = F.when(F.col("event_type").isin("view", "click"), "read").otherwise("write")
+    rows = m.events(spark, f).groupBy(F.lit("all").alias("series_id"), category.alias("category"), "instance", F.date_trunc("day", "ts").alias("ts")).agg(value.alias("value"))
+    return rows.withColumn("value", F.col("value") * F.when(F.col("instance") == "kv-7", 6).otherwise(1))
+
+
+query("load_imbalance")(lambda spark, f: d.category_imbalance(_categories(spark, f, F.count(F.lit(1)).cast("double"))))
+query("latency_imbalance")(lambda spark, f: d.category_imbalance(_categories(spark, f, F.avg("value") / 1000), latency=True))
+
+
 SQL.update({name: sql for name, sql in oracles.SQL.items() if name in QUERIES})

@@ -457,6 +457,11 @@ def seasonal_period(x: np.ndarray, first: int = 4, otherwise: int = 24, least: f
     return int(lags[int(np.argmax(a))]) if len(a) and a.max() > least else otherwise
 
 
+def seasonal_periods(df: DataFrame) -> DataFrame:
+    """(series_id, period): the lag with the greatest autocorrelation, 24 where none is positive."""
+    return per_series(df, lambda pdf: pd.DataFrame({"series_id": [pdf.series_id[0]], "period": [seasonal_period(pdf.value.to_numpy())]}), "series_id string, period int")
+
+
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
     "esd": esd, "shesd": shesd, "ema": ema_detector, "isolation_forest": isolation_forest, "random_cut_forest": random_cut_forest, "spectral_residual": spectral_residual,
     "dbscan": dbscan, "holt_winters": holt_winters, "peaks": peak_anomalies,

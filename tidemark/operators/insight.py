@@ -78,8 +78,8 @@ def dimension_links(profile: DataFrame) -> DataFrame:
 
 def propagation(profile: DataFrame) -> DataFrame:
     """Sources of trouble in a six-dimension row with score and amplification, and the chain each one starts."""
-    scores = {"qps_burst": _c("burstiness"), "latency_spike": _c("latency_tail_ratio") / 10, "load_imbalance": _c("imbalance"), "tikv_bottleneck": _c("volume_peak") / 100_000, "sql_hotspot": _c("hotspot")}
-    chains = {"qps_burst": ((_c("burstiness") > 0.4) & (_c("latency_tail_ratio") > 3), "qps_burst > tikv_bottleneck > latency_spike"), "load_imbalance": (_c("imbalance") > 0.3, "load_imbalance > hot_instance > latency_spike")}
+    scores = {"qps_burst": _c("burstiness"), "latency_spike": _c("latency_tail_ratio") / 10, "load_imbalance": _c("imbalance"), "storage_bottleneck": _c("volume_peak") / 100_000, "sql_hotspot": _c("hotspot")}
+    chains = {"qps_burst": ((_c("burstiness") > 0.4) & (_c("latency_tail_ratio") > 3), "qps_burst > storage_bottleneck > latency_spike"), "load_imbalance": (_c("imbalance") > 0.3, "load_imbalance > hot_instance > latency_spike")}
     chain = lambda k: F.when(chains[k][0], chains[k][1]) if k in chains else F.lit(None).cast("string")
     rows = profile.withColumn("r", F.array(*[F.struct(F.lit(k).alias("source"), v.alias("score"), chain(k).alias("chain")) for k, v in scores.items()]))
     rows = rows.select("series_id", F.explode("r").alias("r"), F.coalesce("cross_correlation", F.lit(0.0)).alias("corr")).select("series_id", "r.*", "corr").where("score > 0.2")

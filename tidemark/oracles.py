@@ -500,7 +500,7 @@ ls AS (SELECT lag, c, n, CASE WHEN n < 10 THEN 0.3 * c ELSE least(0.99, 1 - 1 /
 SQL["lagged_correlations"] = f"WITH {LAGGED} SELECT 'all' AS series_id, lag, round(c, 6) AS correlation, n, round(sg, 6) AS significance FROM ls"
 SQL["causality"] = f"WITH {LAGGED} SELECT 'all' AS series_id, 'qps' AS cause, 'latency' AS effect, lag, round(c, 6) AS correlation, round(sg, 6) AS significance, CASE WHEN lag > 0 THEN 'qps_leads' WHEN lag < 0 THEN 'latency_leads' ELSE 'together' END AS direction, abs(c) > 0.3 AND lag >= 0 AS causal FROM ls ORDER BY abs(c) DESC, abs(lag), lag LIMIT 1"
 SQL["dimension_links"] = f"WITH {DIMENSIONS} SELECT 'all' AS series_id, round(least(1, hotspot), 6) AS sql, round(least(1, write_amplification / 10)::DOUBLE, 6) AS storage, round((CASE WHEN qps_cv > 0.5 AND latency_cv > 0.5 THEN 0.7 WHEN burstiness > 0.5 AND latency_tail_ratio > 5 THEN 0.6 ELSE 0.5 * qps_cv END)::DOUBLE, 6) AS load, round((CASE WHEN volume_peak / volume_mean > 3 AND latency_tail_ratio > 5 THEN 0.7 ELSE least(1, volume_peak / volume_mean / 10) END)::DOUBLE, 6) AS volume, round(imbalance, 6) AS balance FROM dm"
-SQL["propagation"] = f"""WITH {DIMENSIONS}, s AS (SELECT 'qps_burst' AS source, burstiness AS score, CASE WHEN burstiness > 0.4 AND latency_tail_ratio > 3 THEN 'qps_burst > tikv_bottleneck > latency_spike' END AS chain, cross_correlation AS c FROM dm UNION ALL SELECT 'latency_spike', latency_tail_ratio / 10, NULL, cross_correlation FROM dm UNION ALL SELECT 'load_imbalance', imbalance, CASE WHEN imbalance > 0.3 THEN 'load_imbalance > hot_instance > latency_spike' END, cross_correlation FROM dm UNION ALL SELECT 'tikv_bottleneck', volume_peak / 100000, NULL, cross_correlation FROM dm UNION ALL SELECT 'sql_hotspot', hotspot, NULL, cross_correlation FROM dm)
+SQL["propagation"] = f"""WITH {DIMENSIONS}, s AS (SELECT 'qps_burst' AS source, burstiness AS score, CASE WHEN burstiness > 0.4 AND latency_tail_ratio > 3 THEN 'qps_burst > storage_bottleneck > latency_spike' END AS chain, cross_correlation AS c FROM dm UNION ALL SELECT 'latency_spike', latency_tail_ratio / 10, NULL, cross_correlation FROM dm UNION ALL SELECT 'load_imbalance', imbalance, CASE WHEN imbalance > 0.3 THEN 'load_imbalance > hot_instance > latency_spike' END, cross_correlation FROM dm UNION ALL SELECT 'storage_bottleneck', volume_peak / 100000, NULL, cross_correlation FROM dm UNION ALL SELECT 'sql_hotspot', hotspot, NULL, cross_correlation FROM dm)
 SELECT 'all' AS series_id, source, round(score, 6) AS score, score > 0.3 AS is_source, round(((1 + 0.5 * score) * CASE WHEN c > 0.5 THEN 1.2 ELSE 1 END)::DOUBLE, 6) AS amplification, chain FROM s WHERE score > 0.2"""
 _ADVICE = [("latency_mean > 100", "optimise for latency"), ("count > 1000 AND complexity > 0.5", "cache or materialise"), ("class = 'DDL' AND percent > 1", "move schema changes out of peak hours"), ("resource > 0.3", "spread its resource use")]
 SQL["sql_advice"] = f"WITH f AS ({SQL['fingerprints']}) SELECT series_id, key, {text('list_filter([' + ', '.join(f'CASE WHEN {c} THEN {t!r} END' for c, t in _ADVICE) + '], lambda x: x IS NOT NULL)')} AS recommendations FROM f"
@@ -520,3 +520,35 @@ hs AS (SELECT series_id, hour(ts) AS hr, avg(value) AS v FROM h GROUP BY ALL), s
 va AS (SELECT *, CASE WHEN mean < 50 THEN 'very_low' WHEN mean < 200 THEN 'low' WHEN mean < 1000 THEN 'medium' WHEN mean < 5000 THEN 'high' WHEN mean < 20000 THEN 'very_high' ELSE 'extreme' END AS load_class, CASE WHEN cv < 0.2 THEN 'low' WHEN cv < 0.5 THEN 'medium' WHEN cv < 1 THEN 'high' ELSE 'extreme' END AS cv_class, CASE WHEN burstiness < 0.2 THEN 'low' WHEN burstiness < 0.5 THEN 'medium' WHEN burstiness < 1 THEN 'high' ELSE 'extreme' END AS burst_class, cv >= 0 AND burstiness BETWEEN 0 AND 1 AND seasonality BETWEEN 0 AND 1 AS valid FROM g JOIN bq USING (series_id) JOIN sq USING (series_id) WHERE samples >= 50 AND hours >= 24)"""
 SQL["validation"] = f"WITH {_VALID} SELECT series_id, samples, round(hours, 6) AS hours, round(mean, 6) AS mean, round(cv, 6) AS cv, round(burstiness, 6) AS burstiness, round(seasonality, 6) AS seasonality, load_class, cv_class, burst_class, valid FROM va"
 SQL["class_distribution"] = f"WITH {_VALID}, u AS (SELECT 'load_class' AS field, load_class AS class, valid FROM va UNION ALL SELECT 'cv_class', cv_class, valid FROM va UNION ALL SELECT 'burst_class', burst_class, valid FROM va) SELECT field, class, count(*) AS series, sum((NOT valid)::INT)::BIGINT AS invalid FROM u GROUP BY ALL"
+
+# sources, sinks and streams on the event table -----------------------------------------------------------------------
+
+_TEXT = f"m AS (SELECT 'requests_total' AS metric, {KIND} AS kind, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
+SQL["text_round_trip"] = f"WITH {_TEXT} SELECT metric, kind, 'a\"b,c' AS note, {SEC.format(x='ts')} AS ts, value FROM m WHERE epoch(ts) >= 1704153600 AND epoch(ts) <= 1705276800"
+SQL["summed_text"] = f"WITH {_TEXT} SELECT metric, {SEC.format(x='ts')} AS ts, sum(value) AS value FROM m GROUP BY ALL"
+SQL["csv_round_trip"] = f"WITH {_TEXT}, k AS (SELECT kind, row_number() OVER (ORDER BY 'kind=\"' || kind || '\"')::BIGINT AS id FROM (SELECT DISTINCT kind FROM m)) SELECT id, kind, {SEC.format(x='ts')} AS ts, value FROM m JOIN k USING (kind)"
+SQL["histogram_text"] = f"WITH m AS (SELECT date_trunc('day', ts) AS ts, count(*) FILTER (WHERE value <= 10)::DOUBLE AS a, count(*) FILTER (WHERE value <= 100)::DOUBLE AS b, count(*)::DOUBLE AS c FROM events GROUP BY ALL) SELECT 'latency_bucket' AS metric, {SEC.format(x='ts')} AS ts, le, cum FROM (SELECT ts, 10.0::DOUBLE AS le, a AS cum FROM m UNION ALL SELECT ts, 100.0, b FROM m)"
+SQL["response_rows"] = f"WITH m AS (SELECT {KIND} AS kind, date_trunc('day', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL) SELECT 'up' AS metric, kind, {SEC.format(x='ts')} AS ts, value FROM m"
+SQL["last_written"] = "SELECT user_id, floor(epoch(max(ts)))::BIGINT AS ts, arg_max(value, ts) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY ALL"
+SQL["file_ranges"] = "WITH v AS (SELECT unnest(['2026-02-20_12-15-00_2026-02-22_12-15-00.prom', '2026-02-21_00-00-00_2026-02-24_00-00-00.prom', 'other.prom']) AS file) SELECT file, epoch(strptime(file[1:19], '%Y-%m-%d_%H-%M-%S'))::BIGINT AS start_ts, epoch(strptime(file[21:39], '%Y-%m-%d_%H-%M-%S'))::BIGINT AS end_ts FROM v WHERE file LIKE '2026%' ORDER BY end_ts DESC LIMIT 1"
+SQL["metric_types"] = "WITH v AS (SELECT unnest(['a_bucket', 'a_total', 'a_count', 'a_sum', 'queue', 'Latency_ms', 'duration']) AS name) SELECT name, CASE WHEN name LIKE '%\\_bucket' ESCAPE '\\' THEN 'histogram' WHEN regexp_matches(name, '(_total|_count|_sum)$') THEN 'counter' ELSE 'gauge' END AS kind, lower(name) LIKE '%\\_bucket' ESCAPE '\\' OR lower(name) LIKE '%latency%' OR lower(name) LIKE '%duration%' AS bucket FROM v"
+SQL["tumbling_windows"] = "SELECT event_type AS series_id, epoch(time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'))::BIGINT AS start_ts, epoch(time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'))::BIGINT + 1800 AS end_ts, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM events GROUP BY ALL"
+SQL["sliding_windows"] = "SELECT event_type AS series_id, s AS start_ts, s + 7200 AS end_ts, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM (SELECT event_type, value, unnest([floor(epoch(ts) / 3600)::BIGINT * 3600, floor(epoch(ts) / 3600)::BIGINT * 3600 - 3600]) AS s FROM events) GROUP BY ALL"
+SQL["session_windows"] = "WITH e AS (SELECT event_type, ts, value, coalesce((ts >= lag(ts) OVER w + INTERVAL 30 MINUTE)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT event_type AS series_id, floor(epoch(min(ts)))::BIGINT AS start_ts, floor(epoch(max(ts) + INTERVAL 30 MINUTE))::BIGINT AS end_ts, count(*) AS k, round(max(value), 6) AS value FROM g GROUP BY event_type, g"
+
+# more of rates, imbalance and correlation ----------------------------------------------------------------------------
+
+SQL["counter_rate_gap"] = f"WITH {C}, d AS (SELECT *, lag(value) OVER w AS v0, lag(ts) OVER w AS t0 FROM c WINDOW w AS (PARTITION BY key ORDER BY ts)) SELECT series_id, key, {SEC.format(x='ts')} AS ts, round(CASE WHEN value < v0 THEN value ELSE value - v0 END / (epoch(ts) - epoch(t0)), 6) AS value FROM d WHERE t0 IS NOT NULL AND epoch(ts) - epoch(t0) <= 3600"
+SQL["window_correlation"] = f"WITH {P}, {L}, w AS (SELECT k AS id, 1704067200 + k * 86400 AS a, 1704067200 + k * 86400 + 90000 AS b FROM range(0, 29) t(k)) SELECT 'all' AS series_id, id, round(CASE WHEN count(*) >= 3 THEN corr(p.value, l.value) END, 6) AS corr FROM w JOIN p ON epoch(p.ts) BETWEEN a AND b JOIN l USING (ts) GROUP BY id"
+_CATEGORY = "CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'write' END"
+
+
+def _imbalance(values: str, floor: str, least: float, high: float, critical: float | None, scale: float, type_: str) -> str:
+    grade = f"CASE WHEN abs(value / b - 1) > {critical} THEN 'CRITICAL' WHEN abs(value / b - 1) > {high} THEN 'HIGH' ELSE 'MEDIUM' END" if critical else f"CASE WHEN abs(value / b - 1) > {high} THEN 'HIGH' ELSE 'MEDIUM' END"
+    return f"WITH v AS ({values}), g AS (SELECT series_id, instance, avg(value) AS value, count(*) AS n, min(ts) AS ts, max(ts) AS last FROM v GROUP BY ALL), x AS (SELECT *, avg(value) OVER ({WHOLE}) AS b, count(*) OVER ({WHOLE}) AS k FROM g WHERE n >= 10 AND value >= {floor}) " + rows("x", f"k >= 2 AND abs(value / b - 1) >= {least}", "Imbalance", repr(type_), grade, f"b * {scale}", "value / b - 1", f"value * {scale}", end="last", instance="instance")
+
+
+SQL["load_imbalance"] = _imbalance(f"SELECT 'all/' || {_CATEGORY} AS series_id, {INSTANCE} AS instance, date_trunc('day', ts) AS ts, count(*)::DOUBLE * CASE WHEN user_id % 9 = 7 THEN 6 ELSE 1 END AS value FROM events GROUP BY {_CATEGORY}, user_id % 9, date_trunc('day', ts)", "10", 0.5, 0.7, 1.0, 1.0, "LOAD_IMBALANCE")
+SQL["latency_imbalance"] = _imbalance(f"SELECT 'all/' || {_CATEGORY} AS series_id, {INSTANCE} AS instance, date_trunc('day', ts) AS ts, avg(value) / 1000 * CASE WHEN user_id % 9 = 7 THEN 6 ELSE 1 END AS value FROM events GROUP BY {_CATEGORY}, user_id % 9, date_trunc('day', ts)", "0.001", 0.8, 1.5, 2.0, 1000.0, "LATENCY_IMBALANCE")
+SQL["seasonal_period"] = f"WITH {N}, d AS (SELECT i, n, value - avg(value) OVER () AS d FROM n), a AS (SELECT k, sum(x.d * y.d) / (SELECT sum(d * d) FROM d) AS a FROM d x JOIN range(4, 168) t(k) ON k < least(x.n // 2, 168) JOIN d y ON y.i = x.i + k GROUP BY k) SELECT 'all' AS series_id, CASE WHEN max(a) > 0 THEN arg_max(k, (a, -k)) ELSE 24 END::INT AS period FROM a"
+SQL["high_coverage"] = f"WITH {L}, s AS (SELECT median(value) AS m FROM l), e AS (SELECT k AS id, 1704067200 + k * 86400 AS a, 1704067200 + k * 86400 + 43200 AS b FROM range(0, 29) t(k)), x AS (SELECT id, floor(epoch(ts))::BIGINT AS t, value >= 1.2 * m AS high FROM e JOIN l ON epoch(ts) BETWEEN a AND b, s) SELECT 'all' AS series_id, id, round(avg(high::INT), 6) AS covered, min(t) FILTER (WHERE high) AS first_high, max(t) FILTER (WHERE high) AS last_high FROM x GROUP BY id"
