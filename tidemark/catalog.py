@@ -539,12 +539,6 @@ def _folder(spark):
     return f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
 
 
-def _lines(rows):
-    """Samples as lines of text; quotes in labels are escaped."""
-    key = F.array_join(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], '"', r'\\"'), F.lit('"'))), ",")
-    return rows.select(F.format_string("%s{%s} %s %d", "metric", key, F.col("value").cast("string"), F.unix_millis("ts")).alias("value"))
-
-
 def _written(spark, lines):
     at = _folder(spark)
     lines.coalesce(1).write.text(at)
@@ -553,13 +547,13 @@ def _written(spark, lines):
 
 @query("text_round_trip")
 def _(spark, f):
-    got = prom.read_text(spark, _written(spark, _lines(_samples(spark, f))), 1704153600, 1705276800)
+    got = prom.read_text(spark, _written(spark, sinks.text_lines(_samples(spark, f)).select("line")), 1704153600, 1705276800)
     return got.select("metric", F.col("labels")["kind"].alias("kind"), F.col("labels")["note"].alias("note"), "ts", "value")
 
 
 @query("summed_text")
 def _(spark, f):
-    return prom.sum_labels(prom.read_text(spark, _written(spark, _lines(_samples(spark, f)))))
+    return prom.sum_labels(prom.read_text(spark, _written(spark, sinks.text_lines(_samples(spark, f)).select("line"))))
 
 
 @query("csv_round_trip")
@@ -575,7 +569,7 @@ def _(spark, f):
     day = m.events(spark, f).groupBy(F.date_trunc("day", "ts").alias("ts"))
     wide = day.agg(F.sum((F.col("value") <= 10).cast("double")).alias("10"), F.sum((F.col("value") <= 100).cast("double")).alias("100"), F.count(F.lit(1)).cast("double").alias("+Inf"))
     rows = wide.unpivot("ts", ["10", "100", "+Inf"], "le", "value").select(F.lit("latency_bucket").alias("metric"), F.create_map(F.lit("le"), F.col("le")).alias("labels"), "ts", "value")
-    return prom.histogram_rows(prom.read_text(spark, _written(spark, _lines(rows)))).where(F.col("le") < float("inf"))
+    return prom.histogram_rows(prom.read_text(spark, _written(spark, sinks.text_lines(rows).select("line")))).where(F.col("le") < float("inf"))
 
 
 @query("response_rows")

@@ -10,9 +10,11 @@ from tidemark.sources.prom import last_written, series_key
 
 
 def text_lines(rows: DataFrame) -> DataFrame:
-    """(metric, line) in the text format, stamps in ms, values with all their digits."""
+    """(metric, line) in the text format, stamps in ms, values with all their digits; quotes and backslashes in labels
+    are escaped."""
     key = series_key(F.col("labels"))
-    line = F.format_string("%s{%s} %s %d", "metric", key, F.col("value").cast("string"), F.unix_millis("ts"))
+    said = series_key(F.transform_values("labels", lambda _, v: F.regexp_replace(v, r'(["\\])', r"\\$1")))
+    line = F.format_string("%s{%s} %s %d", "metric", said, F.col("value").cast("string"), F.unix_millis("ts"))
     return rows.select("metric", key.alias("key"), "ts", line.alias("line"))
 
 
