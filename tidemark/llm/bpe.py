@@ -11,8 +11,8 @@ A state of the transducer is (last emitted token, bytes that wait). States and t
 flush at the end of a piece, are worked out when they are needed again and then looked up, one lookup per
 byte; at ``MAX_STATES`` the machine starts again empty, which costs time but changes no result.
 Each match of the pre-tokenising pattern is one run of the machine from its start state; a bounded table of
-short whole matches stands in front of it. Unless ``keep`` is set, tables that grow with the texts last for a task
-and are emptied at its end, since reused workers would carry them into later stages.
+short whole matches stands in front of it. Unless ``keep`` is set, a codec goes at its task's end, since reused workers
+would carry it into later stages.
 
 Decoding concatenates token bytes; ``Utf8Stream`` turns chunks into text with an incremental UTF-8 state
 machine that holds back at most three bytes.
@@ -130,8 +130,8 @@ class Transducer:
     A transition becomes a state's arc the second time it is needed. The first time, the rest of the piece
     runs through the same steps without naming states, so words that occur once leave no states behind."""
 
-    def __init__(self, ranks: Ranks):
-        self.r = ranks
+    def __init__(self, ranks: Ranks, share: float = 1.0):
+        self.r, self.share = ranks, share
         self._reset()
 
     def _reset(self, start: tuple | None = None) -> int:
@@ -214,7 +214,7 @@ class Transducer:
 
     def run(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        if len(self.key) > MAX_STATES or len(self.once) > 4 * MAX_STATES:
+        if len(self.key) > self.share * MAX_STATES or len(self.once) > 4 * self.share * MAX_STATES:
             self._reset()
         out: list[int] = []
         state, table = 0, self.next
@@ -239,9 +239,9 @@ assert array("I").itemsize == 4 and sys.byteorder == "little"  # noqa: S101
 class Codec:
     """Encode and decode whole texts; memory is bounded by the tables' limits and the text itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = Ranks(ranks)
-        self.machine = Transducer(self.ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.ranks, self.share = Ranks(ranks), share  # share: of the tables' limits
+        self.machine = Transducer(self.ranks, share)
         self.split = regex.compile(pattern)
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the table that ``seen`` followed: what is still in use moves over
@@ -254,16 +254,11 @@ class Codec:
         whole = self.ranks.ranks.get(piece)  # an entry that is a whole match stands for itself
         ids = array("I", self.machine.run(piece) if whole is None else [whole]).tobytes()
         if len(match) <= SHORT:
-            if len(self.seen) >= MAX_MATCHES:
+            if len(self.seen) >= self.share * MAX_MATCHES:
                 self.before, self.seen = self.seen, {}
             self.seen[match] = ids
         return ids
 
-    def forget(self) -> None:
-        """Empty the tables of states and matches; what is known of pairs of entries stays, it is small and bounded."""
-        self.machine._reset()
-        self.seen, self.before = {}, {}
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         seen, ids = self.seen, self._ids
@@ -325,19 +320,24 @@ class Utf8Stream:
         return out
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+#: Of the tables' limits, for codecs that live for a task.
+SMALL = 0.4
+
+
+@lru_cache(maxsize=1)
+def codec(path: str, pattern: str, share: float = 1.0) -> Codec:
     """One codec per worker process; the vocabulary file is read on the executor that needs it."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return Codec(ranks, pattern)
+    return Codec(ranks, pattern, share)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest: Callable[[Codec, bytes], list] | None = None, digest_schema: str = "", keep: bool = False, check: bool = False) -> DataFrame:
     """Add ``n_tokens`` and ``token_ids`` (little-endian uint32 bytes) to every row, or a digest of them.
 
-    One narrow pass: no shuffle, rows stream through Arrow batches. With ``keep`` a worker's tables serve its next tasks
-    too: quicker where nothing but encoding follows, but their memory (bounded, some 300 MB) stays with the worker. With ``check`` every text is decoded again and must be the same.
+    One narrow pass: no shuffle, rows stream through Arrow batches. A codec lives for a task, with small tables. With
+    ``keep`` it serves a worker's next tasks too, with larger ones: quicker where nothing but encoding follows, but
+    its memory (bounded, some 300 MB) stays with the worker. With ``check`` every text is decoded again and must be the same.
     """
     made = digest_schema or "n_tokens long, token_ids binary"
     names = [x.split()[0] for x in made.split(",")]
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
     docs = docs.select(*[f"`{f.name}`" for f in kept], *([f"`{text}`"] if text not in [f.name for f in kept] else []))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = codec(path, pattern)
+        machine = codec(path, pattern, 1.0 if keep else SMALL)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -360,4 +360,4 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digest:
                 columns = [pa.array(list(x)) for x in zip(*rows, strict=True)]
                 yield pa.record_batch([*[part.column(f.name) for f in kept], *columns], names=[*[f.name for f in kept], *names])
 
-    return docs.mapInArrow(tidy(work, None if keep else lambda: codec(path, pattern).forget()), schema)
+    return docs.mapInArrow(tidy(work, None if keep else lambda: codec.cache_clear()), schema)

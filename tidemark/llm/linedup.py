@@ -78,14 +78,13 @@ def _places(n: int, edits: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(sorted(out))
 
 
-def keys_of(line: str, edits: int = EDITS) -> set[int]:
-    """Index and probe keys of a line, unsigned."""
-    data, hashed = line.encode("utf-8", "replace"), xxhash.xxh3_64_intdigest
-    if len(data) == len(line):
-        return {hashed(data[a:b], seed) for a, b, seed in _places(len(line), edits)}
-    at = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80).tolist()  # where characters begin
-    at.append(len(data))
-    return {hashed(data[at[a] : at[b]], seed) for a, b, seed in _places(len(line), edits)}
+def keys_of(line: str, edits: int = EDITS) -> list[bytes]:
+    """Index and probe keys of a line, eight bytes each; some may occur twice. Two bytes a character, so that places
+    are found without a walk; only lines with characters beyond these are cut by themselves."""
+    data, hashed = line.encode("utf-16-le", "replace"), xxhash.xxh3_64_digest
+    if len(data) == 2 * len(line):
+        return [hashed(data[2 * a : 2 * b], seed) for a, b, seed in _places(len(line), edits)]
+    return [hashed(line[a:b].encode("utf-16-le", "replace"), seed) for a, b, seed in _places(len(line), edits)]
 
 
 def within(x: str, y: str, edits: int) -> bool:
@@ -152,15 +151,13 @@ def _keyed(edits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, codes, seen = [], [], set()
-                for text in b.slice(at, 256).column("text"):
-                    for _, line in lines_of(text.as_py()):
-                        if line not in seen:
-                            seen.add(line)
-                            own = keys_of(line, edits)
-                            keys.extend(own)
-                            codes.extend([_code(line)] * len(own))
-                yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(codes, pa.int64())], names=["key", "code"])
+                keys, sizes, codes = [], [], []
+                for line in {line for text in b.slice(at, 256).column("text") for _, line in lines_of(text.as_py())}:
+                    own = keys_of(line, edits)
+                    keys += own
+                    sizes.append(len(own))
+                    codes.append(_code(line))
+                yield pa.record_batch([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(np.array(codes, np.int64), sizes))], names=["key", "code"])
 
     return work
 
@@ -171,17 +168,14 @@ def _filtered(edits: int, bits: bytes):
         shift = np.uint64(64 - 3 - (len(filter_).bit_length() - 1))
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, sizes, codes, lines, seen = [], [], [], [], set()
-                for text in b.slice(at, 256).column("text"):
-                    for _, line in lines_of(text.as_py()):
-                        if line not in seen:
-                            seen.add(line)
-                            own = keys_of(line, edits)
-                            keys.extend(own)
-                            sizes.append(len(own))
-                            codes.append(_code(line))
-                            lines.append(line)
-                keys = np.array(keys, np.uint64)
+                keys, sizes, codes = [], [], []
+                lines = list({line for text in b.slice(at, 256).column("text") for _, line in lines_of(text.as_py())})
+                for line in lines:
+                    own = keys_of(line, edits)
+                    keys += own
+                    sizes.append(len(own))
+                    codes.append(_code(line))
+                keys = np.frombuffer(b"".join(keys), np.uint64)
                 cell = keys >> shift
                 hit = (filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 of = pa.array(np.repeat(np.arange(len(sizes)), sizes)[hit])
