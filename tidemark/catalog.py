@@ -507,7 +507,7 @@ def _nodes(spark, f):
 
 
 def _users(spark, f, kind):
-    return m.events(spark, f).where(F.col("event_type") == kind).select("user_id")
+    return m.events(spark, f).where((F.col("event_type") == kind) & (F.unix_seconds("ts") < 1704326400)).select("user_id")
 
 
 def _fetch_order(spark, f):

@@ -513,8 +513,9 @@ SQL["node_report"] = f"WITH {NODES} SELECT series_id, instance, round(qps, 6) AS
 SQL["node_balance"] = f"WITH {NODES}, b AS (SELECT series_id, count(*) AS nodes, stddev_pop(qps) / avg(qps) AS q, stddev_pop(cpu) / avg(cpu) AS c FROM nr GROUP BY ALL) SELECT series_id, nodes, round(q, 6) AS qps_cv, round(c, 6) AS cpu_cv, CASE WHEN q < 0.1 THEN 'balanced' WHEN q < 0.2 THEN 'slightly_uneven' ELSE 'uneven' END AS balance FROM b"
 SQL["fetch_order"] = "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_cache, row_number() OVER (ORDER BY c_custkey IN (SELECT o_custkey FROM orders), c_custkey)::INT AS rank FROM customer"
 SQL["resumed"] = "WITH g AS (SELECT user_id, ts, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, floor(epoch(ts))::BIGINT AS ts, gap FROM g WHERE gap > 86400"
-SQL["common_users"] = "SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'"
-SQL["missing_users"] = "SELECT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'"
+_FIRST = "SELECT user_id FROM events WHERE epoch(ts) < 1704326400 AND event_type = "
+SQL["common_users"] = f"{_FIRST} 'purchase' INTERSECT {_FIRST} 'error'"
+SQL["missing_users"] = f"{_FIRST} 'purchase' EXCEPT {_FIRST} 'error'"
 _VALID = f"""{BY_TYPE}, g AS (SELECT series_id, count(*) AS samples, (floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 3600 AS hours, avg(value) AS mean, stddev_pop(value) / avg(value) AS cv FROM h GROUP BY ALL), bq AS ({SQL['burstiness'].replace('WITH ' + BY_TYPE + ', r AS', 'WITH r AS').replace('round(', '(').replace(', 6) AS burstiness', ') AS burstiness')}),
 hs AS (SELECT series_id, hour(ts) AS hr, avg(value) AS v FROM h GROUP BY ALL), sx AS (SELECT series_id, sum(v) / 24 AS mu, sum(v * v) / 24 AS q, max(v) AS hi, CASE WHEN count(*) < 24 THEN 0 ELSE min(v) END AS lo FROM hs GROUP BY ALL), sq AS (SELECT series_id, 0.6 * least(1, 2 * (q - mu * mu) / (mu * mu)) + 0.4 * least(1, (hi - lo) / mu / 3) AS seasonality FROM sx),
 va AS (SELECT *, CASE WHEN mean < 50 THEN 'very_low' WHEN mean < 200 THEN 'low' WHEN mean < 1000 THEN 'medium' WHEN mean < 5000 THEN 'high' WHEN mean < 20000 THEN 'very_high' ELSE 'extreme' END AS load_class, CASE WHEN cv < 0.2 THEN 'low' WHEN cv < 0.5 THEN 'medium' WHEN cv < 1 THEN 'high' ELSE 'extreme' END AS cv_class, CASE WHEN burstiness < 0.2 THEN 'low' WHEN burstiness < 0.5 THEN 'medium' WHEN burstiness < 1 THEN 'high' ELSE 'extreme' END AS burst_class, cv >= 0 AND burstiness BETWEEN 0 AND 1 AND seasonality BETWEEN 0 AND 1 AS valid FROM g JOIN bq USING (series_id) JOIN sq USING (series_id) WHERE samples >= 50 AND hours >= 24)"""
