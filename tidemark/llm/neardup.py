@@ -3,8 +3,8 @@
 Sketch: every shingle hash falls into one of ``REGISTERS`` buckets by its top bits; a bucket keeps its
 smallest hash in compressed form, the leading-zero count (6 bits) and the next 10 mantissa bits. An empty
 bucket borrows from a fixed pseudo-random order of the others for banding (so short texts band as well);
-estimates use the buckets as they are. Bands hash ``ROWS`` compressed registers each; with 0.85 and these
-defaults a pair shares no band with a probability of about 1e-7.
+estimates use the buckets as they are. Bands hash ``ROWS`` compressed registers each. Simulated with these picks, a
+pair shares no band with a probability of about 5e-6 at a similarity of 0.85 and 4e-4 at 0.80.
 
 Every document with an equal set is one class first. Then, over class representatives:
 
