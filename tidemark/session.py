@@ -55,11 +55,17 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``staged`` made, once all that was made of them is a table itself."""
-    for df in frames:
-        if path := getattr(df, "staged_at", None):
-            _delete(df.sparkSession, path)
+def expiring(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the session's process ends."""
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def discard(*made: DataFrame | str) -> None:
+    """Delete tables that ``staged`` made, and folders, once all that was made of them is a table itself."""
+    for x in made:
+        if path := x if isinstance(x, str) else getattr(x, "staged_at", None):
+            _delete(SparkSession.active(), path)
 
 
 #: Small tables that are made at the same time.
