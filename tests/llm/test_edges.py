@@ -103,12 +103,25 @@ def test_lines(spark, docs, folder):
     assert by[5] == {(1, "k")} and by[6] == {(1, "k")} and by[8] == {(1, "k")}
 
 
+def test_lines_whose_codes_collide(spark, monkeypatch):
+    """Lines are told apart by all 128 bits, whatever half of them says."""
+    whole = linedup._names
+    monkeypatch.setattr(linedup, "_names", lambda x: whole(x) & np.array([0, -1]))
+    rows = [(k, words(k // 2, 9)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_repeats for r in linedup.without_repeats(docs, short=True).collect()}
+    assert got == {k: k % 2 for k in range(8)}
+
+
 def test_vectors(spark):
     rows = [(None, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (1, [1.0, 0.0], 1, "x"), (2, [2.0, 0.0], 1, "y"), (3, [1.0, 0.0], None, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id string")
     got = embdup.near_vectors(table).collect()
     assert len(got) == 5 and {r.component for r in got if r.id in (1, 2)} == {1} and {(r.n_links, r.component) for r in got if r.id == 3} == {(0, 3)}
     assert embdup.near_vectors(table.limit(0)).count() == 0
+    rows = [(k, [1.0, k * 1e-3], y) for k, y in enumerate([1, 1 + 2**32, 1, 1 + 2**32, -1, 2**32 - 1])]  # labels that are equal in their low 32 bits
+    got = {r.id: (r.n_links, r.component) for r in embdup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {0: (1, 0), 2: (1, 0), 1: (1, 1), 3: (1, 1), 4: (0, 4), 5: (0, 5)}
 
 
 def test_long_conversation(spark):

@@ -48,6 +48,16 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     pd.DataFrame({"item_id": [1], "text": [leak]}).to_parquet(tmp_path / "benchmark.parquet")
 
     docs = {k: t for k, t in enumerate(texts) if not toxic[k]}
+
+    def firsts():
+        ids = sorted(docs)
+        sets = [grams(docs[d] or "") for d in ids]
+        top = brute_components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+        return [d for k, d in enumerate(ids) if top[k] == k]
+
+    whole = firsts()
+    assert len(whole) < len(docs)
+    docs = {d: docs[d] for d in whole}
     where = [(d, k, s) for d, t in docs.items() for k, s in linedup.lines_of(t)]
     top = brute_components(len(where), [(a, b) for a in range(len(where)) for b in range(a) if abs(len(where[a][2]) - len(where[b][2])) <= 2 and len(set(where[a][2]) ^ set(where[b][2])) <= 4 and levenshtein(where[a][2], where[b][2]) <= 2])
     gone = {where[k][:2] for k in range(len(where)) if top[k] != k}
@@ -55,12 +65,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     for d, t in docs.items():
         if t and any(g[0] == d for g in gone):
             cut = "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)
-            docs[d] = cut if len(t) - len(cut) <= corpus_pipeline.COPY_SHARE * len(t) else t
-    ids = sorted(docs)
-    sets = [grams(docs[d] or "") for d in ids]
-    top = brute_components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
-    kept = [d for k, d in enumerate(ids) if top[k] == k]
-    assert len(kept) < len(ids)
+            docs[d] = cut
+    kept = firsts()
     want = [d for d in kept if len(grams(leak) & grams(docs[d] or "")) < 0.8 * len(grams(leak))]
     assert len(want) < len(kept)
 
@@ -87,3 +93,16 @@ def test_line_stage_cuts_all_but_whole_copies(spark):
     want = {0: first, 1: others, 3: block, 5: None}  # 2 and 4 are copies of 1, itself cut, and of 0
     want = {k: t and "\n".join(t) for k, t in want.items()}
     assert got == {k: (t, len(t or "")) for k, t in want.items()}
+
+
+def test_no_line_goes_for_a_copy_that_goes(spark):
+    """A line that a whole copy and a third document share stays in the third, once; every line that a kept document had stays."""
+    r = random.Random(6)
+    new = lambda n: [" ".join("".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(8)) for _ in range(n)]
+    first, third, only = new(30), new(30), new(1)
+    texts = ["\n".join(x) for x in (first, first + only, third + only, third[:3] + new(20))]
+    docs = spark.createDataFrame([(k + 1, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text.split("\n") for x in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert sorted(got) == [1, 3, 4] and got[1] == first and got[3] == third + only and not set(got[4]) & set(third)
+    held = [x for t in got.values() for x in t]
+    assert len(held) == len(set(held)) and {x for t in texts for x in t.split("\n")} == set(held)

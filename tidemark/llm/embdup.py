@@ -43,7 +43,7 @@ def table_keys(unit: np.ndarray, label: int) -> np.ndarray:
     """(rows, TABLES) keys of unit vectors of one label."""
     planes, shift, odd = _planes(unit.shape[1])
     cells = np.floor((unit @ planes + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, WIDTHS)
-    salt = mixed(np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(label & 0xFFFFFFFF) * np.uint64(1_000_003) + np.uint64(unit.shape[1]))
+    salt = mixed(np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(np.array([label & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] + np.uint64(unit.shape[1]))
     return mixed((cells * odd).sum(2, dtype=np.uint64) ^ salt).view(np.int64)
 
 
@@ -69,7 +69,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, raw, v, t in zip(rows, x, u, table_keys(u, y), strict=True):
                 digest[k] = hashlib.blake2b(raw.tobytes(), digest_size=16, key=str(y).encode()).digest()
                 unit[k], keys[k] = v.tobytes(), t
-        yield pa.record_batch([ids, pa.array(digest, pa.binary()), pa.array(unit, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "unit", "keys"])
+        yield pa.record_batch([ids, b.column("label"), pa.array(digest, pa.binary()), pa.array(unit, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "label", "digest", "unit", "keys"])
 
 
 def _block(rows: list[dict], least: float) -> list[tuple[int, int, int]]:
@@ -80,7 +80,8 @@ def _block(rows: list[dict], least: float) -> list[tuple[int, int, int]]:
     if not left or not right:
         return []
     x, y = (np.stack([np.frombuffer(r["unit"]) for r in side]) for side in (left, right))
-    i, j = np.nonzero(x @ y.T >= least)
+    own = [np.array([r["label"] for r in side]) for side in (left, right)]
+    i, j = np.nonzero((x @ y.T >= least) & (own[0][:, None] == own[1][None, :]))
     if same:
         i, j = i[i < j], j[i < j]
     if not len(i):
@@ -143,10 +144,10 @@ def _blocks(least: float):
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
     """Per row: id, n_links (other vectors linked directly) and component (smallest id reachable)."""
     source = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("embedding"))
-    profiles = staged(source.mapInArrow(_profiles, "id long, digest binary, unit binary, keys array<long>"), "vectors")
+    profiles = staged(source.mapInArrow(_profiles, "id long, label long, digest binary, unit binary, keys array<long>"), "vectors")
     known = profiles.where("id is not null and digest is not null")
     classes = staged(known.groupBy("digest").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")), "classes")
-    heads = known.join(classes, [known.digest == classes.digest, known.id == classes["class"]]).select("id", "n", "unit", "keys").dropDuplicates(["id"])
+    heads = known.join(classes, [known.digest == classes.digest, known.id == classes["class"]]).select("id", "label", "n", "unit", "keys").dropDuplicates(["id"])
 
     entries = heads.select("id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")

@@ -11,8 +11,9 @@ bits in a filter of 256 bits for each of them, 32 MB at most, which is broadcast
 key with many lines is split into chunks compared chunk against chunk, so a task holds two chunks and only
 links within a block leave it. If the filter fills up, more lines move; results stay the same.
 
-Classes are the components of the links; equal lines are in one class. The first line of a class by (id,
-number) stays, later ones repeat it.
+Classes are the components of the links; equal lines are in one class. Lines are equal if their digests of 128 bits
+are: half of it is the code by which lines meet, both halves name a line wherever one is deleted for another. The
+first line of a class by (id, number) stays, later ones repeat it.
 
 Lines under ``SHORTEST`` characters are too short for two edits to mean the same line. With ``short`` they repeat
 where they are equal; they have a code but no keys, so they stay out of the edit join.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
 from tidemark.llm.memory import tidy
-from tidemark.session import staged
+from tidemark.session import discard, staged
 
 EDITS = 2
 SHORTEST = 24
@@ -50,8 +51,14 @@ def lines_of(text: str | None, least: int = SHORTEST) -> list[tuple[int, str]]:
     return [(k, s) for k, x in enumerate(text.split("\n")) if len(s := x.strip(" \t\r")) >= least]
 
 
-def _code(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace"), 5) - (1 << 63)
+def _names(lines: list[str]) -> np.ndarray:
+    """(lines, 2) code and check, the halves of each line's digest."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x.encode("utf-8", "replace"), 5) for x in lines]), np.int64).reshape(-1, 2)
+
+
+def _codes(lines: list[str]) -> np.ndarray:
+    return _names(lines)[:, 0]
 
 
 def _segments(n: int, parts: int) -> list[tuple[int, int]]:
@@ -136,13 +143,17 @@ def within(x: str, y: str, edits: int) -> bool:
 def _occurrences(least: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, numbers, codes = [], [], []
-            for id_, text in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                for k, line in lines_of(text.as_py(), least):
-                    ids.append(id_)
-                    numbers.append(k)
-                    codes.append(_code(line))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(codes, pa.int64())], names=["id", "line", "code"])
+            for at in range(0, b.num_rows, 256):
+                ids, numbers, lines = [], [], []
+                part = b.slice(at, 256)
+                for id_, text in zip(part.column("id").to_pylist(), part.column("text"), strict=True):
+                    for k, line in lines_of(text.as_py(), least):
+                        ids.append(id_)
+                        numbers.append(k)
+                        lines.append(line)
+                names = _names(lines)
+                columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())]
+                yield pa.record_batch(columns, names=["id", "line", "code", "check"])
 
     return work
 
@@ -151,13 +162,13 @@ def _keyed(edits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, sizes, codes = [], [], []
-                for line in {line for text in b.slice(at, 256).column("text") for _, line in lines_of(text.as_py())}:
+                keys, sizes = [], []
+                lines = list({line for text in b.slice(at, 256).column("text") for _, line in lines_of(text.as_py())})
+                for line in lines:
                     own = keys_of(line, edits)
                     keys += own
                     sizes.append(len(own))
-                    codes.append(_code(line))
-                yield pa.record_batch([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(np.array(codes, np.int64), sizes))], names=["key", "code"])
+                yield pa.record_batch([pa.array(np.frombuffer(b"".join(keys), np.int64)), pa.array(np.repeat(_codes(lines), sizes))], names=["key", "code"])
 
     return work
 
@@ -168,18 +179,17 @@ def _filtered(edits: int, bits: bytes):
         shift = np.uint64(64 - 3 - (len(filter_).bit_length() - 1))
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, sizes, codes = [], [], []
+                keys, sizes = [], []
                 lines = list({line for text in b.slice(at, 256).column("text") for _, line in lines_of(text.as_py())})
                 for line in lines:
                     own = keys_of(line, edits)
                     keys += own
                     sizes.append(len(own))
-                    codes.append(_code(line))
                 keys = np.frombuffer(b"".join(keys), np.uint64)
                 cell = keys >> shift
                 hit = (filter_[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 of = pa.array(np.repeat(np.arange(len(sizes)), sizes)[hit])
-                yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(codes, pa.int64()).take(of), pa.array(lines, pa.string()).take(of)], names=["key", "code", "text"])
+                yield pa.record_batch([pa.array(keys[hit].view(np.int64)), pa.array(_codes(lines).copy()).take(of), pa.array(lines, pa.string()).take(of)], names=["key", "code", "text"])
 
     return work
 
@@ -191,8 +201,8 @@ def _counts(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _block(rows: list[dict], edits: int) -> list[tuple[int, int]]:
-    """Links between the lines of a block: a spanning forest of them."""
+def _block(rows: list[dict], edits: int) -> list[tuple[str, str]]:
+    """Links between the lines of a block: a spanning forest of them, as texts."""
     same = rows[0]["lo"] == rows[0]["hi"]
     left = rows if same else [r for r in rows if r["chunk"] == r["lo"]]
     right = rows if same else [r for r in rows if r["chunk"] == r["hi"]]
@@ -216,10 +226,21 @@ def _block(rows: list[dict], edits: int) -> list[tuple[int, int]]:
         a, b = left[i], right[j]
         if a["code"] != b["code"] and top(a["code"]) != top(b["code"]) and within(a["text"], b["text"], edits):
             root[top(a["code"])] = top(b["code"])
-            out.append((a["code"], b["code"]))
+            out.append((a["text"], b["text"]))
     return out
 
 
+LINKS = "a struct<code: long, check: long>, b struct<code: long, check: long>"
+
+
+def _links(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+    sides = []
+    for k in (0, 1):
+        names = _names([p[k] for p in pairs])
+        sides.append(pa.StructArray.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], ["code", "check"]))
+    return pa.record_batch(sides, names=["a", "b"])
+
+
 def _blocks(edits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
@@ -231,11 +252,11 @@ def _blocks(edits: int):
                         out += _block(rows, edits)
                     now, rows = at, []
                 rows.append(r)
-            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _links(out)
             out = []
         if len(rows) > 1:
             out += _block(rows, edits)
-        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        yield _links(out)
 
     return work
 
@@ -254,24 +275,26 @@ def _filter_of(keys: DataFrame) -> bytes:
 def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, short: bool = False) -> DataFrame:
     """(id, line, repeats): every line that can repeat, and whether it repeats an earlier one."""
     source = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    lines = staged(source.mapInArrow(tidy(_occurrences(1 if short else SHORTEST)), "id long, line int, code long"), "lines")
-    firsts = lines.groupBy("code").agg(F.min(F.struct("id", "line")).alias("first"))
+    lines = staged(source.mapInArrow(tidy(_occurrences(1 if short else SHORTEST)), "id long, line int, code long, check long"), "lines")
+    firsts = lines.groupBy("code", "check").agg(F.min(F.struct("id", "line")).alias("first"))
 
     keys = source.select("text").mapInArrow(tidy(_keyed(edits)), "key long, code long")
     shared = staged(keys.groupBy("key").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).where("lo <> hi").select("key"), "keys")
     met = source.select("text").mapInArrow(tidy(_filtered(edits, _filter_of(shared))), "key long, code long, text string")
-    met = staged(met.join(shared, "key", "left_semi").dropDuplicates(["key", "code"]), "met")
+    met = full = staged(met.join(shared, "key", "left_semi").dropDuplicates(["key", "code"]), "met")
     sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     met = met.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("key", "code", "text", "chunk", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"))
-    links = staged(met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks(edits), "a long, b long").distinct(), "links")
+    links = staged(met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks(edits), LINKS).distinct(), "links")
+    discard(shared, full)
 
-    components = connected(links).select(F.col("id").alias("code"), "component")
-    known = staged(firsts.join(components, "code", "left").withColumn("component", F.coalesce("component", "code")), "firsts")
+    components = connected(links).select(F.col("id.code").alias("code"), F.col("id.check").alias("check"), "component")
+    known = staged(firsts.join(components, ["code", "check"], "left").withColumn("component", F.coalesce("component", F.struct("code", "check"))), "firsts")
+    discard(links)
     tops = known.groupBy("component").agg(F.min("first").alias("top"))
-    known = known.join(tops, "component").select("code", "top")
-    return lines.join(known, "code").select("id", "line", (F.struct("id", "line") != F.col("top")).alias("repeats"))
+    known = known.join(tops, "component").select("code", "check", "top")
+    return lines.join(known, ["code", "check"]).select("id", "line", (F.struct("id", "line") != F.col("top")).alias("repeats"))
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, leave: float = 1.0, short: bool = False) -> DataFrame:

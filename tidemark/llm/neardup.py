@@ -265,7 +265,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     joined = profiles.join(classes, "digest", "left")
     lookup = components.select(F.col("id").alias("class"), "component")
     joined = joined.join(lookup, "class", "left")
-    return joined.select("id", "n_shingles", F.coalesce("component", "class", "id").alias("component"), F.coalesce("class", "id").alias("class"))
+    out = joined.select("id", "n_shingles", F.coalesce("component", "class", "id").alias("component"), F.coalesce("class", "id").alias("class"))
+    out.parts = (profiles, classes)  # for whoever makes a table of the result and needs them no longer
+    return out
 
 
 def _beside(percent: int):
