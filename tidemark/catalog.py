@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import oracles
+from tidemark import catalog_store, oracles
 from tidemark.functions import stats as st
 from tidemark.operators import changepoints as cp
 from tidemark.operators import detectors as d
@@ -507,7 +507,7 @@ def _nodes(spark, f):
 
 
 def _users(spark, f, kind):
-    return m.events(spark, f).where((F.col("event_type") == kind) & (F.unix_seconds("ts") < 1704326400)).select("user_id")
+    return m.events(spark, f).where(F.col("event_type") == kind).select("user_id")
 
 
 def _fetch_order(spark, f):
@@ -638,3 +638,5 @@ query("latency_imbalance")(lambda spark, f: d.category_imbalance(_categories(spa
 
 
 SQL.update({name: sql for name, sql in oracles.SQL.items() if name in QUERIES})
+QUERIES.update(catalog_store.QUERIES)
+SQL.update(catalog_store.SQL)

@@ -513,7 +513,7 @@ SQL["node_report"] = f"WITH {NODES} SELECT series_id, instance, round(qps, 6) AS
 SQL["node_balance"] = f"WITH {NODES}, b AS (SELECT series_id, count(*) AS nodes, stddev_pop(qps) / avg(qps) AS q, stddev_pop(cpu) / avg(cpu) AS c FROM nr GROUP BY ALL) SELECT series_id, nodes, round(q, 6) AS qps_cv, round(c, 6) AS cpu_cv, CASE WHEN q < 0.1 THEN 'balanced' WHEN q < 0.2 THEN 'slightly_uneven' ELSE 'uneven' END AS balance FROM b"
 SQL["fetch_order"] = "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_cache, row_number() OVER (ORDER BY c_custkey IN (SELECT o_custkey FROM orders), c_custkey)::INT AS rank FROM customer"
 SQL["resumed"] = "WITH g AS (SELECT user_id, ts, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) SELECT user_id, floor(epoch(ts))::BIGINT AS ts, gap FROM g WHERE gap > 86400"
-_FIRST = "SELECT user_id FROM events WHERE epoch(ts) < 1704326400 AND event_type = "
+_FIRST = "SELECT user_id FROM events WHERE event_type = "
 SQL["common_users"] = f"{_FIRST} 'purchase' INTERSECT {_FIRST} 'error'"
 SQL["missing_users"] = f"{_FIRST} 'purchase' EXCEPT {_FIRST} 'error'"
 _VALID = f"""{BY_TYPE}, g AS (SELECT series_id, count(*) AS samples, (floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 3600 AS hours, avg(value) AS mean, stddev_pop(value) / avg(value) AS cv FROM h GROUP BY ALL), bq AS ({SQL['burstiness'].replace('WITH ' + BY_TYPE + ', r AS', 'WITH r AS').replace('round(', '(').replace(', 6) AS burstiness', ') AS burstiness')}),

@@ -21,12 +21,17 @@ def series_key(labels: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
 
 
-def read_text(spark: SparkSession, path: str, start: float | None = None, end: float | None = None) -> DataFrame:
-    """METRIC rows (metric, labels, ts, value, file) of ``name{labels} value ts`` lines; stamps above 1e12 are ms.
+def read_text(spark: SparkSession, path: str | list[str], start: float | None = None, end: float | None = None) -> DataFrame:
+    """METRIC rows (metric, labels, ts, value, file) of the text files at ``path``, see ``parse_lines``."""
+    return parse_lines(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")), start, end)
+
+
+def parse_lines(rows: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
+    """METRIC rows (metric, labels, ts, value, file) of ``name{labels} value ts`` lines (value, file); stamps above 1e12 are ms.
 
     Lines of the query counter with a result other than OK are left out.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file")).where("line <> '' and not startswith(line, '#')")
+    lines = rows.select(F.trim("value").alias("line"), "file").where("line <> '' and not startswith(line, '#')")
     got = lines.select(
         "file", F.regexp_extract("line", r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1).alias("metric"), parse_labels(F.regexp_extract("line", r"^[^{ ]*\{(.*)\}", 1)).alias("labels"),
         F.expr("try_cast(regexp_extract(line, '([^ ]+) +[^ ]+$', 1) as double)").alias("value"), F.expr("try_cast(regexp_extract(line, '([^ ]+)$', 1) as double)").alias("t"),
