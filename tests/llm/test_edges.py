@@ -54,6 +54,21 @@ def test_pii(spark, docs):
     assert by[6].text.split("Mr ")[1].split(",")[0] == by[7].text.split("\n")[0][3:]  # one person in two documents
 
 
+def test_pii_titles_given_names_and_full_spaces(spark):
+    said = ["г-н. Иванов пришёл", "Г-жа. Петрова тут", "д-р. Сидоров", "Mr John Smith came. John said hello to Johnson.", *[f"{t} Maier kam" for t in ("Herr", "Frau", "Dr.", "Prof.", "Mlle", "Doña", "Monsieur")]]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), "k").collect()}
+    assert all(n not in got[k] for k, n in enumerate(["Иванов", "Петрова", "Сидоров"])) and all("Maier" not in got[k] for k in range(4, len(said)))
+    given = got[3].split()[1]
+    assert "Smith" not in got[3] and f" {given} said hello to Johnson." in got[3] and given != "John"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    small = spark.createDataFrame([("email", f"{a}@{b}.{z}") for a in letters for b in letters for z in ("com", "net", "org", "de")], "kind string, canonical string")
+    table = pii.assign(small, "k").collect()
+    assert len(table) == len({r.surrogate for r in table}) == 26 * 26 * 4 and not {r.surrogate for r in table} & {r.canonical for r in table}
+    nets = spark.createDataFrame([("ip", f"192.168.0.{k}") for k in range(256)], "kind string, canonical string").select("kind", "canonical", F.lit(9).alias("attempt"))
+    moved = nets.select(pii.surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), pii.keyed_digest(F.col("kind"), F.col("canonical"), F.col("attempt"), "k")).alias("s")).collect()
+    assert all(r.s.startswith("10.") for r in moved)
+
+
 def test_shards(spark, folder):
     got = queries.op2_virtual_slots(spark, folder).collect()
     assert len(got) == len(TEXTS) and sum(r.size for r in got) == sum(len((t or "").encode()) + 1 for _, t in TEXTS)

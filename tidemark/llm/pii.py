@@ -11,8 +11,9 @@ own, so "Mr John Smith" and "Mr Smith" keep one family name, in every document.
 the same names without a title are replaced alike. Names that never carry a title in a text are not found there.
 
 Distinctness: surrogates of all distinct entities are compared with one another and with the real entities
-of their type; whoever collides draws again with the next attempt number until none does. Names grow longer
-with the attempts, so their space has no end. The comparison is an aggregate and joins over distinct entities,
+of their type; whoever collides draws again with the next attempt number until none does. Names and addresses grow
+longer with the attempts; a private network address that finds no place moves within 10/8. An entity that has none
+after ``LAST_ATTEMPT`` draws, because all surrogates of its format are taken, becomes a tag of kind and digest. The comparison is an aggregate and joins over distinct entities,
 whatever their number; a frequent entity is one row there.
 
 Defined results: null text stays null, empty text empty; null ids are kept; rows with equal id and text get
@@ -58,13 +59,14 @@ SYLLABLES = {
     "greek": "βα δε φι γο λου μα νε πι ρο σου τα βε ξι ζο λα κε".split(),
 }
 LONGEST_NAME = 24  # syllables
+LAST_ATTEMPT = 48  # from here on a tag stands for an entity whose format has no free surrogate
 
 
-TITLES = ("Mr", "Mister", "Sir", "Ms", "Miss", "Herr", "Monsieur", "Señor", "Sr", "Don", "Madam", "Frau", "Mme", "Mlle", "Sra", "Doña", "Dr", "Prof", "Rev", "-н ", "-жа ", "-р ", "осподин", "оспожа", "Κύρι", "Κυρία", "Δρ")
+TITLES = ("Mr", "Mister", "Sir", "Ms", "Miss", "Herr", "Monsieur", "Señor", "Sr", "Don", "Madam", "Frau", "Mme", "Mlle", "Sra", "Doña", "Dr", "Prof", "Rev", "г-н", "Г-н", "г-жа", "Г-жа", "д-р", "Д-р", "осподин", "оспожа", "Κύρι", "Κυρία", "Δρ")
 
 
 def _hint(t: Column) -> Column:
-    """Whether a text can hold an entity at all: each has a digit, an @ or a title. Spares most texts the patterns."""
+    """Whether a text can hold an entity at all: each has a digit, an @ or a title as it is spelled in ``TITLE``."""
     out = F.regexp_like(t, F.lit("[0-9@]"))
     for title in TITLES:
         out = out | t.contains(title)
@@ -146,7 +148,8 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, digest: Column)
     """Surrogate of a canonical form, itself canonical."""
     v = lambda k: _value(digest, k)
     label = F.split_part(F.split_part(canonical, F.lit("@"), F.lit(2)), F.lit("."), F.lit(1))
-    email = F.concat(_spelled(F.split_part(canonical, F.lit("@"), F.lit(1)), digest), F.lit("@"), _spelled(label, digest, 64), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), v(127) % 3 + 1))
+    more = F.substring(F.translate(digest, "0123456789", "ghijklmnop"), F.lit(1), F.greatest(attempt - 3, F.lit(0)))  # short addresses grow
+    email = F.concat(_spelled(F.split_part(canonical, F.lit("@"), F.lit(1)), digest), more, F.lit("@"), _spelled(label, digest, 64), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), v(127) % 3 + 1))
 
     digits = F.replace(canonical, F.lit("+"), F.lit(""))
     country = F.greatest(F.length(digits) - 10, F.lit(0))
@@ -159,7 +162,8 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, digest: Column)
 
     octet = lambda k: (v(k) % 254 + 1).cast("string")
     parts = F.split(canonical, r"\.")
-    first = F.when(attempt >= 8, F.concat_ws(".", octet(0), octet(1))).when(canonical.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1)))
+    private = F.regexp_like(canonical, F.lit(r"^(10|192\.168|172\.(1[6-9]|2\d|3[01]))\."))
+    first = F.when(canonical.startswith("10.") | (private & (attempt >= 8)), F.concat_ws(".", F.lit("10"), octet(1))).when(attempt >= 8, F.concat_ws(".", octet(0), octet(1)))
     first = first.when(canonical.startswith("192.168."), "192.168").when(F.regexp_like(canonical, F.lit(r"^172\.(1[6-9]|2\d|3[01])\.")), F.concat_ws(".", F.lit("172"), parts[1]))
     ip = F.concat_ws(".", first.otherwise(F.concat_ws(".", (v(0) % 90 + 11).cast("string"), octet(1))), octet(2), octet(3))
 
@@ -186,7 +190,8 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, digest: Column)
 
     family = by_script(lambda x: syllables(x, F.least(attempt / 2 + 4, F.lit(LONGEST_NAME)).cast("int"), 0))
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", hexed).when(kind == "iban", iban)
-    return out.when(kind == "ssn", _spelled(canonical, digest)).when(kind == "family", family).otherwise(by_script(given))
+    out = out.when(kind == "ssn", _spelled(canonical, digest)).when(kind == "family", family).otherwise(by_script(given))
+    return F.when(attempt < LAST_ATTEMPT, out).otherwise(F.concat(F.lit("["), kind, F.lit("-"), F.substring(digest, 1, 32), F.lit("]")))
 
 
 def _rendered(e: Column, kind: Column, s: Column) -> Column:
@@ -203,13 +208,13 @@ def _rendered(e: Column, kind: Column, s: Column) -> Column:
     )
     email = F.when((e == F.upper(e)) & (e != F.lower(e)), F.upper(one)).otherwise(one)
     person = F.concat(_title(e), F.array_join(s, " "), F.regexp_extract(e, "('s)?$", 0))
-    return F.when(kind == "email", email).when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "name", person).otherwise(one)
+    return F.when(one.startswith("["), one).when(kind == "email", email).when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "name", person).otherwise(one)
 
 
 def _aliases(all_: Column) -> Column:
     """(real, said) of the names in a text's mentions of persons, whole names first."""
     people = F.filter(all_, lambda m: m["kind"] == "name")
-    both = F.transform(people, lambda m: F.array(F.struct((-F.size(m["real"])).alias("o"), F.array_join(m["real"], " ").alias("real"), F.array_join(m["made"], " ").alias("said")), F.struct(F.lit(-1).alias("o"), F.element_at(m["real"], -1).alias("real"), F.element_at(m["made"], -1).alias("said"))))
+    both = F.transform(people, lambda m: F.array(F.struct((-F.size(m["real"])).alias("o"), F.array_join(m["real"], " ").alias("real"), F.array_join(m["made"], " ").alias("said")), F.struct(F.lit(-1).alias("o"), F.element_at(m["real"], -1).alias("real"), F.element_at(m["made"], -1).alias("said")), F.struct(F.lit(-1).alias("o"), F.element_at(m["real"], 1).alias("real"), F.element_at(m["made"], 1).alias("said"))))
     return F.array_sort(F.array_distinct(F.flatten(both)))
 
 
