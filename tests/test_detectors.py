@@ -88,16 +88,17 @@ def test_compact(spark, name):
         assert got[0].type == "QPS_SPIKE" and got[0].duration_sec >= 240 and len(got[0].detected_by) == 2 and got[0].severity == "HIGH"
 
 
-def test_span_guards():
-    def events(starts, by=("A",)):
-        return [{"start": s, "end": s, "row": None, "z": 1.0, "severity": 1, "conf": 0.5, "detectors": set(by), "types": {"QPS_SPIKE"}, "k": 1} for s in starts]
-
-    assert len(ev.cadence(events([1000 + 1800 * k for k in range(8)]), 120)) == 8
-    assert len(ev.cadence(events([1000 + 360 * k for k in range(40)]), 120)) > 1
-    assert len(ev.cadence(events([1000 + 480 * k for k in range(30)], ("x_latency",)), 120)) > 1
-    assert len(ev.compact(events([1000 + 360 * k for k in range(100)]), 480, 120)) > 1
-    long = [dict(x, end=x["start"] + 14400) for x in events([1000, 1000 + 14400 + 360])]
-    assert len(ev.compact(long, 480, 120)) == 1
+def test_span_guards(spark):
+    def count(starts, by=("A",), end=0, **options):
+        items = [finding(x, z=1.0, by=by, end=x + end if end else None) for x in starts]
+        return ev.stitched(frame(spark, items), 120, 480, **options).count()
+
+    rhythm, gaps = {"with_gaps": False}, {"with_cadence": False}
+    assert count([1000 + 1800 * k for k in range(8)], **rhythm) == 8
+    assert count([1000 + 360 * k for k in range(40)], **rhythm) > 1
+    assert count([1000 + 480 * k for k in range(30)], ("x_latency",), **rhythm) > 1
+    assert count([1000 + 360 * k for k in range(100)], **gaps) > 1
+    assert count([1000, 1000 + 14400 + 360], end=14400, **gaps) == 1
 
 
 def test_ensemble_counts_votes(spark, monkeypatch):
