@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import sketches
+from tidemark.operators import randomcut, sampling, sketches
 from tidemark.plans import model as m
 from tidemark.session import discard, expiring, shared_folder, staged, table
 from tidemark.sources import ranged, sinks
-from tidemark.streaming import ingest, reorder
+from tidemark.streaming import forest, ingest, reorder
 
 #: Epoch seconds of 2024-01-10, of 2024-01-12 less one, and of a time that no file holds.
 FIRST, LAST, NEVER = 1704844800, 1705017599, 2000000000
@@ -110,9 +110,72 @@ def ranged_samples(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("asked", "newest", F.col("labels")["kind"].alias("kind"), F.unix_seconds("ts").alias("ts"), "value")
 
 
-QUERIES = {"sketch_weeks": sketch_weeks, "reordered_chunks": reordered_chunks, "ingested_samples": ingested_samples, "ranged_samples": ranged_samples}
+def streamed_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly values scored by a forest in a stream's state, and whether each score is the one of the whole table."""
+    own = m.events(spark, folder).groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts"))
+    hours = staged(own.agg(F.sum("value").alias("value")), "hours")
+    source, target = _folder(spark, "hours"), _folder(spark, "scores")
+    hours.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
+    files = sorted(ranged.listed(spark, source), key=lambda f: f.path)  # parts follow the order of time
+    stream_at = _folder(spark, "arrived")
+    for one in files:  # a file arrives when the one before it has been taken
+        spark.read.schema(hours.schema).parquet(one.path).coalesce(1).write.mode("append").parquet(stream_at)
+        stream = spark.readStream.schema(hours.schema).parquet(stream_at)
+        scored = forest.forest_stream(stream, late="400 days", idle=400 * 86400)
+        query = scored.writeStream.format("parquet").option("path", target).option("checkpointLocation", target + "-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    expiring(spark, target + "-state")
+    table_ = randomcut.forest_scores(hours).withColumnRenamed("score", "whole")
+    got = spark.read.parquet(target).join(table_.drop("value"), ["series_id", "ts"], "full")
+    return got.select("series_id", F.unix_seconds("ts").alias("ts"), F.round("value", 6).alias("value"), F.coalesce(F.col("score") == F.col("whole"), F.lit(False)).alias("same"))
+
+
+def sampled_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty orders of every status and priority, each equally likely."""
+    rows = table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
+    return sampling.sampled(rows, ["o_orderstatus", "o_orderpriority"], ["o_orderkey"], 20, 42)
+
+
+def weighted_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty orders of every status, drawn in proportion to their prices."""
+    rows = table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    return sampling.weighted(rows, ["o_orderstatus"], ["o_orderkey"], "o_totalprice", 50, 42).drop("o_totalprice")
+
+
+def thinned_events(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the events by draw."""
+    return sampling.thinned(table(spark, folder, "events").select("event_id", "user_id"), ["event_id"], 0.1, "thin")
+
+
+QUERIES = {
+    "streamed_forest": streamed_forest, "sampled_orders": sampled_orders, "weighted_orders": weighted_orders, "thinned_events": thinned_events,
+    "sketch_weeks": sketch_weeks, "reordered_chunks": reordered_chunks, "ingested_samples": ingested_samples, "ranged_samples": ranged_samples,
+}
 
 SQL = {
+    "streamed_forest": """
+        SELECT event_type AS series_id, epoch(date_trunc('hour', ts))::BIGINT AS ts, round(sum(value), 6) AS value, true AS same
+        FROM events GROUP BY event_type, date_trunc('hour', ts)
+    """,
+    "sampled_orders": """
+        SELECT * FROM (
+            SELECT o_orderstatus, o_orderpriority, o_orderkey,
+                   row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY md5('42:=' || o_orderkey), o_orderkey) AS rank
+            FROM orders
+        ) WHERE rank <= 20
+    """,
+    "weighted_orders": """
+        SELECT o_orderstatus, o_orderkey, rank FROM (
+            SELECT *, row_number() OVER (
+                PARTITION BY o_orderstatus ORDER BY -ln((('0x' || md5('42:=' || o_orderkey)[1:13])::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52)::DOUBLE) / o_totalprice
+            ) AS rank
+            FROM orders WHERE o_totalprice > 0
+        ) WHERE rank <= 50
+    """,
+    "thinned_events": """
+        SELECT event_id, user_id FROM events
+        WHERE (('0x' || md5('thin:=' || event_id)[1:13])::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52)::DOUBLE < 0.1::DOUBLE
+    """,
     "sketch_weeks": """
         SELECT event_type, epoch(date_trunc('week', ts))::BIGINT AS week, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS hours,
                round(min(value), 6) AS lo, round(max(value), 6) AS hi, true AS p50_near, true AS p99_near, true AS ids_near

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.randomcut import RandomCutForest, RandomCutTree  # noqa: F401
+
 SCHEMA = "series_id string, type string, severity string, ts timestamp, end_ts timestamp, duration_sec int, value double, baseline double, z_score double, confidence double, detected_by array<string>, instance string, detail string"
 
 
@@ -209,37 +211,6 @@ def ensemble(df: DataFrame, least: int = 2, least_points: int = 24) -> DataFrame
     return votes.select(*[v.alias(k) for k, v in made.items()])
 
 
-class RandomCutTree:
-    """Tree of random cuts over the last points; the score of a point is what its insertion displaces."""
-
-    def __init__(self, rng: np.random.Generator, most: int = 256):
-        self.rng, self.most, self.points = rng, most, []
-
-    def score(self, p: np.ndarray) -> float:
-        """Walk down random cuts of the bounding box; the size of the sibling left behind over depth."""
-        data = np.array(self.points) if self.points else np.zeros((0, len(p)))
-        best, depth = 0.0, 0
-        while len(data) > 1:
-            lo, hi = np.minimum(data.min(0), p), np.maximum(data.max(0), p)
-            span = hi - lo
-            if span.sum() == 0:
-                break
-            d = self.rng.choice(len(p), p=span / span.sum())
-            cut = self.rng.uniform(lo[d], hi[d])
-            same = data[(data[:, d] <= cut) == (p[d] <= cut)]
-            depth += 1
-            best = max(best, (len(data) - len(same)) / max(len(same), 1))
-            data = same
-        return best
-
-    def update(self, p: np.ndarray) -> float:
-        s = self.score(p)
-        if len(self.points) >= self.most:
-            self.points.pop(int(self.rng.integers(len(self.points))))
-        self.points.append(p)
-        return s
-
-
 def random_cut_forest(df: DataFrame, shingle: int = 4, trees: int = 20, quantile: float = 0.99) -> DataFrame:
     """Online random-cut forest on shingles; findings lie above a quantile of the scores so far."""
 
@@ -247,11 +218,8 @@ def random_cut_forest(df: DataFrame, shingle: int = 4, trees: int = 20, quantile
         v = pdf.value.to_numpy()
         if len(v) < 64:
             return found(pdf, [], "RCF", [], 0.0, [])
-        forest = [RandomCutTree(np.random.default_rng(100 + k)) for k in range(trees)]
-        scores = np.zeros(len(v))
-        for k in range(shingle - 1, len(v)):
-            p = v[k - shingle + 1 : k + 1]
-            scores[k] = np.mean([t.update(p) for t in forest])
+        forest = RandomCutForest(shingle, trees)
+        scores = np.array([forest.push(x) for x in v])
         limit = pd.Series(scores).expanding(32).quantile(quantile).shift(1).to_numpy()
         at = np.flatnonzero((np.arange(len(v)) >= 48) & (scores > limit) & (scores > 1))
         return found(pdf, at, "RCF", scores[at], float(np.median(v)), grade(scores[at] / np.maximum(limit[at], 1e-9), 1.5, 2.5))
