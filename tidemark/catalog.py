@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog_store, oracles
@@ -18,6 +18,7 @@ from tidemark.operators import detectors as d
 from tidemark.operators import events as ev
 from tidemark.operators import grouped as g
 from tidemark.operators import insight
+from tidemark.operators.numbering import numbered
 from tidemark.operators import profile as p
 from tidemark.operators import series as s
 from tidemark.operators import workload as w
@@ -513,7 +514,7 @@ def _users(spark, f, kind):
 def _fetch_order(spark, f):
     wanted = table(spark, f, "customer").select("c_custkey", F.col("c_custkey").alias("place"))
     ranked = insight.fetch_order(wanted, table(spark, f, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("has_cache", "place"))).drop("place")  # a list of what to fetch
+    return numbered(ranked, ["has_cache", "place"]).withColumn("rank", F.col("rank").cast("int")).drop("place")  # a list of what to fetch
 
 
 for _name, _work in {

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import randomcut, sampling, sketches
 from tidemark.plans import model as m
 from tidemark.session import discard, expiring, shared_folder, staged, table
-from tidemark.sources import ranged, sinks
+from tidemark.sources import documents, ranged, results, sessions, sinks
 from tidemark.streaming import forest, ingest, reorder
 
 #: Epoch seconds of 2024-01-10, of 2024-01-12 less one, and of a time that no file holds.
@@ -147,12 +147,81 @@ def thinned_events(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.thinned(table(spark, folder, "events").select("event_id", "user_id"), ["event_id"], 0.1, "thin")
 
 
+def mixed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly values of every event type, each type stored in another shape, read back in one scan."""
+    path = _folder(spark, "documents")
+    own = m.events(spark, folder).groupBy(F.col("event_type").alias("document"), F.lit(0).cast("long").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
+    rows = staged(own.agg(F.round(F.sum("value"), 3).alias("value")), "points")
+    for k, style in enumerate(documents.STYLES):
+        documents.write_documents(rows.where(F.pmod(F.ascii("document"), F.lit(len(documents.STYLES))) == k), path, style)
+    stale = rows.where(F.pmod(F.ascii("document"), F.lit(len(documents.STYLES))) == 0).withColumn("value", F.lit(-1.0))
+    documents.write_documents(stale, path, "lower")  # beside a CSV, which is preferred
+    discard(rows)
+    got = documents.first_series(documents.read_documents(spark, path))
+    return got.select("document", F.unix_seconds("ts").alias("ts"), "value")
+
+
+def json_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON results, and back from them."""
+    rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    said = documents.json_results(rows, ["event_id"]).select("event_id", F.try_parse_json("json").alias("v"))
+    get = lambda path, type_: F.try_variant_get("v", path, type_)
+    return said.select("event_id", get("$.user_id", "long").alias("user_id"), get("$.event_type", "string").alias("event_type"), get("$.value", "double").alias("value"))
+
+
+def session_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Weeks of every event type as sessions: saved, each first one saved again and each second one deleted; what is left."""
+    root = _folder(spark, "sessions")
+    week = F.unix_seconds(F.date_trunc("week", "ts"))
+    rows = staged(m.events(spark, folder).select(F.col("event_type").alias("cluster_id"), week.alias("session_ts"), "value"), "rows")
+    sessions.save(rows, root)
+    first = sessions.sessions(spark, root).groupBy("cluster_id").agg(F.min("session_ts").alias("session_ts"))
+    sessions.save(rows.join(F.broadcast(first), ["cluster_id", "session_ts"], "left_semi"), root)  # a row a cluster
+    for cluster in sessions.clusters(spark, root):
+        known = sorted(sessions.index(spark, root, cluster)[1])
+        for second in known[1:2]:
+            sessions.delete(spark, root, cluster, second)
+    listed = sessions.sessions(spark, root)
+    parts = [sessions.load(spark, root, r.cluster_id, r.session_ts) for r in listed.toLocalIterator()]  # a line a session
+    sums = parts[0]
+    for part in parts[1:]:
+        sums = sums.unionByName(part)
+    sums = sums.groupBy("cluster_id", "session_ts").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return listed.join(sums, ["cluster_id", "session_ts"])
+
+
+def cached_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts of event types from a stored result, and whether asking again reads that result alone."""
+    root = _folder(spark, "results")
+    hours = m.events(spark, folder).groupBy("event_type", F.unix_seconds(F.date_trunc("hour", "ts")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    first, again = (results.cached(hours, root, "hours") for _ in range(2))
+    hit = sorted(first.inputFiles()) == sorted(again.inputFiles()) and all(root.split(":")[-1].lstrip("/") in x for x in again.inputFiles())
+    return again.withColumn("hit", F.lit(hit))
+
+
 QUERIES = {
+    "mixed_documents": mixed_documents, "json_events": json_events, "session_index": session_index, "cached_hours": cached_hours,
     "streamed_forest": streamed_forest, "sampled_orders": sampled_orders, "weighted_orders": weighted_orders, "thinned_events": thinned_events,
     "sketch_weeks": sketch_weeks, "reordered_chunks": reordered_chunks, "ingested_samples": ingested_samples, "ranged_samples": ranged_samples,
 }
 
 SQL = {
+    "mixed_documents": """
+        SELECT event_type AS document, epoch(date_trunc('hour', ts))::BIGINT AS ts, round(sum(value), 3) AS value
+        FROM events GROUP BY event_type, date_trunc('hour', ts)
+    """,
+    "json_events": "SELECT event_id, user_id, event_type, value FROM events",
+    "session_index": """
+        WITH w AS (
+            SELECT event_type AS cluster_id, epoch(date_trunc('week', ts))::BIGINT AS session_ts, count(*) AS n, round(sum(value), 3) AS total
+            FROM events GROUP BY event_type, date_trunc('week', ts)
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY session_ts) AS k FROM w)
+        SELECT cluster_id, session_ts, session_ts = max(session_ts) OVER (PARTITION BY cluster_id) AS latest, n, total FROM r WHERE k <> 2
+    """,
+    "cached_hours": """
+        SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour, count(*) AS n, true AS hit
+        FROM events GROUP BY event_type, date_trunc('hour', ts)
+    """,
     "streamed_forest": """
         SELECT event_type AS series_id, epoch(date_trunc('hour', ts))::BIGINT AS ts, round(sum(value), 6) AS value, true AS same
         FROM events GROUP BY event_type, date_trunc('hour', ts)
