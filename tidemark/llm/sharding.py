@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import shared_folder
+from tidemark.session import expiring, shared_folder
 
 N_SLOTS = 4096
+#: Copies of a row that one task makes at a time.
+BLOCK = 10_000
 MAP_SCHEMA = T.StructType(
     [
         T.StructField("version", T.IntegerType(), False),
@@ -87,6 +89,11 @@ def _placed(full: pd.DataFrame) -> pd.DataFrame:
     return full[MAP_SCHEMA.names]
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place for a map that goes when the session's process ends."""
+    return expiring(spark, f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions of the map table at ``path``, none if there is no table."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -116,26 +123,35 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def place(slotted: DataFrame, slot_map: DataFrame, order: Sequence[str], slot: str = "vslot") -> DataFrame:
     """Add ``shard`` and the record's gapless ``slot`` number within it.
 
-    Records are numbered inside their virtual slot (a small share of the rows, sorted with spill) and
-    shifted by the slot's first place, so no task ever orders a whole shard. The map has one row per
-    virtual slot, which bounds the broadcast.
+    Rows equal in all columns are counted before they move, so that a row that a third of the table repeats is one
+    row of its slot: distinct rows are numbered there by a running sum of the counts (a small share of the rows,
+    sorted with spill), shifted by the slot's first place, and become rows again in blocks of ``BLOCK`` that are
+    dealt to all tasks. The map has one row per virtual slot, which bounds the broadcast.
     """
-    window = Window.partitionBy(slot).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = slotted.withColumn("__tm_nth", F.row_number().over(window).cast("long") - 1)
+    grouped = not any(isinstance(f.dataType, T.MapType | T.VariantType) for f in slotted.schema.fields)  # these have no equality
+    n = F.count(F.lit(1)).alias("__tm_n")
+    rows = slotted.groupBy(*slotted.columns).agg(n) if grouped else slotted.withColumn("__tm_n", F.lit(1).cast("long"))
+    window = Window.partitionBy(slot).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__tm_nth", F.coalesce(F.sum("__tm_n").over(window), F.lit(0)))
     m = slot_map.select(F.col("vslot").alias("__tm_vslot"), F.col("shard"), F.col("first_place").alias("__tm_first"))
-    return numbered.join(F.broadcast(m), F.col(slot) == F.col("__tm_vslot")).withColumn("slot", F.col("__tm_first") + F.col("__tm_nth")).drop("__tm_nth", "__tm_first", "__tm_vslot")
+    rows = rows.join(F.broadcast(m), F.col(slot) == F.col("__tm_vslot")).withColumn("__tm_nth", F.col("__tm_nth") + F.col("__tm_first"))
+    rows = rows.withColumn("__tm_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tm_n") - 1, F.lit(BLOCK).cast("long"))))
+    rows = rows.repartition("shard", "__tm_nth", "__tm_block")
+    last = F.least(F.col("__tm_block") + BLOCK, F.col("__tm_n")) - 1
+    rows = rows.withColumn("__tm_copy", F.explode(F.sequence("__tm_block", last)))
+    return rows.withColumn("slot", F.col("__tm_nth") + F.col("__tm_copy")).select(*slotted.columns, "shard", "slot")
 
 
 def shard_records(df: DataFrame, n_shards: int, keys: Sequence[str], size: Column, n_slots: int = N_SLOTS, keep: Sequence[str] = (), map_path: str | None = None) -> DataFrame:
     """Assign every row to a shard by bytes, with the map that is stored at ``map_path``.
 
     Without a map there the first version is built; otherwise the latest one is edited for the rows' present sizes
-    and stored as the next. Rows are placed by what is read back.
+    and stored as the next. Rows are placed by what is read back. Of equal rows any may have any of their places.
     """
     spark = df.sparkSession
     slotted = df.select(*dict.fromkeys([*keep, *keys]), size.cast("long").alias("size"), slot_of([F.col(k) for k in keys], n_slots).alias("vslot"))
     stats = slot_stats(slotted, "size")
-    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    path = map_path or new_path(spark)
     known = versions(spark, path)
     slot_map = rebalance(load_map(spark, path).toPandas(), stats, n_shards) if known else build_map(stats, n_shards, n_slots)
     return place(slotted, load_map(spark, path, store_map(spark, slot_map, path)), [*keys, "size"])
