@@ -195,7 +195,8 @@ def _judged(cells: DataFrame) -> DataFrame:
     digits = digits.select("digit", F.col("wide").alias("digit2"), (F.col("n_wide") > 1).alias("repeated"), (F.col("n_open") > 0).alias("open"), "witness")
     found = cells.join(digits, (cells.narrow == digits.digit) & (cells.wide == digits.digit2))
     chosen = (F.col("witness.doc") == F.col("doc")) & (F.col("witness.first") == F.col("first"))
-    return found.withColumn("next", F.col("open") & (~F.col("repeated") | chosen)).drop("digit", "digit2", "narrow", "wide", "witness", "open").where("next or (repeated and not decided)")
+    found = found.withColumn("next", F.col("open") & (~F.col("repeated") | chosen)).drop("digit", "digit2", "narrow", "wide", "witness", "open").where("next or (repeated and not decided)")
+    return found.withColumn("bytes", F.when(F.col("next"), F.col("bytes"))) if "bytes" in found.columns else found
 
 
 def _done(judged: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     runs_ = staged(texts.mapInArrow(tidy(work), schema).withColumn("decided", F.lit(False)), "runs")
     judged = staged(_judged(runs_), "judged")
     discard(runs_)
-    done = _done(judged)
+    done = staged(_done(judged), "done")
     lists = _going_on(judged).groupBy("doc").agg(F.collect_set(F.struct("first", "last", "at", "decided")).alias("cells"))  # a text's own runs
     work, schema = _with_bytes(length)
     cells = texts.join(lists, "doc").mapInArrow(tidy(work), schema)
@@ -224,12 +225,14 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         size = -(-size // BRANCH)
         work, schema = _divide(length, size)
         divided = staged(cells.mapInArrow(tidy(work), schema), "cells")
+        discard(judged)
         judged = staged(_judged(divided), "judged")
         discard(divided)
-        done = done.union(_done(judged))
+        done = done.union(staged(_done(judged), "done"))  # no bytes: the rest of a pass goes with the next one's cells
         cells = _going_on(judged)
         if size > 1 and cells.isEmpty():
             break
+    discard(judged)
     return done
 
 
