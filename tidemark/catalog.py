@@ -28,6 +28,7 @@ from tidemark.plans import dimensions as dim
 from tidemark.plans import model as m
 from tidemark.session import shared_folder, table
 from tidemark.sources import prom, sinks
+from tidemark.sources.ranged import range_name
 from tidemark.streaming import ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -588,14 +589,20 @@ def _(spark, f):
 
 @query("file_ranges")
 def _(spark, f):
-    names = spark.createDataFrame([(x,) for x in ("2026-02-20_12-15-00_2026-02-22_12-15-00.prom", "2026-02-21_00-00-00_2026-02-24_00-00-00.prom", "other.prom")], "file string")
-    return prom.latest_range(prom.file_ranges(names))
+    """Ranges in the names of hourly files, which the events' hours give; names without a range drop out."""
+    hours = m.events(spark, f).select("event_type", F.date_trunc("hour", "ts").alias("hour")).distinct()
+    named = hours.select(F.concat("event_type", F.lit("_"), range_name("hour", F.expr("hour + interval 3599 seconds")), F.lit(".prom")).alias("file"))
+    ranges = prom.file_ranges(named.unionByName(hours.select(F.concat("event_type", F.lit(".prom")).alias("file")).distinct()))
+    newest = prom.latest_range(ranges).select(F.col("end_ts").alias("newest"))  # one row
+    return ranges.join(F.broadcast(newest), F.col("end_ts") == F.col("newest"), "left").withColumn("newest", F.col("newest").isNotNull())
 
 
 @query("metric_types")
 def _(spark, f):
-    names = spark.createDataFrame([(x,) for x in ("a_bucket", "a_total", "a_count", "a_sum", "queue", "Latency_ms", "duration")], "name string")
-    return names.select("name", st.metric_type("name").alias("kind"), st.is_bucket_metric("name").alias("bucket"))
+    """Kinds of metrics named after the events, with an ending by user, and how many events each has."""
+    endings = F.array(*[F.lit(x) for x in ("_bucket", "_total", "_count", "_sum", "_queue", "_Latency_ms", "_duration")])
+    names = m.events(spark, f).select(F.concat("event_type", F.element_at(endings, (F.pmod("user_id", F.lit(7)) + 1).cast("int"))).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", "n", st.metric_type("name").alias("kind"), st.is_bucket_metric("name").alias("bucket"))
 
 
 def _stream(spark, f):

@@ -531,8 +531,18 @@ SQL["csv_round_trip"] = f"WITH {_TEXT}, k AS (SELECT kind, row_number() OVER (OR
 SQL["histogram_text"] = f"WITH m AS (SELECT date_trunc('day', ts) AS ts, count(*) FILTER (WHERE value <= 10)::DOUBLE AS a, count(*) FILTER (WHERE value <= 100)::DOUBLE AS b, count(*)::DOUBLE AS c FROM events GROUP BY ALL) SELECT 'latency_bucket' AS metric, {SEC.format(x='ts')} AS ts, le, cum FROM (SELECT ts, 10.0::DOUBLE AS le, a AS cum FROM m UNION ALL SELECT ts, 100.0, b FROM m)"
 SQL["response_rows"] = f"WITH m AS (SELECT {KIND} AS kind, date_trunc('day', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL) SELECT 'up' AS metric, kind, {SEC.format(x='ts')} AS ts, value FROM m"
 SQL["last_written"] = "SELECT user_id, floor(epoch(max(ts)))::BIGINT AS ts, arg_max(value, ts) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY ALL"
-SQL["file_ranges"] = "WITH v AS (SELECT unnest(['2026-02-20_12-15-00_2026-02-22_12-15-00.prom', '2026-02-21_00-00-00_2026-02-24_00-00-00.prom', 'other.prom']) AS file) SELECT file, epoch(strptime(file[1:19], '%Y-%m-%d_%H-%M-%S'))::BIGINT AS start_ts, epoch(strptime(file[21:39], '%Y-%m-%d_%H-%M-%S'))::BIGINT AS end_ts FROM v WHERE file LIKE '2026%' ORDER BY end_ts DESC LIMIT 1"
-SQL["metric_types"] = "WITH v AS (SELECT unnest(['a_bucket', 'a_total', 'a_count', 'a_sum', 'queue', 'Latency_ms', 'duration']) AS name) SELECT name, CASE WHEN name LIKE '%\\_bucket' ESCAPE '\\' THEN 'histogram' WHEN regexp_matches(name, '(_total|_count|_sum)$') THEN 'counter' ELSE 'gauge' END AS kind, lower(name) LIKE '%\\_bucket' ESCAPE '\\' OR lower(name) LIKE '%latency%' OR lower(name) LIKE '%duration%' AS bucket FROM v"
+SQL["file_ranges"] = """
+    WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events)
+    SELECT event_type || '_' || strftime(hour, '%Y-%m-%d_%H-%M-%S') || '_' || strftime(hour + INTERVAL 3599 SECOND, '%Y-%m-%d_%H-%M-%S') || '.prom' AS file,
+           epoch(hour)::BIGINT AS start_ts, epoch(hour)::BIGINT + 3599 AS end_ts, hour = (SELECT date_trunc('hour', max(ts)) FROM events) AS newest
+    FROM h
+"""
+SQL["metric_types"] = """
+    WITH v AS (SELECT event_type || ['_bucket', '_total', '_count', '_sum', '_queue', '_Latency_ms', '_duration'][user_id % 7 + 1] AS name, count(*) AS n FROM events GROUP BY 1)
+    SELECT name, n, CASE WHEN name LIKE '%#_bucket' ESCAPE '#' THEN 'histogram' WHEN regexp_matches(name, '(_total|_count|_sum)$') THEN 'counter' ELSE 'gauge' END AS kind,
+           lower(name) LIKE '%#_bucket' ESCAPE '#' OR lower(name) LIKE '%latency%' OR lower(name) LIKE '%duration%' AS bucket
+    FROM v
+"""
 SQL["tumbling_windows"] = "SELECT event_type AS series_id, epoch(time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'))::BIGINT AS start_ts, epoch(time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'))::BIGINT + 1800 AS end_ts, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM events GROUP BY ALL"
 SQL["sliding_windows"] = "SELECT event_type AS series_id, s AS start_ts, s + 7200 AS end_ts, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM (SELECT event_type, value, unnest([floor(epoch(ts) / 3600)::BIGINT * 3600, floor(epoch(ts) / 3600)::BIGINT * 3600 - 3600]) AS s FROM events) GROUP BY ALL"
 SQL["session_windows"] = "WITH e AS (SELECT event_type, ts, value, coalesce((ts >= lag(ts) OVER w + INTERVAL 30 MINUTE)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT event_type AS series_id, floor(epoch(min(ts)))::BIGINT AS start_ts, floor(epoch(max(ts) + INTERVAL 30 MINUTE))::BIGINT AS end_ts, count(*) AS k, round(max(value), 6) AS value FROM g GROUP BY event_type, g"
