@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import catalog_store, oracles
+from tidemark import catalog_cluster, catalog_store, oracles
 from tidemark.functions import stats as st
 from tidemark.operators import changepoints as cp
 from tidemark.operators import detectors as d
@@ -26,7 +26,7 @@ from tidemark.oracles import BY_TYPE, C, GRADE, H, K, KIND, L, P, ROBUST, SIDE,
 from tidemark.plans import abnormal as ab
 from tidemark.plans import dimensions as dim
 from tidemark.plans import model as m
-from tidemark.session import shared_folder, table
+from tidemark.session import expiring, shared_folder, table
 from tidemark.sources import prom, sinks
 from tidemark.sources.ranged import range_name
 from tidemark.streaming import ops
@@ -512,6 +512,11 @@ def _users(spark, f, kind):
     return m.events(spark, f).where(F.col("event_type") == kind).select("user_id")
 
 
+def _links(spark, f):
+    by_kind = m.latency(spark, f, "key")
+    return insight.dimension_links(_dimensions(spark, f), w.mix(m.keyed(spark, f), by_kind), by_kind, m.latency(spark, f))
+
+
 def _fetch_order(spark, f):
     wanted = table(spark, f, "customer").select("c_custkey", F.col("c_custkey").alias("place"))
     ranked = insight.fetch_order(wanted, table(spark, f, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
@@ -520,7 +525,7 @@ def _fetch_order(spark, f):
 
 for _name, _work in {
     "latency_dimension": lambda spark, f: insight.latency_dimension(m.latency(spark, f)), "lagged_correlations": lambda spark, f: insight.lagged_correlations(planted(m.hourly(spark, f)), m.latency(spark, f)),
-    "causality": lambda spark, f: insight.causality(planted(m.hourly(spark, f)), m.latency(spark, f), "qps", "latency"), "dimension_links": lambda spark, f: insight.dimension_links(_dimensions(spark, f)), "propagation": lambda spark, f: insight.propagation(_dimensions(spark, f)),
+    "causality": lambda spark, f: insight.causality(planted(m.hourly(spark, f)), m.latency(spark, f), "qps", "latency"), "dimension_links": _links, "propagation": lambda spark, f: insight.propagation(_dimensions(spark, f)),
     "sql_advice": lambda spark, f: insight.advice(w.fingerprints(m.counters(spark, f), m.latency(spark, f, "key"))), "instance_findings": lambda spark, f: insight.instance_findings(_instances(spark, f)), "node_report": _nodes, "node_balance": lambda spark, f: insight.node_balance(_nodes(spark, f)),
     "fetch_order": _fetch_order, "resumed": lambda spark, f: insight.resumed(m.events(spark, f).select("user_id", "ts"), ["user_id"], 86400), "common_users": lambda spark, f: _users(spark, f, "purchase").intersect(_users(spark, f, "error")), "missing_users": lambda spark, f: _users(spark, f, "purchase").subtract(_users(spark, f, "error")),
     "validation": lambda spark, f: insight.validation(m.hourly(spark, f, "event_type")), "class_distribution": lambda spark, f: insight.distribution(insight.validation(m.hourly(spark, f, "event_type"))), "synthetic_check": lambda spark, f: insight.distribution(insight.validation(insight.synthetic(spark))), "approximate_stats": lambda spark, f: insight.approximate_stats(m.events(spark, f).select(F.col("event_type").alias("series_id"), "value")).drop("q"),
@@ -538,12 +543,12 @@ def _samples(spark, f, by="hour", metric="requests_total"):
 
 
 def _folder(spark):
-    return f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    return expiring(spark, f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}")
 
 
-def _written(spark, lines):
+def _written(spark, lines, **options):
     at = _folder(spark)
-    lines.coalesce(1).write.text(at)
+    lines.write.options(**options).text(at)
     return at
 
 
@@ -576,9 +581,10 @@ def _(spark, f):
 
 @query("response_rows")
 def _(spark, f):
-    rows = _samples(spark, f, "day").groupBy(F.col("labels")["kind"].alias("kind")).agg(F.collect_list(F.array(F.unix_seconds("ts").cast("string"), F.col("value").cast("string"))).alias("values"))
-    series = rows.agg(F.collect_list(F.struct(F.create_map(F.lit("__name__"), F.lit("up"), F.lit("kind"), F.col("kind")).alias("metric"), "values")).alias("result"))  # one response of a few series
-    got = prom.read_response(spark, _written(spark, series.select(F.to_json(F.struct(F.struct("result").alias("data"))).alias("value"))))
+    """One response for each series and month."""
+    rows = _samples(spark, f, "day").groupBy(F.col("labels")["kind"].alias("kind"), F.trunc("ts", "month")).agg(F.collect_list(F.array(F.unix_seconds("ts").cast("string"), F.col("value").cast("string"))).alias("values"))
+    series = rows.select(F.array(F.struct(F.create_map(F.lit("__name__"), F.lit("up"), F.lit("kind"), F.col("kind")).alias("metric"), "values")).alias("result"))
+    got = prom.read_response(spark, _written(spark, series.select(F.to_json(F.struct(F.struct("result").alias("data"))).alias("value")), maxRecordsPerFile=1))
     return got.select("metric", F.col("labels")["kind"].alias("kind"), "ts", "value")
 
 
@@ -648,3 +654,5 @@ query("latency_imbalance")(lambda spark, f: d.category_imbalance(_categories(spa
 SQL.update({name: sql for name, sql in oracles.SQL.items() if name in QUERIES})
 QUERIES.update(catalog_store.QUERIES)
 SQL.update(catalog_store.SQL)
+for _name, _work in catalog_cluster.QUERIES.items():
+    query(_name, catalog_cluster.SQL[_name])(_work)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tidemark.functions.stats import clamp, floor_percentile, graded, mad_of, median_of, ratio, severity, severity_rank
+from tidemark.functions.stats import clamp, graded, mad_of, median_of, ratio, severity, severity_rank
+from tidemark.operators.rolling import trailing
 from tidemark.operators.series import sample_interval, seconds
 
 ANOMALY = ("series_id", "type", "severity", "ts", "end_ts", "duration_sec", "value", "baseline", "z_score", "confidence", "detected_by", "instance", "detail")
@@ -297,11 +298,10 @@ def multi_scale(df: DataFrame, scales: tuple[int, ...] = (6, 12, 24, 48), least:
 
 def raw_rolling(df: DataFrame, type_: str | None = None, detector: str = "RawRolling", latency: bool = False, window: int = 60, run: int = 3) -> DataFrame:
     """Runs of ``run`` points at least that lie six robust deviations off the previous ``window`` rows."""
-    rows = df.withColumn("n", F.count(F.lit(1)).over(whole())).withColumn("gm", F.percentile("value", F.lit(0.5)).over(whole())).withColumn("i", F.row_number().over(by_time()) - 1).where("n >= 80")
-    rows = rows.withColumn("f", F.array_sort(F.collect_list("value").over(by_time().rowsBetween(-window, -1)))).withColumn("med", floor_percentile(F.col("f"), 50))
-    rows = rows.withColumn("dev", floor_percentile(F.array_sort(F.transform("f", lambda v: F.abs(v - F.col("med")))), 50))
+    stats = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("gm")).where("n >= 80")
+    rows = trailing(df, KEY, window).where(F.col("before") == window).join(stats, "series_id")
     least = F.greatest(F.lit(0.02), 0.5 * F.col("gm")) if latency else F.when(F.col("gm") < 1, 5.0).otherwise(F.greatest(F.lit(0.2), 0.1 * F.col("gm")))
-    rows = rows.where(F.col("i") >= window).withColumn("z", (F.col("value") - F.col("med")) / (1.4826 * F.col("dev") + 1e-9)).where((F.abs("z") >= 6) & (F.abs(F.col("value") - F.col("med")) >= least))
+    rows = rows.withColumn("z", (F.col("value") - F.col("med")) / (1.4826 * F.col("dev") + 1e-9)).where((F.abs("z") >= 6) & (F.abs(F.col("value") - F.col("med")) >= least))
     return _grouped(rows, df, run, detector, type_, F.abs("z"), F.col("med"), F.col("z"), lambda z: clamp(0.55 + F.least(F.lit(0.35), z / 30), 0, 0.95), lambda z: graded(z, 9 - 1e-12, 12 - 1e-12))
 
 

@@ -68,17 +68,33 @@ def _c(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def dimension_links(profile: DataFrame) -> DataFrame:
-    """How far each dimension of a six-dimension row goes with its latency."""
-    load = F.when((_c("qps_cv") > 0.5) & (_c("latency_cv") > 0.5), 0.7).when((_c("burstiness") > 0.5) & (_c("latency_tail_ratio") > 5), 0.6).otherwise(0.5 * _c("qps_cv"))
+def dimension_links(profile: DataFrame, statements: DataFrame, operations: DataFrame, latency: DataFrame) -> DataFrame:
+    """How far each dimension of a six-dimension row goes with its latency.
+
+    ``statements``: (series_id, key, percent, latency_p99 in ms); ``operations``: latency points by key, and ``latency``
+    by series, in seconds. Statements count by the share of them whose P99 is over 0.8 of the whole P99, storage by the
+    mean latency of its operations over that of all their points, load by joint variation or by bursts with more than
+    five latency spikes, volume by its swing.
+    """
+    slow = statements.join(profile.select("series_id", F.col("latency_p99").alias("whole_p99")), "series_id").groupBy("series_id")
+    slow = slow.agg(F.sum(F.when(F.col("latency_p99") > 0.8 * F.col("whole_p99"), F.col("percent")).otherwise(0.0)).alias("slow"))
+    means = operations.groupBy("series_id", "key").agg(F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.count("value").alias("n"))
+    means = means.groupBy("series_id").agg(ratio(F.avg("mean"), F.sum("sum") / F.sum("n")).alias("layer"))
+    spikes = latency_dimension(latency).select("series_id", "spikes")
+    for part in (slow, means, spikes):
+        profile = profile.join(part, "series_id", "left")
+    load = F.when((_c("qps_cv") > 0.5) & (_c("latency_cv") > 0.5), 0.7).when((_c("burstiness") > 0.5) & (_c("spikes") > 5), 0.6).otherwise(0.5 * _c("qps_cv"))
     swing = ratio("volume_peak", "volume_mean")
-    volume = F.when((swing > 3) & (_c("latency_tail_ratio") > 5), 0.7).otherwise(F.least(F.lit(1.0), swing / 10))
-    return profile.select("series_id", F.least(F.lit(1.0), _c("hotspot")).alias("sql"), F.least(F.lit(1.0), _c("write_amplification") / 10).alias("storage"), load.alias("load"), volume.alias("volume"), _c("imbalance").alias("balance"))
+    volume = F.when((swing > 3) & (_c("latency_tail_ratio") > 5), 0.7).otherwise(swing / 10)
+    return profile.select(
+        "series_id", F.least(F.lit(1.0), _c("slow") / 100).alias("sql"), F.least(F.lit(1.0), _c("layer")).alias("storage"),
+        load.alias("load"), volume.alias("volume"), _c("imbalance").alias("balance"),
+    )
 
 
 def propagation(profile: DataFrame) -> DataFrame:
     """Sources of trouble in a six-dimension row with score and amplification, and the chain each one starts."""
-    scores = {"qps_burst": _c("burstiness"), "latency_spike": _c("latency_tail_ratio") / 10, "load_imbalance": _c("imbalance"), "storage_bottleneck": _c("volume_peak") / 100_000, "sql_hotspot": _c("hotspot")}
+    scores = {"qps_burst": _c("burstiness"), "latency_spike": _c("latency_tail_ratio") / 10, "load_imbalance": _c("imbalance"), "storage_bottleneck": _c("volume_score"), "sql_hotspot": _c("hotspot")}
     chains = {"qps_burst": ((_c("burstiness") > 0.4) & (_c("latency_tail_ratio") > 3), "qps_burst > storage_bottleneck > latency_spike"), "load_imbalance": (_c("imbalance") > 0.3, "load_imbalance > hot_instance > latency_spike")}
     chain = lambda k: F.when(chains[k][0], chains[k][1]) if k in chains else F.lit(None).cast("string")
     rows = profile.withColumn("r", F.array(*[F.struct(F.lit(k).alias("source"), v.alias("score"), chain(k).alias("chain")) for k, v in scores.items()]))
@@ -128,10 +144,10 @@ def node_balance(report: DataFrame) -> DataFrame:
 
 
 def fetch_order(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
-    """Wanted rows with ``has_cache``, those without a cache first, in their own order otherwise (``place``)."""
+    """Wanted rows with ``has_cache``; to be fetched by (has_cache, place): those without a cache first, else in their own order."""
     known = cached.select(*keys).distinct().withColumn("__known", F.lit(True))
     got = wanted.join(known, keys, "left").withColumn("has_cache", F.coalesce("__known", F.lit(False))).drop("__known")
-    return got.orderBy("has_cache", "place")
+    return got
 
 
 def approximate_stats(df: DataFrame, accuracy: int = 10_000) -> DataFrame:

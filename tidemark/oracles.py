@@ -469,15 +469,15 @@ _RULES = [
     ("false", "batch writes"), ("qps_cv > 0.5", "smooth load peaks"), ("bottleneck <> 'none'", "remove the dominant bottleneck"),
 ]
 #: The six dimensions: table dm.
-DIMENSIONS = f"""{PROFILE}, {SKEW}, {WORK}, {_volume('k')}, {HEALTH.replace(I + ', ', '')}, vm AS (SELECT max(peak) AS volume_peak, sum(mean) AS volume_mean FROM vo), ho AS (SELECT max(percent) / 100 AS hotspot, list(key ORDER BY percent DESC, key)[1:3] AS dominant FROM mx),
-jd AS (SELECT lp.*, skew AS imbalance, {_RISK} AS balance_risk, hot, cold, wp.* EXCLUDE (series_id), volume_peak, volume_mean, hotspot, dominant, score AS instance_score FROM lp, (SELECT skew, sk.hot, sk.cold FROM sk) s0, wp, vm, ho, (SELECT score FROM ch) h0),
-bn AS (SELECT list({{'o': -s, 'n': name}} ORDER BY s DESC, name) AS b FROM (SELECT unnest([{{'n': 'latency', 's': least(1, latency_p99 / 1000)}}, {{'n': 'sql', 's': hotspot * least(1, complexity + 0.3)}}, {{'n': 'storage', 's': least(1, write_amplification / 10)}}, {{'n': 'balance', 's': least(1, imbalance)}}, {{'n': 'load', 's': least(1, qps_cv)}}, {{'n': 'volume', 's': least(1, volume_peak / 100000)}}]) AS x, x['n'] AS name, x['s'] AS s FROM jd)),
+DIMENSIONS = f"""{PROFILE}, {SKEW}, {WORK}, {_volume('k')}, {HEALTH.replace(I + ', ', '')}, vm AS (SELECT max(peak) AS volume_peak, sum(mean) AS volume_mean, coalesce(sum(mean) FILTER (WHERE category = 'transaction'), 0) / sum(mean) AS volume_transactions FROM vo), ho AS (SELECT max(percent) / 100 AS hotspot, list(key ORDER BY percent DESC, key)[1:3] AS dominant FROM mx),
+jd AS (SELECT lp.*, skew AS imbalance, {_RISK} AS balance_risk, hot, cold, wp.* EXCLUDE (series_id), volume_peak, volume_mean, volume_transactions, CASE WHEN volume_peak / volume_mean > 3 THEN 0.3 ELSE 0 END + CASE WHEN NOT read_ratio / write_ratio BETWEEN 0.5 AND 10 THEN 0.2 ELSE 0 END + CASE WHEN volume_transactions > 0.5 THEN 0.3 ELSE 0 END AS volume_score, hotspot, dominant, score AS instance_score FROM lp, (SELECT skew, sk.hot, sk.cold FROM sk) s0, wp, vm, ho, (SELECT score FROM ch) h0),
+bn AS (SELECT list({{'o': -s, 'n': name}} ORDER BY s DESC, name) AS b FROM (SELECT unnest([{{'n': 'latency', 's': (latency_tail_ratio / 10)::DOUBLE}}, {{'n': 'balance', 's': imbalance::DOUBLE}}, {{'n': 'sql_hotspot', 's': hotspot::DOUBLE}}, {{'n': 'load_burst', 's': (qps_peak_to_avg / 10)::DOUBLE}}, {{'n': 'volume', 's': volume_score::DOUBLE}}]) AS x, x['n'] AS name, x['s'] AS s FROM jd)),
 j1 AS (SELECT jd.*, CASE WHEN volume_peak > 100000 THEN 'high' WHEN volume_peak > 50000 THEN 'medium' ELSE 'low' END AS saturation_risk, CASE WHEN -b[1]['o'] >= 0.3 THEN b[1]['n'] ELSE 'none' END AS bottleneck, CASE WHEN -b[2]['o'] >= 0.2 THEN b[2]['n'] ELSE 'none' END AS second_bottleneck FROM jd, bn),
-j2 AS (SELECT *, greatest(0, least(100, 100 - (CASE WHEN latency_p99 > 500 THEN 15 WHEN latency_p99 > 200 THEN 8 ELSE 0 END + CASE WHEN latency_tail_ratio > 10 THEN 10 WHEN latency_tail_ratio > 5 THEN 5 ELSE 0 END + CASE WHEN imbalance > 0.5 THEN 12 WHEN imbalance > 0.3 THEN 6 ELSE 0 END + CASE WHEN qps_cv > 0.8 THEN 8 WHEN qps_cv > 0.5 THEN 4 ELSE 0 END + CASE WHEN bottleneck <> 'none' THEN 8 ELSE 0 END + CASE saturation_risk WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE WHEN hotspot > 0.7 THEN 8 ELSE 0 END) + CASE WHEN abs(cross_correlation) > 0.6 THEN 5 ELSE 0 END))::DOUBLE AS health, greatest(0, least(1, 1 - 0.5 * qps_cv - 0.5 * burstiness)) AS forecast_confidence FROM j1),
+j2 AS (SELECT *, greatest(0, least(100, 100 - (CASE WHEN latency_p99 > 500 THEN 15 WHEN latency_p99 > 200 THEN 8 ELSE 0 END + CASE WHEN latency_tail_ratio > 10 THEN 10 WHEN latency_tail_ratio > 5 THEN 5 ELSE 0 END + CASE WHEN imbalance > 0.5 THEN 12 WHEN imbalance > 0.3 THEN 6 ELSE 0 END + CASE WHEN qps_cv > 0.8 THEN 8 WHEN qps_cv > 0.5 THEN 4 ELSE 0 END + CASE WHEN bottleneck <> 'none' THEN 8 ELSE 0 END + CASE saturation_risk WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 0 END + CASE WHEN hotspot > 0.7 THEN 8 ELSE 0 END) + CASE WHEN abs(cross_correlation) > 0.6 THEN 5 ELSE 0 END))::DOUBLE AS health, greatest(0.1, least(0.95, 1 - qps_cv - 0.5 * burstiness)) AS forecast_confidence FROM j1),
 dm AS (SELECT *, CASE WHEN health >= 80 THEN 'low' WHEN health >= 60 THEN 'medium' WHEN health >= 40 THEN 'high' ELSE 'critical' END AS risk, CASE WHEN health < 50 THEN 'high' WHEN health < 70 OR change_points > 3 THEN 'medium' ELSE 'low' END AS degradation_risk,
 CASE WHEN daily_strength > 0.5 AND weekly_strength > 0.2 THEN 'multi_periodic' WHEN daily_strength > 0.5 THEN 'daily_periodic' WHEN burstiness > 0.5 THEN 'bursty' WHEN qps_cv < 0.2 THEN 'stable' ELSE 'variable' END AS qps_pattern, CASE WHEN qps_peak_to_avg > 10 THEN 'extreme_peaks' WHEN qps_cv > 1 THEN 'highly_variable' WHEN qps_max > 50000 THEN 'high_volume' WHEN qps_peak_to_avg > 5 THEN 'peaky' ELSE 'normal' END AS critical_load,
 (list_filter([{', '.join(f"CASE WHEN {c} THEN '{t}' END" for c, t in _RULES)}], lambda x: x IS NOT NULL))[1:5] AS recommendations FROM j2)"""
-_WORK_DOUBLES = "imbalance read_ratio write_ratio complexity balance write_amplification top_percent volume_peak volume_mean hotspot instance_score health forecast_confidence".split()
+_WORK_DOUBLES = "imbalance read_ratio write_ratio complexity balance write_amplification top_percent volume_peak volume_mean volume_transactions volume_score hotspot instance_score health forecast_confidence".split()
 SQL["six_dimensions"] = f"""WITH {DIMENSIONS} SELECT 'all' AS series_id, {_SHOWN}, {', '.join(f'round({x}::DOUBLE, 6) AS {x}' for x in _WORK_DOUBLES)}, round("DDL", 6) AS "DDL", round("DML", 6) AS "DML", round("DQL", 6) AS "DQL", round("TCL", 6) AS "TCL", round("Other", 6) AS "Other", {', '.join(f'{text(x)} AS {x}' for x in ('hot', 'cold', 'dominant', 'recommendations'))},
 balance_risk, read_heavy, write_heavy, top_op, pattern, hotspot_risk, category, saturation_risk, bottleneck, second_bottleneck, risk, degradation_risk, qps_pattern, critical_load FROM dm"""
 _METRICS = ("qps_mean", "qps_cv", "latency_p99", "latency_tail_ratio", "imbalance", "hotspot", "burstiness")
@@ -499,8 +499,19 @@ LAGGED = f"""{P}, {L}, b AS (SELECT row_number() OVER (ORDER BY p.ts) AS i, p.va
 ls AS (SELECT lag, c, n, CASE WHEN n < 10 THEN 0.3 * c ELSE least(0.99, 1 - 1 / (1 + abs(c * sqrt((n - 2) / (1 - c * c + 0.001))) / 10)) END AS sg FROM lc)"""
 SQL["lagged_correlations"] = f"WITH {LAGGED} SELECT 'all' AS series_id, lag, round(c, 6) AS correlation, n, round(sg, 6) AS significance FROM ls"
 SQL["causality"] = f"WITH {LAGGED} SELECT 'all' AS series_id, 'qps' AS cause, 'latency' AS effect, lag, round(c, 6) AS correlation, round(sg, 6) AS significance, CASE WHEN lag > 0 THEN 'qps_leads' WHEN lag < 0 THEN 'latency_leads' ELSE 'together' END AS direction, abs(c) > 0.3 AND lag >= 0 AS causal FROM ls ORDER BY abs(c) DESC, abs(lag), lag LIMIT 1"
-SQL["dimension_links"] = f"WITH {DIMENSIONS} SELECT 'all' AS series_id, round(least(1, hotspot), 6) AS sql, round(least(1, write_amplification / 10)::DOUBLE, 6) AS storage, round((CASE WHEN qps_cv > 0.5 AND latency_cv > 0.5 THEN 0.7 WHEN burstiness > 0.5 AND latency_tail_ratio > 5 THEN 0.6 ELSE 0.5 * qps_cv END)::DOUBLE, 6) AS load, round((CASE WHEN volume_peak / volume_mean > 3 AND latency_tail_ratio > 5 THEN 0.7 ELSE least(1, volume_peak / volume_mean / 10) END)::DOUBLE, 6) AS volume, round(imbalance, 6) AS balance FROM dm"
-SQL["propagation"] = f"""WITH {DIMENSIONS}, s AS (SELECT 'qps_burst' AS source, burstiness AS score, CASE WHEN burstiness > 0.4 AND latency_tail_ratio > 3 THEN 'qps_burst > storage_bottleneck > latency_spike' END AS chain, cross_correlation AS c FROM dm UNION ALL SELECT 'latency_spike', latency_tail_ratio / 10, NULL, cross_correlation FROM dm UNION ALL SELECT 'load_imbalance', imbalance, CASE WHEN imbalance > 0.3 THEN 'load_imbalance > hot_instance > latency_spike' END, cross_correlation FROM dm UNION ALL SELECT 'storage_bottleneck', volume_peak / 100000, NULL, cross_correlation FROM dm UNION ALL SELECT 'sql_hotspot', hotspot, NULL, cross_correlation FROM dm)
+SQL["dimension_links"] = f"""
+    WITH {DIMENSIONS}, {KL},
+    ks AS (SELECT key, quantile_cont(value, 0.99) * 1000 AS p99, avg(value) AS mean FROM kl GROUP BY ALL),
+    sl AS (SELECT sum(CASE WHEN p99 > 0.8 * latency_p99 THEN percent ELSE 0 END) / 100 AS sql FROM mx JOIN ks USING (key), dm),
+    st AS (SELECT (SELECT avg(mean) FROM ks) / (SELECT avg(value) FROM kl) AS storage),
+    sp AS (SELECT sum((value > 1.5 * p99)::INT) AS spikes FROM l, (SELECT quantile_cont(value, 0.99) AS p99 FROM l))
+    SELECT 'all' AS series_id, round(least(1, sql)::DOUBLE, 6) AS sql, round(least(1, storage)::DOUBLE, 6) AS storage,
+           round((CASE WHEN qps_cv > 0.5 AND latency_cv > 0.5 THEN 0.7 WHEN burstiness > 0.5 AND spikes > 5 THEN 0.6 ELSE 0.5 * qps_cv END)::DOUBLE, 6) AS load,
+           round((CASE WHEN volume_peak / volume_mean > 3 AND latency_tail_ratio > 5 THEN 0.7 ELSE volume_peak / volume_mean / 10 END)::DOUBLE, 6) AS volume,
+           round(imbalance, 6) AS balance
+    FROM dm, sl, st, sp
+"""
+SQL["propagation"] = f"""WITH {DIMENSIONS}, s AS (SELECT 'qps_burst' AS source, burstiness AS score, CASE WHEN burstiness > 0.4 AND latency_tail_ratio > 3 THEN 'qps_burst > storage_bottleneck > latency_spike' END AS chain, cross_correlation AS c FROM dm UNION ALL SELECT 'latency_spike', latency_tail_ratio / 10, NULL, cross_correlation FROM dm UNION ALL SELECT 'load_imbalance', imbalance, CASE WHEN imbalance > 0.3 THEN 'load_imbalance > hot_instance > latency_spike' END, cross_correlation FROM dm UNION ALL SELECT 'storage_bottleneck', volume_score, NULL, cross_correlation FROM dm UNION ALL SELECT 'sql_hotspot', hotspot, NULL, cross_correlation FROM dm)
 SELECT 'all' AS series_id, source, round(score, 6) AS score, score > 0.3 AS is_source, round(((1 + 0.5 * score) * CASE WHEN c > 0.5 THEN 1.2 ELSE 1 END)::DOUBLE, 6) AS amplification, chain FROM s WHERE score > 0.2"""
 _ADVICE = [("latency_mean > 100", "optimise for latency"), ("count > 1000 AND complexity > 0.5", "cache or materialise"), ("class = 'DDL' AND percent > 1", "move schema changes out of peak hours"), ("resource > 0.3", "spread its resource use")]
 SQL["sql_advice"] = f"WITH f AS ({SQL['fingerprints']}) SELECT series_id, key, {text('list_filter([' + ', '.join(f'CASE WHEN {c} THEN {t!r} END' for c, t in _ADVICE) + '], lambda x: x IS NOT NULL)')} AS recommendations FROM f"

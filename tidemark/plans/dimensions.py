@@ -18,7 +18,8 @@ def profile(qps: DataFrame, latency: DataFrame, sql: DataFrame, ops: DataFrame,
     load = p.load_profile(qps, latency)
     skew = p.instance_skew(inst_qps).select("series_id", F.col("skew").alias("imbalance"), F.col("risk").alias("balance_risk"), "hot", "cold")
     work = w.workload_profile(sql, ops)
-    vol = w.volume(ops).groupBy("series_id").agg(F.max("peak").alias("volume_peak"), F.sum("mean").alias("volume_mean"))
+    transactions = F.sum(F.when(F.col("category") == "transaction", F.col("mean")).otherwise(0.0))
+    vol = w.volume(ops).groupBy("series_id").agg(F.max("peak").alias("volume_peak"), F.sum("mean").alias("volume_mean"), ratio(transactions, F.sum("mean")).alias("volume_transactions"))
     share = w.mix(sql).groupBy("series_id").agg((F.max("percent") / 100).alias("hotspot"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("percent")).alias("o"), "key"))), lambda x: x["key"]), 1, 3).alias("dominant"))
     health = w.cluster_health(w.instances(inst_qps, inst_latency)).select("series_id", F.col("score").alias("instance_score"))
     out = load
@@ -30,7 +31,8 @@ def profile(qps: DataFrame, latency: DataFrame, sql: DataFrame, ops: DataFrame,
 def scored(df: DataFrame) -> DataFrame:
     c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     saturation = label((c("volume_peak") > 100_000, "high"), (c("volume_peak") > 50_000, "medium"), otherwise="low")
-    df = df.withColumn("saturation_risk", saturation).withColumn("bottlenecks", bottlenecks())
+    df = df.withColumn("saturation_risk", saturation).withColumn("volume_score", volume_score())
+    df = df.withColumn("bottlenecks", bottlenecks())
     df = df.withColumn("bottleneck", F.when(F.get("bottlenecks", F.lit(0))["score"] >= 0.3, F.get("bottlenecks", F.lit(0))["name"]).otherwise("none")).withColumn("second_bottleneck", F.when(F.get("bottlenecks", F.lit(1))["score"] >= 0.2, F.get("bottlenecks", F.lit(1))["name"]).otherwise("none"))
     penalty = (
         F.when(c("latency_p99") > 500, 15).when(c("latency_p99") > 200, 8).otherwise(0) + F.when(c("latency_tail_ratio") > 10, 10).when(c("latency_tail_ratio") > 5, 5).otherwise(0) + F.when(c("imbalance") > 0.5, 12).when(c("imbalance") > 0.3, 6).otherwise(0)
@@ -41,7 +43,7 @@ def scored(df: DataFrame) -> DataFrame:
     df = df.withColumn("degradation_risk", label((F.col("health") < 50, "high"), ((F.col("health") < 70) | (c("change_points") > 3), "medium"), otherwise="low"))
     pattern = label(((c("daily_strength") > 0.5) & (c("weekly_strength") > 0.2), "multi_periodic"), (c("daily_strength") > 0.5, "daily_periodic"), (c("burstiness") > 0.5, "bursty"), (c("qps_cv") < 0.2, "stable"), otherwise="variable")
     critical = label((c("qps_peak_to_avg") > 10, "extreme_peaks"), (c("qps_cv") > 1, "highly_variable"), (c("qps_max") > 50_000, "high_volume"), (c("qps_peak_to_avg") > 5, "peaky"), otherwise="normal")
-    df = df.withColumn("qps_pattern", pattern).withColumn("critical_load", critical).withColumn("forecast_confidence", clamp(1 - 0.5 * c("qps_cv") - 0.5 * c("burstiness"), 0.0, 1.0))
+    df = df.withColumn("qps_pattern", pattern).withColumn("critical_load", critical).withColumn("forecast_confidence", clamp(1 - c("qps_cv") - 0.5 * c("burstiness"), 0.1, 0.95))
     advice = F.filter(F.array(*[F.when(cond, F.lit(text)) for cond, text in (
         (c("latency_p99") > 500, "look into tail latency"), (c("imbalance") > 0.3, "rebalance instances"), (c("hotspot") > 0.7, "spread the dominant statement"), (F.col("saturation_risk") != "low", "add storage capacity"),
         (c("write_amplification") > 3, "batch writes"), (c("qps_cv") > 0.5, "smooth load peaks"), (F.col("bottleneck") != "none", "remove the dominant bottleneck"),
@@ -49,10 +51,24 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("recommendations", F.slice(advice, 1, 5))
 
 
+def volume_score() -> Column:
+    """How far the storage volume is a bottleneck: a peak, a lopsided mix of reads and writes, mostly transactions."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    mixed = ratio(c("read_ratio"), c("write_ratio"))
+    parts = ((ratio(c("volume_peak"), c("volume_mean")) > 3, 0.3), ((mixed < 0.5) | (mixed > 10), 0.2), (c("volume_transactions") > 0.5, 0.3))
+    return F.least(F.lit(1.0), sum((F.when(rule, points).otherwise(0.0) for rule, points in parts), F.lit(0.0)))
+
+
 def bottlenecks() -> Column:
+    """Candidates by score, the highest first; equal ones by name."""
     c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
-    one = F.lit(1.0)
-    scores = {"latency": F.least(one, c("latency_p99") / 1000), "sql": c("hotspot") * F.least(one, c("complexity") + 0.3), "storage": F.least(one, c("write_amplification") / 10), "balance": F.least(one, c("imbalance")), "load": F.least(one, c("qps_cv")), "volume": F.least(one, c("volume_peak") / 100_000)}
+    scores = {
+        "latency": c("latency_tail_ratio") / 10,
+        "balance": c("imbalance"),
+        "sql_hotspot": c("hotspot"),
+        "load_burst": c("qps_peak_to_avg") / 10,
+        "volume": c("volume_score"),
+    }
     made = F.array(*[F.struct((-v).alias("o"), F.lit(k).alias("name"), v.alias("score")) for k, v in scores.items()])
     return F.transform(F.array_sort(made), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score")))
 
