@@ -208,3 +208,72 @@ def test_op2_places_by_an_edited_map(spark):
     moved = (first.shard != second.shard) & filled
     assert second.slot_bytes[moved].sum() < 0.12 * held.sum()
     assert set(got.shard) == set(range(16))
+
+
+def test_strays_of_a_large_bucket_meet_every_member(spark, monkeypatch):
+    """Near copies far from the pivot, in chunks and blocks of a few rows: components as by brute force."""
+    import random
+
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "STRAYS", 3)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in r.sample(range(160), r.choice([0, 1, 2, 3, 4])):
+            words[at] = f"x{k if k % 3 else 0}-{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, None), (101, "")]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows if t}
+    root = {k: k for k, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                i, j = sorted((top(a), top(b)))
+                root[j] = i
+    got = {x.id: x.component for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: top(k) for k in root} and 5 < len(set(got.values())) < 60
+
+
+def test_strays_stream_past_their_chunk():
+    """Members and strays of one seat over many batches give the links that comparing whole sets gives."""
+    import pyarrow as pa
+
+    from tidemark.llm.neardup import _beside
+
+    pivot = set(range(1000))
+    texts = {k: (pivot - set(range(k * 7, k * 7 + 60))) | {5000 + k % 4} for k in range(40)}
+    rows = [{"pivot": 9, "chunk": 0, "block": 0, "asks": asks, "a": k, "n": len(s), "component": k, "cells": sorted(s ^ pivot)} for asks in (0, 1) for k, s in texts.items()]
+    kind = pa.schema([("pivot", pa.int64()), ("chunk", pa.int32()), ("block", pa.int32()), ("asks", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("cells", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 7], kind) for k in range(0, len(rows), 7)]
+    links = [(a, b) for out in _beside(92)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+    def classes(pairs):
+        root = {k: k for k in texts}
+        for a, b in pairs:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        out = {}
+        for k in texts:
+            at = k
+            while root[at] != at:
+                at = root[at]
+            out[k] = at
+        return out
+
+    want = [(a, b) for a in texts for b in texts if a < b and 100 * len(texts[a] & texts[b]) >= 92 * len(texts[a] | texts[b])]
+    assert links and set(map(tuple, map(sorted, links))) <= set(want)
+    assert classes(links) == classes(want)

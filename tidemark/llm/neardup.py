@@ -14,8 +14,8 @@ Every document with an equal set is one class first. Then, over class representa
    then verified on the full sets. Links give components.
 3. What a pivot left apart is settled exactly. In small buckets members of different components are compared
    where they meet; only hopeful pairs become rows.
-   In large ones members are dealt into chunks and strays, the members in other components than the pivot, are
-   compared with each chunk through their differences from the pivot: with D(x) the difference of x and the
+   In large ones members are dealt into chunks and strays, the members in other components than the pivot, into
+   blocks, and each block is compared with each chunk through their differences from the pivot: with D(x) the difference of x and the
    pivot, x ^ y = D(x) ^ D(y), so counting shared cells of these short sets decides a link exactly. Only links
    leave a chunk.
 
@@ -46,7 +46,7 @@ REGISTERS = 256
 MANTISSA = 10
 BANDS, ROWS = 56, 8
 SMALL_BUCKET = 8
-CHUNK, CHUNK_CELLS = 256, 1 << 19
+CHUNK, CHUNK_CELLS, STRAYS = 256, 1 << 19, 1024
 
 _rng = np.random.default_rng(20240601)
 _BORROW = np.stack([_rng.permutation(REGISTERS) for _ in range(REGISTERS)]).astype(np.int16)
@@ -273,56 +273,54 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 def _beside(percent: int):
     """Links of strays to members of other components in a chunk, exactly, by their differences from the pivot.
 
-    Rows come sorted by pivot and chunk. All members' differences are one sorted index of cells; a stray's overlaps
-    with every member are counts of owners in it. One link for each pair of components leaves a chunk.
+    Rows come sorted by pivot, chunk and block, members before strays. The members' differences, of bounded size, are one
+    sorted index of cells; strays stream past it, and their overlaps with every member are counts of owners in it. One
+    link for each pair of components leaves a chunk.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        now, members, index, root = None, [], None, {}
+        out: list[tuple[int, int]] = []
 
-        def compare() -> None:
-            members = [r for r in rows if r["own"]]
-            asking = [r for r in rows if r["stray"]]
-            if not members or not asking:
-                return
-            ids = np.array([r["a"] for r in members])
-            component = np.array([r["component"] for r in members])
-            n, size = (np.array(x, np.int64) for x in ([r["n"] for r in members], [len(r["cells"]) for r in members]))
-            owner = np.repeat(np.arange(len(members)), size)
-            cells = np.concatenate([r["cells"] for r in members])
+        def top(k: int) -> int:
+            while root.get(k, k) != k:
+                k = root[k]
+            return k
+
+        def indexed():
+            size = np.array([len(m["cells"]) for m in members], np.int64)
+            cells = np.concatenate([m["cells"] for m in members])
             order = np.argsort(cells, kind="stable")
-            cells, owner = cells[order], owner[order]
-            root: dict[int, int] = {}
-
-            def top(k: int) -> int:
-                while root.get(k, k) != k:
-                    k = root[k]
-                return k
-
-            for x in asking:
-                low, high = np.searchsorted(cells, x["cells"]), np.searchsorted(cells, x["cells"], "right")
-                met = [owner[i:j] for i, j in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)]
-                both = np.bincount(np.concatenate(met), minlength=len(members)) if met else np.zeros(len(members), np.int64)
-                apart = len(x["cells"]) + size - 2 * both
-                linked = (100 * (x["n"] + n - apart) >= percent * (x["n"] + n + apart)) & (component != x["component"])
-                for k in np.flatnonzero(linked).tolist():
-                    i, j = top(x["component"]), top(int(component[k]))
-                    if i != j:
-                        root[i] = j
-                        out.append((x["a"], int(ids[k])))
+            ids, component, n = (np.array([m[k] for m in members], np.int64) for k in ("a", "component", "n"))
+            return ids, component, n, size, cells[order], np.repeat(np.arange(len(members)), size)[order]
+
+        def compare(x: dict) -> None:
+            ids, component, n, size, cells, owner = index
+            low, high = np.searchsorted(cells, x["cells"]), np.searchsorted(cells, x["cells"], "right")
+            met = [owner[i:j] for i, j in zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)]
+            both = np.bincount(np.concatenate(met), minlength=len(ids)) if met else np.zeros(len(ids), np.int64)
+            apart = len(x["cells"]) + size - 2 * both
+            linked = (100 * (x["n"] + n - apart) >= percent * (x["n"] + n + apart)) & (component != x["component"])
+            for k in np.flatnonzero(linked).tolist():
+                i, j = top(x["component"]), top(int(component[k]))
+                if i != j:
+                    root[i] = j
+                    out.append((x["a"], int(ids[k])))
 
         for b in batches:
             flat, ends = b.column("cells").flatten().to_numpy(zero_copy_only=False), b.column("cells").offsets.to_numpy()
             ends = ends - ends[0]
             for k, r in enumerate(b.drop_columns(["cells"]).to_pylist()):
-                if (r["pivot"], r["chunk"]) != now:
-                    compare()
-                    now, rows = (r["pivot"], r["chunk"]), []
-                rows.append(r | {"cells": flat[ends[k] : ends[k + 1]].copy()})
+                if (r["pivot"], r["chunk"], r["block"]) != now:
+                    now, members, index, root = (r["pivot"], r["chunk"], r["block"]), [], None, {}
+                r["cells"] = flat[ends[k] : ends[k + 1]]
+                if r["asks"] == 0:
+                    members.append(r | {"cells": r["cells"].copy()})  # not the whole batch
+                elif members:
+                    index = index or indexed()
+                    compare(r)
             yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
             out.clear()
-        compare()
-        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return work
 
@@ -330,8 +328,9 @@ def _beside(percent: int):
 def _beside_pivots(search: _Search, entries: DataFrame, percent: int) -> DataFrame:
     """Links between members of one large bucket that its pivot does not connect.
 
-    A pivot's members are dealt into chunks; strays, the members in other components than the pivot, go to all of
-    its chunks. So rows are members plus strays times chunks, and comparing makes no rows but links.
+    A pivot's members are dealt into chunks, and its strays, the members in other components than the pivot, into blocks;
+    each chunk meets each block by itself. So a task's share is one chunk and one block however large the bucket, rows are
+    strays times chunks plus members times blocks, and comparing makes no rows but links.
     """
     pairs = entries.select("id", "pivot", "component").distinct()
     head = pairs.where("id = pivot").select("pivot", F.col("component").alias("pivot_component"))
@@ -341,8 +340,14 @@ def _beside_pivots(search: _Search, entries: DataFrame, percent: int) -> DataFra
     far = far.select("a", F.col("b").alias("pivot"), F.col("n_a").alias("n"), "component", (F.col("component") != F.col("pivot_component")).alias("stray"), F.concat("added", "removed").alias("cells"))
     far = staged(far, "differences")
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.size("cells")) / CHUNK_CELLS)).cast("int")
-    sizes = far.groupBy("pivot").agg(chunks.alias("chunks"), F.max("stray").alias("any")).where("any").drop("any")
-    dealt = far.join(sizes, "pivot").withColumn("home", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
-    every = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
-    dealt = dealt.withColumn("chunk", F.explode(every)).select("pivot", "chunk", "a", "n", "component", "stray", (F.col("chunk") == F.col("home")).alias("own"), "cells")
-    return dealt.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk").mapInArrow(_beside(percent), "a long, b long").distinct()
+    sizes = far.groupBy("pivot").agg(chunks.alias("chunks"), F.ceil(F.count_if("stray") / STRAYS).cast("int").alias("blocks")).where("blocks > 0")
+    dealt = far.join(sizes, "pivot")
+    place = lambda n: F.pmod(F.xxhash64("a", F.lit(n)), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    seat = lambda chunk, block, asks: F.struct(chunk.alias("chunk"), block.alias("block"), F.lit(asks).alias("asks"))
+    own = F.transform(each("blocks"), lambda k: seat(place("chunks"), k, 0))
+    asking = F.when(F.col("stray"), F.transform(each("chunks"), lambda k: seat(k, place("blocks"), 1)))
+    seats = F.concat(own, F.coalesce(asking, F.slice(own, 1, 0)))
+    dealt = dealt.withColumn("seat", F.explode(seats)).select("pivot", "seat.*", "a", "n", "component", "cells")
+    dealt = dealt.repartition("pivot", "chunk", "block").sortWithinPartitions("pivot", "chunk", "block", "asks")
+    return dealt.mapInArrow(_beside(percent), "a long, b long").distinct()
