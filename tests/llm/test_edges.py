@@ -210,8 +210,8 @@ def test_op2_places_by_an_edited_map(spark):
     assert set(got.shard) == set(range(16))
 
 
-def test_strays_of_a_large_bucket_meet_every_member(spark, monkeypatch):
-    """Near copies far from the pivot, in chunks and blocks of a few rows: components as by brute force."""
+def test_near_copies_in_small_chunks(spark, monkeypatch):
+    """Near copies with limits of a few rows: components as by brute force (whether strays have links of their own is left open)."""
     import random
 
     from tidemark.llm import neardup
@@ -277,3 +277,27 @@ def test_strays_stream_past_their_chunk():
     want = [(a, b) for a in texts for b in texts if a < b and 100 * len(texts[a] & texts[b]) >= 92 * len(texts[a] | texts[b])]
     assert links and set(map(tuple, map(sorted, links))) <= set(want)
     assert classes(links) == classes(want)
+
+
+def test_chunks_meet_all_blocks(spark, monkeypatch):
+    """Links of the members of one bucket, none of them linked yet, join what comparing all whole sets joins."""
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "STRAYS", 3)
+    texts = {k: " ".join(f"w{n}" for n in range(k * 4, k * 4 + 160)) for k in range(30)}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(156)} for k, t in texts.items()}
+    source = spark.createDataFrame(list(texts.items()), "id long, text string")
+    search = neardup._Search(None, source.mapInArrow(neardup._sets, "id long, shingles binary"), 85)
+    entries = spark.createDataFrame([(k, 15, k) for k in texts], "id long, pivot long, component long")
+    links = {(min(r), max(r)) for r in map(tuple, neardup._beside_pivots(search, entries, 85).collect())}
+    want = {(a, b) for a in texts for b in texts if a < b and 15 not in (a, b) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= want
+
+    def classes(pairs):
+        names = {k: k for k in texts}
+        for a, b in sorted(pairs) * len(texts):
+            names[a] = names[b] = min(names[a], names[b])
+        return names
+
+    assert classes(links) == classes(want)
