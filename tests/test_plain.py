@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import pearson
 from tidemark.operators import changepoints as cp
 from tidemark.operators import detectors as d
 from tidemark.operators import events as ev
@@ -114,3 +115,35 @@ def test_files_merge_with_their_neighbours(spark, tmp_path):
 def test_first_per_bucket_is_one_row(spark):
     found = d.mad_anomalies(rows(spark, [1.0] * 30 + [90.0, 91.0] + [1.0, 2.0] * 10, step=60))
     assert d.first_per_bucket(found.unionByName(found)).count() <= 2
+
+
+def test_correlation_without_variance_is_null(spark):
+    data = [("flat", 1.0, 5.0), ("flat", 2.0, 5.0), ("flat", 3.0, 5.0), ("few", 1.0, 2.0), ("few", 2.0, 3.0), ("up", 1.0, 2.0), ("up", 2.0, 4.0), ("up", 3.0, 6.0), ("up", 9.0, None), ("none", None, 1.0)]
+    got = spark.createDataFrame(data, "k string, x double, y double").groupBy("k").agg(pearson("x", "y").alias("r")).collect()
+    assert {r.k: r.r for r in got} == {"flat": None, "few": None, "up": pytest.approx(1.0), "none": None}
+
+
+def test_evidence_of_events_within_flat_series(spark):
+    """Load that moves while the other metrics stand still, as where statements or storage are idle."""
+    q, flat = rows(spark, np.arange(600.0), step=120), rows(spark, np.full(600, 3.0), step=120)
+    series = q.select("series_id").first()[0]
+    e = spark.createDataFrame([(series, "e#1", 21_000, 24_000)], "series_id string, event_id string, t0 long, t1 long")
+    e = e.select("series_id", "event_id", F.timestamp_seconds("t0").alias("ts"), F.timestamp_seconds("t1").alias("end_ts"))
+    got = ev.evidence(e, q, q, q, flat, q, step=120).first()
+    assert got.stmt_corr is None and got.backend_corr == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("batch", [1, 7, 4096])
+def test_sessions_are_folded_alike_in_any_batch(spark, monkeypatch, batch):
+    r = np.random.default_rng(11)
+    at = np.cumsum(r.choice([0, 60, 120, 300, 900, 4000, 9000], 400))
+    names = r.choice(["MAD", "EMA", "raw_latency"], 400)
+    kinds = r.choice(["QPS_SPIKE", "QPS_DROP", "LATENCY_SPIKE"], 400)
+    data = [("a", str(kinds[k]), "HIGH", int(at[k]), float(k), [str(names[k])]) for k in range(400)]
+    found = spark.createDataFrame(data, "series_id string, type string, severity string, t long, z_score double, detected_by array<string>")
+    found = found.select("series_id", "type", "severity", F.timestamp_seconds("t").alias("ts"), F.lit(None).cast("timestamp").alias("end_ts"), F.lit(0).alias("duration_sec"), F.lit(1.0).alias("value"), F.lit(1.0).alias("baseline"), "z_score", F.lit(None).cast("double").alias("confidence"), "detected_by", F.lit(None).cast("string").alias("instance"), F.lit("").alias("detail"))
+    monkeypatch.setattr(ev, "BATCH", batch)
+    got = sorted((x.ts.timestamp(), x.end_ts.timestamp(), x.type, tuple(x.detected_by), x.detail) for x in ev.stitched(found, 60).collect())
+    monkeypatch.setattr(ev, "BATCH", 10**9)
+    assert got == sorted((x.ts.timestamp(), x.end_ts.timestamp(), x.type, tuple(x.detected_by), x.detail) for x in ev.stitched(found, 60).collect())
+    assert 1 < len(got) < 400
