@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import convrepair, hardneg, queries, warc
+from tidemark.llm import convrepair, hardneg, queries, repeats, warc
 from tidemark.session import staged
 
 EXTRA = "digest string, seen int, `a b` int"
@@ -178,3 +178,35 @@ def test_queries_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(None, None, None), (1, "u", None), (1, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = queries.op13_warc_revisits(spark, str(tmp_path)).collect()
     assert len(got) == 3 and {(r.payload_bytes, r.record_type) for r in got} == {(0, "response")}
+
+
+def test_op3_runs_cover_every_window_start():
+    """Also where equal grams tie, as in texts of one word said over and over."""
+    r = np.random.default_rng(5)
+    texts = [b"the " * 300, b" On" * 70 + b" the" * 200 + b" of it" * 90, b"a" * 900, b"ab" * 300 + b"ba" * 300, bytes(r.integers(97, 99, 2000).astype(np.uint8)), b"".join(r.choice([b" x", b" yy", b" zzz"]) * int(r.integers(1, 150)) for _ in range(30))]
+    for text in texts:
+        at, first, last = repeats.runs(np.frombuffer(text, np.uint8), 400)
+        n = len(text) - 399
+        got = [(s, a) for a, f, l in zip(at.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(f, l + 1)]
+        assert [s for s, _ in got] == list(range(n)) and all(s <= a <= s + 400 - repeats.GRAM for s, a in got)
+        offsets = {}
+        for s, a in got:  # equal windows have their gram at the same place
+            assert offsets.setdefault(text[s : s + 400], a - s) == a - s
+
+
+def test_op3_finds_repeats_between_words_said_over_and_over(spark):
+    both = " the" * 130 + " cat and the dog" + " of it" * 60
+    data = [(1, "left " + " On" * 40 + both + " one end of " * 3), (2, " no" * 500 + both + " another" * 90), (3, " the" * 104)]
+    want, data_ = [], [(i, t.encode()) for i, t in data]
+    counts = {}
+    for _, b in data_:
+        for s in range(len(b) - 399):
+            counts[b[s : s + 400]] = counts.get(b[s : s + 400], 0) + 1
+    for i, b in data_:
+        gone = set()
+        for s in range(len(b) - 399):
+            if counts[b[s : s + 400]] > 1:
+                gone.update(range(s, s + 400))
+        want.append((i, len(b), len(gone)))
+    got = repeats.digest(repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"))).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed) for x in got) == want
