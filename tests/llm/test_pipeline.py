@@ -6,10 +6,13 @@ import re
 import corpus_pipeline
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_components, levenshtein
 
 from tidemark.llm import linedup
+from tidemark.session import staged
 
 
 def grams(text):
@@ -106,3 +109,28 @@ def test_no_line_goes_for_a_copy_that_goes(spark):
     assert sorted(got) == [1, 3, 4] and got[1] == first and got[3] == third + only and not set(got[4]) & set(third)
     held = [x for t in got.values() for x in t]
     assert len(held) == len(set(held)) and {x for t in texts for x in t.split("\n")} == set(held)
+
+
+def test_rows_go_to_python_in_bounded_batches(spark, tmp_path):
+    """A batch of long texts is bounded by bytes; a session's own limit stays, and which rows share a batch changes nothing."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(limit, None)
+    said = [("word%d " % k) * 2_000 for k in range(4)]
+    docs = staged(spark.range(3_000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, said)), (F.col("id") % 4 + 1).cast("int")).alias("text")).coalesce(1), "long")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    try:
+        spark.conf.unset(limit)
+        corpus_pipeline.add_tokens(spark, docs, str(tmp_path))
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(x.n for x in got) == 3_000 and max(x.size for x in got) < 6e6
+        few = docs.where("doc_id < 8")
+        whole = corpus_pipeline.add_tokens(spark, few, str(tmp_path)).orderBy("doc_id").collect()
+        spark.conf.set(limit, "1k")
+        assert corpus_pipeline.add_tokens(spark, few, str(tmp_path)).orderBy("doc_id").collect() == whole
+        assert spark.conf.get(limit) == "1k"
+    finally:
+        spark.conf.unset(limit) if was is None else spark.conf.set(limit, was)

@@ -321,7 +321,7 @@ class Utf8Stream:
 
 
 #: Of the tables' limits, for codecs that live for a task.
-SMALL = 0.4
+SMALL = 0.2
 
 
 @lru_cache(maxsize=1)
